@@ -17,8 +17,8 @@ import pyarrow as pa
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _STEP = _U(0xD6E8FEB86659FD93)
-#: Bytes that are worked on at once; bounds the temporaries to about 50 MB.
-CHUNK_BYTES = 1 << 20
+#: Bytes that are worked on at once; bounds the temporaries to about 15 MB.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, is_word: np.ndarra
         after[at[1:]] = False
     after[n] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    up, down = _powers(max(CHUNK_BYTES, 1 << int(n).bit_length()))
+    up, down = _powers(max(CHUNK_BYTES, 1 << n.bit_length()))
     prefix = np.empty(n + 1, np.uint64)
     prefix[0] = 0
     np.cumsum(_byte_values()[raw] * up[:n], out=prefix[1:])
