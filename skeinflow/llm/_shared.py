@@ -59,3 +59,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Rows up to which a written table is broadcast in a join; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a narrow written table, if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
