@@ -6,11 +6,14 @@ signature: every shingle deals out the ranks 0 to m-1 over the m slots by a rand
 permutation, and a slot keeps the smallest rank plus fraction that it was dealt. Rank
 levels are taken one at a time, and a document stops at the first level that can no
 longer lower a slot (early stopping). Signatures are banded. In each bucket only stars
-are tried, never all pairs: a class against the smallest class of a bucket, verified on
-full shingle sets. Union-find first contracts links within partitions, then star
-contraction joins the forests. Buckets whose members still lie in different components
-are tried again around other centres, and what is then left open is tried pair by pair
-across components, so no link between components is lost to the stars.
+are tried: a class against the smallest class of a bucket, verified on full shingle
+sets. Union-find first contracts links within partitions, then star contraction joins
+the forests. What stars can't settle are buckets whose members still lie in different
+components. Families of classes that such buckets connect are cut into small blocks; a
+task takes two blocks, compares the signatures of classes of different components, and
+verifies the likely ones until union-find has joined them, so no link between
+components is lost, no pair leaves a task but a verified link, and a large family is
+many tasks.
 
 With 32 bands of 4 slots a pair at the threshold of 0.75 shares no bucket with
 probability (1 - 0.75^4)^32, about 5e-6; links are confirmed on full sets, so none is
@@ -40,8 +43,11 @@ SHINGLE = 5
 NUMERATOR = 75
 SLOTS = 128
 BAND = 4
-#: Rounds of stars around other centres before open buckets are tried pair by pair.
-STAR_ROUNDS = 3
+#: Classes of a block, two of which a task compares.
+BLOCK = 128
+#: Share of equal slots from which two classes are verified: at a similarity of 0.75 the
+#: share is lower with a probability of about 1e-7.
+LIKELY = 0.55
 
 _U = np.uint64
 
@@ -129,13 +135,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = []
         for column in (2, 3):
             sides.append([s for w in _words.scan(batch.column(column), _words.SPACED, lower=True) for s in _words.distinct_shingles(w, SHINGLE)])
-        linked = []
-        for x, y in zip(*sides, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(both > 0 and 100 * both >= NUMERATOR * (len(x) + len(y) - both))
+        linked = [_similar(x, y) for x, y in zip(*sides, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=_TESTED.names)
 
 
+def _settle(table: pa.Table) -> pa.Table:
+    """The links that join components, among the classes of two blocks (columns node, label, text, first, second)."""
+    nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+    side = table.column("side").to_numpy()
+    texts = table.column("text").combine_chunks()
+    texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else texts.chunk(0).cast(pa.large_string())
+    sets = [s for w in _words.scan(texts, _words.SPACED, lower=True) for s in _words.distinct_shingles(w, SHINGLE)]
+    signatures = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)).view(np.uint64).astype(np.uint32)
+    known = np.unique(labels, return_inverse=True)[1]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    likely = []
+    for i in left:
+        own = right[known[right] != known[i]]
+        if right is left:
+            own = own[own > i]
+        equal = (signatures[own] == signatures[i]).mean(axis=1)
+        keep = equal >= LIKELY
+        likely += zip((-equal[keep]).tolist(), [int(i)] * int(keep.sum()), own[keep].tolist(), strict=True)
+    parent = list(range(len(known)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for _, i, j in sorted(likely):
+        a, b = root(known[i]), root(known[j])
+        if a != b and _similar(sets[i], sets[j]):
+            parent[max(a, b)] = min(a, b)
+            links.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64()), pa.array([True] * len(links), pa.bool_())], names=_TESTED.names)
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning star forest of each batch's edges: every node to its smallest."""
     for batch in batches:
@@ -210,25 +256,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return materialise(joined.mapInArrow(_verify, _TESTED))
 
+    def settle(still: DataFrame) -> DataFrame:
+        """All links between the components that meet in open buckets."""
+        centres = still.groupBy("key").agg(F.min("node").alias("b"))
+        edges = still.join(centres, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        family = components(edges).withColumnRenamed("component", "family")
+        sized = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "family")
+        sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        open_ = still.select("node", "label").distinct().join(sized, "node").join(sources.withColumnRenamed("doc_id", "node"), "node")
+        own = F.col("block")
+        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("node", "label", "text", "family", F.least(own, "other").alias("first"), F.greatest(own, "other").alias("second"), (own > F.col("other")).cast("int").alias("side"))
+        return dealt.groupBy("family", "first", "second").applyInArrow(_settle, _TESTED)
+
     first = members.where("node <> centre").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
     tested = test(first)
-    plain = members.select("key", "node")
-    for round_ in range(STAR_ROUNDS + 1):
-        still = materialise(_open(_labelled(plain, tested.where("linked"))))
-        if still.isEmpty():
-            break
-        if round_ < STAR_ROUNDS:
-            by = F.min("node") if round_ == 0 else F.min_by("node", F.xxhash64("node", F.lit(round_)))
-            at = still.groupBy("key").agg(by.alias("c"))
-            at = at.join(still.select("key", F.col("node").alias("c"), F.col("label").alias("c_label")), ["key", "c"])
-            pairs = still.join(at, "key").where("label <> c_label")
-            pairs = pairs.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b"))
-        else:
-            other = still.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"))
-            pairs = still.join(other, "key").where("node > b and label <> b_label").select(F.col("node").alias("a"), "b")
-        new = test(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = materialise(tested.union(new))
-        plain = still.select("key", "node")
+    still = materialise(_open(_labelled(members.select("key", "node"), tested.where("linked"))))
+    if not still.isEmpty():
+        at = still.groupBy("key").agg(F.min(F.struct("node", "label")).alias("c"))
+        pairs = still.join(at, "key").where("label <> c.label").select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b"))
+        tested = tested.union(test(pairs.distinct().join(tested, ["a", "b"], "left_anti")))
+        still = materialise(_open(_labelled(still.select("key", "node"), tested.where("linked"))))
+    if not still.isEmpty():
+        tested = tested.union(materialise(settle(still)))
     found = components(tested.where("linked"))
     by_class = classes.join(found, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
