@@ -68,3 +68,8 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a narrow written table, if it has no more than ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def let(value: F.Column, body) -> F.Column:
+    """``body`` of ``value``, which is computed once, however often and deep in lambdas the body refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -26,61 +26,69 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._shared import unused, words_of
+from skeinflow.llm._shared import let, unused, words_of
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 10_000
 #: Mean log likelihood ratio below which a document is rejected.
-THRESHOLD = -0.75
+THRESHOLD = -0.3
 #: Characters that count as symbols; fixed values.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def ngram_buckets(words: F.Column, buckets: int) -> F.Column:
-    """The bucket of each word and of each pair of neighbouring words."""
-    n = F.size(words)
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(F.xxhash64(words[i - 1], words[i]), F.lit(buckets)).cast("int"))
-    return F.concat(single, F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")))
-
-
-def _repeated_words(words: str, hashes: str, window: int) -> F.Column:
-    """Words in windows that occur twice or more; ``hashes`` has one hash of each window. n log n in a text's windows."""
-    n = F.size(hashes)
-    placed = F.sort_array(F.arrays_zip(F.col(hashes).alias("h"), F.sequence(F.lit(0), n - 1).alias("i")))
-    twice = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (F.get("_placed", k)["h"] == F.get("_placed", k - 1)["h"]) | (F.get("_placed", k)["h"] == F.get("_placed", k + 1)["h"]))
-    starts = F.sort_array(F.transform(twice, lambda k: F.get("_placed", k)["i"]))
-    covered = F.aggregate(
-        starts,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end")),
-        lambda a, s: F.struct((a["n"] + s + window - F.greatest(a["end"], s)).cast("bigint").alias("n"), (s + window).alias("end")),
-        lambda a: a["n"],
-    )
-    return placed, covered
-
-
-def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; names must be free."""
-    out = docs.withColumn("_words", words_of("text"))
-    text = F.coalesce("text", F.lit(""))
+def ngram_buckets(hashes: F.Column, buckets: int) -> F.Column:
+    """The bucket of each word and of each pair of neighbouring words, from an array of the words' hashes."""
+    single = F.transform(hashes, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(buckets)).cast("int"))
+    return F.concat(single, F.when(F.size(hashes) > 1, pairs).otherwise(F.array().cast("array<int>")))
+
+
+def word_hashes(words: F.Column) -> F.Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _repeated_words(hashes: F.Column) -> F.Column:
+    """Words in windows that occur twice or more, from a hash of each window; n log n in the windows of a text."""
+
+    def covered(placed):
+        at = lambda k: F.get(placed, k)["h"]
+        twice = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), lambda k: F.coalesce(at(k) == at(k - 1), F.lit(False)) | F.coalesce(at(k) == at(k + 1), F.lit(False)))
+        starts = F.sort_array(F.transform(twice, lambda k: F.get(placed, k)["i"]))
+        return F.aggregate(
+            starts,
+            F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end")),
+            lambda a, s: F.struct((a["n"] + s + WINDOW - F.greatest(a["end"], s)).cast("bigint").alias("n"), (s + WINDOW).alias("end")),
+            lambda a: a["n"],
+        )
+
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, covered)).otherwise(F.lit(0).cast("bigint"))
+
+
+def statistics(text: F.Column, ratios: F.Column, buckets: int) -> F.Column:
+    """All figures of a text in one struct, its words being split once."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))
-    n = F.size("_words")
-    starts = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))
-    out = out.withColumns({"_lines": lines, "_hashes": F.when(n >= WINDOW, starts).otherwise(F.array().cast("array<bigint>"))})
-    out = out.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_some": F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
-        }
-    )
-    placed, covered = _repeated_words("_words", "_hashes", WINDOW)
-    out = out.withColumn("_placed", F.when(F.col("_some"), placed))
-    out = out.withColumn("n_repeat_words", F.when(F.col("_some"), covered).otherwise(F.lit(0)).cast("long"))
-    return out.drop("_lines", "_hashes", "_some", "_placed")
+
+    def of(w):
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            let(word_hashes(w), of_hashes).alias("by_hash"),
+        )
+
+    def of_hashes(h):
+        n = F.size(h)
+        starts = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+        total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.size(grams)
+        return F.struct(
+            let(F.when(n >= WINDOW, starts).otherwise(F.array().cast("array<bigint>")), _repeated_words).alias("n_repeat_words"),
+            F.when(n > 0, let(ngram_buckets(h, buckets), total)).otherwise(0.0).alias("score"),
+        )
+
+    return let(words_of(text), of)
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
@@ -90,7 +98,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_t
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(max_trusted)
     marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
-    grams = marked.select(F.col("good_id").isNotNull().cast("long").alias("good"), F.explode(ngram_buckets(words_of("text"), buckets)).alias("bucket"))
+    grams = marked.select(F.col("good_id").isNotNull().cast("long").alias("good"), F.explode(let(word_hashes(words_of("text")), lambda h: ngram_buckets(h, buckets))).alias("bucket"))
     counts = {r[0]: (r[1], r[2]) for r in grams.groupBy("bucket").agg(F.count("*"), F.sum("good")).collect()}
     n, g = (sum(c[i] for c in counts.values()) for i in (0, 1))
     if not g:
@@ -100,22 +108,21 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_t
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """The documents' columns that are no clash, with the base counts, base_failed, score (mean log ratio) and kept."""
-    names = ["_words", "_lines", "_hashes", "_some", "_placed", "_grams", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    clash = [c for c in docs.columns if c.lower() in names]
-    renamed = dict(zip(clash, unused(docs, *(f"own_{c}" for c in clash)), strict=True))
+    """``docs`` and a struct quality: the base counts, base_failed, score (mean log ratio) and kept."""
+    (quality,) = unused(docs, "quality")
     # one literal of ``buckets`` doubles, whatever the size of the corpus
     ratios = F.lit(np.array(log_ratios(docs, labels, buckets, max_trusted)))
-    out = measure(docs.withColumnsRenamed(renamed)).withColumn("_grams", ngram_buckets(F.col("_words"), buckets))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
-    out = out.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "score": F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_words", "_grams")
+    out = docs.withColumn(quality, statistics(F.coalesce("text", F.lit("")), ratios, buckets))
+    q = lambda c: F.col(f"`{quality}`.{c}")
+    failed = (q("n_words") < 10) | (100 * q("by_hash.n_repeat_words") > 20 * q("n_words"))
+    counts = [q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")] + [q(f"by_hash.{c}").alias(c) for c in ("n_repeat_words", "score")]
+    return out.withColumn(quality, F.struct(*counts, failed.alias("base_failed"), (~failed & (q("by_hash.score") >= threshold)).alias("kept")))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), "doc_id", "text")
-    return judge(own, labels, **options).where("kept").select("_own.*")
+    found = judge(docs, labels, **options)
+    return found.where(F.col(f"`{found.columns[-1]}`.kept")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def reference(text: str | None) -> tuple[int, int, int, int, int, bool]:

@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._shared import unused
+from skeinflow.llm._shared import let, unused
 
 #: The base kinds, in the order in which equal starts are listed; fixed values.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,41 +48,52 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
 
 def _located(text: F.Column, matches: F.Column, pattern: str, kind: int) -> F.Column:
     """The matches with their positions; the pieces between them are only made where there is a match."""
-    pieces = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(pieces[i]) + F.length(matches[i])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(pieces[i])).alias("start"), F.lit(kind).alias("kind"), (a["at"] + F.length(pieces[i]) + F.length(matches[i])).alias("end"), matches[i].alias("text")))).cast(_SPAN).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(matches) > 0, walk).otherwise(F.array().cast(_SPAN))
+    def walk(both):
+        pieces, found = both["pieces"], both["found"]
+        ends = F.aggregate(
+            F.sequence(F.lit(0), F.size(found) - 1),
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out")),
+            lambda a, i: let(
+                F.struct((a["at"] + F.length(F.get(pieces, i))).alias("start"), F.get(found, i).alias("text")),
+                lambda m: F.struct((m["start"] + F.length(m["text"])).alias("at"), F.concat(a["out"], F.array(F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("text")))).cast(_SPAN).alias("out")),
+            ),
+            lambda a: a["out"],
+        )
+        return ends
+
+    located = let(F.struct(F.split(text, pattern, -1).alias("pieces"), matches.alias("found")), walk)
+    return F.when(F.size(matches) > 0, located).otherwise(F.array().cast(_SPAN))
 
 
 def _highest_entropy(text: F.Column, window: int) -> F.Column:
     """(first, last): the starts of the first and last window whose entropy reaches the text's threshold; null without."""
-    terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    chars = lambda i: F.substring(text, i, F.lit(1))
+    terms = F.lit(np.array([c * math.log2(c) if c else 0.0 for c in range(window + 2)]))
     count = lambda where, c: F.length(where) - F.length(F.replace(where, c, F.lit("")))
     value = lambda n: F.get(terms, n)
     limit = F.when(text.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).when(text.rlike("[a-z]") & text.rlike("[A-Z]"), THRESHOLDS["mixed"]).otherwise(THRESHOLDS["one_case"])
-    state = lambda s, first, last: F.struct(s.alias("s"), first.alias("first"), last.alias("last"))
-
-    def step(a, i):
-        held = F.substring(text, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))  # before this step
-        leaves = F.when(i > window, chars(i - window)).otherwise(F.lit(""))
-        n_out = F.when(i > window, count(held, leaves)).otherwise(F.lit(0))
-        s = a["s"] + F.when(n_out > 0, value(n_out - 1) - value(n_out)).otherwise(0.0)
-        held = F.when(i > window, F.substring(held, F.lit(2), F.lit(window))).otherwise(held)
-        n_in = count(held, chars(i))
-        s = s + value(n_in + 1) - value(n_in)
-        hot = (i >= window) & (F.lit(math.log2(window)) - s / window >= limit)
-        start = i - window
-        return state(s, F.when(hot & a["first"].isNull(), start).otherwise(a["first"]), F.when(hot, start).otherwise(a["last"]))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), state(F.lit(0.0), F.lit(None).cast("int"), F.lit(None).cast("int")), step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    nothing = F.lit(None).cast("int")
+
+    def slide(least):
+        def step(a, i):
+            char = F.substring(text, i, F.lit(1))
+            # the window's characters but the one that leaves, which is counted out
+            rest = F.substring(text, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+            leaves = F.substring(text, i - window, F.lit(1))
+            n_out = F.when(i > window, count(rest, leaves)).otherwise(-1)
+            n_in = count(rest, char)
+            s = a["s"] + F.when(i > window, value(n_out) - value(n_out + 1)).otherwise(0.0) + value(n_in + 1) - value(n_in)
+            return let(
+                s,
+                lambda s: let(
+                    (i >= window) & (F.lit(math.log2(window)) - s / window >= least),
+                    lambda hot: F.struct(s.alias("s"), F.when(hot & a["first"].isNull(), i - window).otherwise(a["first"]).alias("first"), F.when(hot, i - window).otherwise(a["last"]).alias("last")),
+                ),
+            )
+
+        start = F.struct(F.lit(0.0).alias("s"), nothing.alias("first"), nothing.alias("last"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    return let(limit, slide)
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
