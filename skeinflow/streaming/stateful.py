@@ -77,8 +77,11 @@ def assemble(lines: DataFrame) -> DataFrame:
     return listed.select("request_id", F.when(joined("content") != "", joined("content")).otherwise(joined("reasoning")).alias("text"), final("finish").alias("finish_reason"), final("tokens").alias("completion_tokens"))
 
 
-def sticky_stream(turns: DataFrame, threshold: int = 2, ttl: str = "1 hour") -> DataFrame:
-    """(conv_id, turn, expert) of a stream of user turns (conv_id, turn, text, new_expert), by keyed state that times out."""
+def sticky_stream(turns: DataFrame, threshold: int = 2, ttl_ms: int | None = None) -> DataFrame:
+    """(conv_id, turn, expert) of a stream of user turns (conv_id, turn, text, new_expert), by keyed state.
+
+    With ``ttl_ms``, idle conversations are forgotten; such a stream never runs out of batches.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -94,10 +97,11 @@ def sticky_stream(turns: DataFrame, threshold: int = 2, ttl: str = "1 hour") ->
                 before = row.text
                 out.append((key[0], row.turn, current))
         state.update((current, before))
-        state.setTimeoutDuration(3_600_000)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "expert"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, expert string", "current string, before string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, expert string", "current string, before string", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 def lru_stream(operations: DataFrame, size: int, ttl: float) -> DataFrame:
