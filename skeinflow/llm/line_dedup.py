@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._shared import materialise, small, unused
+from skeinflow.llm._shared import let, materialise, small, unused
 
 #: Lines of fewer words are never removed.
 MIN_WORDS = 4
@@ -44,21 +44,28 @@ def _words(norm: F.Column) -> F.Column:
     return F.split(norm, " ")
 
 
-def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, text_hash, pos, norm) of every line."""
+def _n_words(norm: F.Column) -> F.Column:
+    """Words between single spaces, counted without splitting."""
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pos, norm, n_words) of every line."""
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return own.select("doc_id", "text_hash", "pos", _norm(F.col("line")).alias("norm"))
+    own = own.select("doc_id", "text_hash", "pos", _norm(F.col("line")).alias("norm"))
+    return own.withColumn("n_words", _n_words(F.col("norm")))
 
 
 def _identity(norm: F.Column) -> F.Column:
     return F.xxhash64(norm, F.length(norm))
 
 
-def half_keys(norm: F.Column) -> F.Column:
+def half_keys(norm: F.Column, n: F.Column) -> F.Column:
     """Of a line of n words: hashes of the first and of the last m words, m being the halves of n and n - 1."""
-    n = F.size(_words(norm))
-    halves = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    return F.flatten(F.transform(halves, lambda m: F.array(F.xxhash64(F.lit("first"), m, F.call_function("substring_index", norm, F.lit(" "), m)), F.xxhash64(F.lit("last"), m, F.call_function("substring_index", norm, F.lit(" "), -m)))))
+    first = lambda m: F.xxhash64(F.lit(1), m, F.call_function("substring_index", norm, F.lit(" "), m))
+    last = lambda m: F.xxhash64(F.lit(2), m, F.call_function("substring_index", norm, F.lit(" "), -m))
+    half, less = F.shiftright(n, 1), F.shiftright(n - 1, 1)
+    return F.when(half == less, F.array(first(half), last(half))).otherwise(F.array(first(half), last(half), first(less), last(less)))
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
@@ -93,17 +100,17 @@ def within_one(a: F.Column, b: F.Column) -> F.Column:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of each document's lines that go, ascending."""
-    n_words = F.size(_words(F.col("norm")))
+    n_words = F.col("n_words")
     lines = _lines(docs).where(n_words >= min_words)
     place = F.struct("doc_id", "text_hash", "pos").alias("place")
-    keys = F.when(n_words >= edit_words, half_keys(F.col("norm"))).alias("keys")
+    keys = F.when(n_words >= edit_words, half_keys(F.col("norm"), n_words)).alias("keys")
     occurrences = materialise(lines.select(place, _identity(F.col("norm")).alias("line"), keys))
     distinct = materialise(occurrences.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min(F.to_json("keys")).isNotNull().alias("long")))
     # a half that two different lines share
     halves = occurrences.where("keys is not null").select("line", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
     able = materialise(halves.join(shared, "key", "left_semi").select("line").distinct())
-    texts = lines.select(_identity(F.col("norm")).alias("line"), "norm").where(n_words >= edit_words)
+    texts = lines.where(n_words >= edit_words).select(_identity(F.col("norm")).alias("line"), "norm")
     texts = materialise(texts.join(small(able), "line", "left_semi").dropDuplicates(["line"]))
     firsts = distinct.join(able, "line", "left_semi").select("line", "first")
     variants = materialise(neighbourhood(texts).join(firsts, "line"))
@@ -130,11 +137,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     gone = materialise(repeated_lines(docs, min_words, edit_words).toDF(gone_id, gone_hash, removed))
     joined = docs.join(small(gone), (docs["doc_id"] == F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_hash)), "left")
     lines = F.split(docs["text"], "\n", -1)
-    bounds = F.concat(F.array(F.lit(-1)), F.col(removed), F.array(F.size(lines)))
-    runs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.slice(lines, bounds[i] + 2, bounds[i + 1] - bounds[i] - 1))
-    kept = F.when(F.col(removed).isNull(), docs["text"]).otherwise(F.array_join(F.flatten(runs), "\n"))
+    n = F.octet_length(docs["text"]) - F.octet_length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1
+
+    def left(x):
+        bounds = F.concat(F.array(F.lit(-1)), F.col(removed), F.array(F.size(x)))
+        return let(bounds, lambda b: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: F.slice(x, F.get(b, i) + 2, F.get(b, i + 1) - F.get(b, i) - 1))), "\n"))
+
+    kept = F.when(F.col(removed).isNull(), docs["text"]).otherwise(let(lines, left))
     own = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*own, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(F.col(removed)), F.lit(0)).cast("long").alias(n_removed))
+    return joined.select(*own, F.coalesce(n, F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(F.col(removed)), F.lit(0)).cast("long").alias(n_removed))
 
 
 def reference(docs: list[tuple[int | None, str | None]], min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> dict[int, list[int]]:
