@@ -8,8 +8,8 @@ size is a second input. A logistic regression on these compression figures, fitt
 labelled rows that no dictionary has seen, turns them into a probability.
 
 Only the fit leaves the executors: at most ``max_rows`` labelled rows a class of at most
-``max_chars`` characters each, taken in the order of a hash of doc_id; longer texts are
-left out of the sample, never cut. Scoring reads every document whole, in one pass
+``max_chars`` characters each, picked from the labels in the order of a hash of doc_id;
+longer texts are left out of the sample, never cut. Scoring reads every document whole, in one pass
 without a shuffle.
 
 Defined results: null and empty texts are scored as empty text; without labels of both
@@ -94,13 +94,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model | None:
     """From labelled rows that are not held out; None without both classes."""
     labels = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.length("text") <= max_chars)
-        .join(labels, "doc_id")
-        .select("doc_id", "quality", "text", F.xxhash64("doc_id", F.lit(8)).alias("order"))
-    )
-    rows = [r for q in (0, 1) for r in sample.where(F.col("quality") == q).orderBy("order", "doc_id", "text").limit(max_rows).collect()]
+    order = (F.xxhash64("doc_id", F.lit(8)), "doc_id")
+    # two limits of max_rows: what is broadcast and what is collected are bounded, and documents aren't shuffled
+    picked = [labels.where(F.col("quality") == q).orderBy(*order).limit(max_rows) for q in (0, 1)]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    found = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).collect()
+    rows = sorted(found, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % 2**64, r["doc_id"]))
     rows = [(r["quality"], r["text"].encode()) for r in rows]
     kinds = [[t for q, t in rows if q == k and t] for k in (0, 1)]
     if min(map(len, kinds)) < 4:
