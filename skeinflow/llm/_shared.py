@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.functions.base import let as let
+from skeinflow.sources.storage import materialise as materialise
+
 #: Documents' columns, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    A folder of our own is made only where the setting is absent, which is the case
-    in local tests alone.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="skeinflow-")
-        context.setCheckpointDir(found)
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinflow/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: F.Column | str) -> F.Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null has none."""
     text = F.col(text) if isinstance(text, str) else text
@@ -68,8 +45,3 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a narrow written table, if it has no more than ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df
-
-
-def let(value: F.Column, body) -> F.Column:
-    """``body`` of ``value``, which is computed once, however often and deep in lambdas the body refers to it."""
-    return F.get(F.transform(F.array(value), body), 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinflow.llm._shared import table
 from skeinflow.llm import line_dedup, near_dedup, pii_surrogates, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, warc_revisits
 from skeinflow.llm.decontamination import find_contamination, items_digest
+from skeinflow.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
 def _equals(value: str):
@@ -65,7 +66,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return source_mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mixing.mix(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +87,3 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-
-ORACLE_SQL: dict[str, str] = {}
