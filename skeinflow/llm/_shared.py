@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from skeinflow.functions.base import let as let
 from skeinflow.sources.storage import materialise as materialise
 
-#: Documents' columns, in order.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 #: The word separators of the contracts: space and U+0009 to U+000D.
 SEPARATORS = " \\x09-\\x0D"
 
