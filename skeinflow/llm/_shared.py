@@ -35,10 +35,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Rows up to which a written table is broadcast in a join; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, or values of arrays, up to which a written table is broadcast in a join; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a narrow written table, if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, size: F.Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a narrow written table, if the sizes of its rows (1 each, unless told) add up to no more than ``most``."""
+    total = df.agg(F.coalesce(F.sum(F.lit(1) if size is None else size + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= most else df

@@ -14,8 +14,8 @@ Lossless prefilter: one edit leaves the first or the last half of a line as it i
 only lines that share a half with another line emit variants.
 
 Only hashes and positions are shuffled. Texts of candidate lines and the removals are
-joined to the documents by a broadcast while they number at most ``_shared.BROADCAST_ROWS``
-rows, and by a shuffle beyond.
+joined to the documents by a broadcast while rows and positions number at most
+``_shared.BROADCAST_ROWS``, and by a shuffle beyond.
 
 Defined results: the order is doc_id, then a hash of the text, then the line's position;
 judged on the input. Null or empty texts lose nothing. Rows with equal doc_id and text
@@ -135,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     """``docs`` with the lines left as text, and n_lines, n_removed (of the input's lines)."""
     n_lines, n_removed, gone_id, gone_hash, removed = unused(docs, "n_lines", "n_removed", "gone_id", "gone_hash", "removed")
     gone = materialise(repeated_lines(docs, min_words, edit_words).toDF(gone_id, gone_hash, removed))
-    joined = docs.join(small(gone), (docs["doc_id"] == F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_hash)), "left")
+    joined = docs.join(small(gone, F.size(removed)), (docs["doc_id"] == F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_hash)), "left")
     lines = F.split(docs["text"], "\n", -1)
     n = F.octet_length(docs["text"]) - F.octet_length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1
 
