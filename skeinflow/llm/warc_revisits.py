@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinflow.functions.base import let
+
 #: Captures of one URL that a slice of time should hold, about.
 SLICE_ROWS = 5000
 
@@ -62,8 +64,12 @@ def canonical_url(url: F.Column | str) -> F.Column:
 
 def _lowered(headers: F.Column) -> F.Column:
     pairs = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda f: f["key"] == e["key"]))
-    return F.coalesce(F.map_from_entries(F.filter(last, lambda e: e["key"].isNotNull())), F.create_map().cast("map<string,string>"))
+
+    def named(p):
+        last = F.filter(p, lambda e, i: e["key"].isNotNull() & ~F.exists(F.slice(p, i + 2, F.size(p)), lambda f: f["key"] == e["key"]))
+        return F.map_from_entries(last)
+
+    return F.coalesce(let(pairs, named), F.create_map().cast("map<string,string>"))
 
 
 def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -94,7 +100,7 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     own = records.where("type = 'revisit'")
     out = own.join(resolved, own["record_id"] == resolved["revisit_id"], "left").join(bodies, (F.col("refers_to") == F.col("response_id")) & (F.col("outcome") == "resolved"), "left")
     update = F.map_filter(_lowered(F.col("headers")), lambda k, _: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter(_lowered(F.col("response_headers")), lambda k, _: ~F.array_contains(F.map_keys(update), k)), update)
+    merged = let(update, lambda u: F.map_concat(F.map_filter(_lowered(F.col("response_headers")), lambda k, _: ~F.array_contains(F.map_keys(u), k)), u))
     ok = F.col("outcome") == "resolved"
     changed = {"headers": F.when(ok, merged).otherwise(F.col("headers")), "payload": F.when(ok, F.col("response_payload")).otherwise(F.col("payload")), "status": F.when(ok, F.col("response_status")).otherwise(F.col("status"))}
     return out.select(*(changed[c].alias(c) if c in changed else own[c] for c in own.columns), "refers_to", F.coalesce("outcome", F.lit("missing")).alias("outcome"))
