@@ -5,11 +5,14 @@ multinomials over hashed words and word pairs: one of trusted text (documents th
 ``labels`` marks as good), one of the whole corpus. The mean log ratio of a document's
 n-grams says whether it reads like trusted text; below a fixed threshold it is rejected.
 
-Corpus counts cover every document and are combined on the map side into ``buckets``
-numbers; the log ratios return to the scoring pass as one literal of ``buckets``
-doubles, whatever the size of the corpus. Documents themselves are never shuffled.
-Trusted documents are the ``max_trusted`` good labels with the smallest hashes, a
-documented bound on what is broadcast.
+Corpus counts cover every document and every good label, and are combined on the map
+side. The number of buckets is a power of two in proportion to the n-grams of the corpus,
+so that collisions stay as rare as the corpus grows. The counts are a written table. The
+scoring pass reads its ratios from one array of floats while there are no more than
+``DENSE_BUCKETS``; beyond, frequent buckets (of which there are at most
+``_shared.BROADCAST_ROWS``) are broadcast and n-grams of the others are joined by a shuffle.
+Sums are by hash of the text and return to the documents by a broadcast while they number
+at most ``_shared.BROADCAST_ROWS``, and by a shuffle beyond.
 
 Defined results: null and empty texts have no words and fail the base (fewer than ten
 words); without trusted documents the method rejects none; repeated rows are judged
@@ -22,14 +25,20 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._shared import let, unused, words_of
-
-BUCKETS = 1 << 14
-MAX_TRUSTED = 10_000
+from skeinflow.llm._shared import BROADCAST_ROWS, let, materialise, small, unused, words_of
+
+#: N-grams of the corpus, repeats included, for each bucket.
+GRAMS_PER_BUCKET = 32
+MIN_BUCKETS = 1 << 14
+#: Buckets up to which the ratios are one array (4 bytes each) in the scoring pass.
+DENSE_BUCKETS = 1 << 24
+#: Good labels up to which their ids are broadcast.
+TRUSTED_ROWS = 8_000_000
+#: Ratios of one array are gathered in stretches of so many buckets.
+STRETCH = 1 << 12
 #: Mean log likelihood ratio below which a document is rejected.
 THRESHOLD = -0.3
 #: Characters that count as symbols; fixed values.
@@ -39,9 +48,10 @@ WINDOW = 5
 
 def ngram_buckets(hashes: F.Column, buckets: int) -> F.Column:
     """The bucket of each word and of each pair of neighbouring words, from an array of the words' hashes."""
-    single = F.transform(hashes, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(buckets)).cast("int"))
-    return F.concat(single, F.when(F.size(hashes) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    kind = "int" if buckets <= 1 << 31 else "bigint"
+    single = F.transform(hashes, lambda x: F.pmod(x, F.lit(buckets)).cast(kind))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(buckets)).cast(kind))
+    return F.concat(single, F.when(F.size(hashes) > 1, pairs).otherwise(F.array().cast(f"array<{kind}>")))
 
 
 def word_hashes(words: F.Column) -> F.Column:
@@ -66,8 +76,8 @@ def _repeated_words(hashes: F.Column) -> F.Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, covered)).otherwise(F.lit(0).cast("bigint"))
 
 
-def statistics(text: F.Column, ratios: F.Column, buckets: int) -> F.Column:
-    """All figures of a text in one struct, its words being split once."""
+def statistics(text: F.Column) -> F.Column:
+    """The base counts of a text in one struct, its words being split once."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))
 
     def of(w):
@@ -76,47 +86,103 @@ def statistics(text: F.Column, ratios: F.Column, buckets: int) -> F.Column:
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(word_hashes(w), of_hashes).alias("by_hash"),
+            let(word_hashes(w), repeated).alias("n_repeat_words"),
         )
 
-    def of_hashes(h):
+    def repeated(h):
         n = F.size(h)
         starts = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
-        total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.size(grams)
-        return F.struct(
-            let(F.when(n >= WINDOW, starts).otherwise(F.array().cast("array<bigint>")), _repeated_words).alias("n_repeat_words"),
-            F.when(n > 0, let(ngram_buckets(h, buckets), total)).otherwise(0.0).alias("score"),
-        )
+        return let(F.when(n >= WINDOW, starts).otherwise(F.array().cast("array<bigint>")), _repeated_words)
 
     return let(words_of(text), of)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
-    """The log ratio of each bucket's share of trusted text to its share of the corpus, add-one smoothed.
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two in proportion to the n-grams of the corpus; words are counted as separators, which may be a few more."""
+    blanks = F.octet_length("text") - F.octet_length(F.translate("text", " \t\n\x0b\f\r", ""))
+    grams = docs.agg(F.sum(2 * (blanks + 1).cast("bigint"))).first()[0] or 0
+    return max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(grams / GRAMS_PER_BUCKET, 1))))
+
+
+def _grams(docs: DataFrame, buckets: int, kept: F.Column, name: str) -> DataFrame:
+    """``kept`` as ``name`` and the bucket of each n-gram of each document; ``kept`` is computed once a document."""
+    own = docs.select(kept.alias(name), let(word_hashes(words_of("text")), lambda h: ngram_buckets(h, buckets)).alias("own"))
+    return own.select(name, F.explode("own").alias("bucket"))
+
+
+def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, good): n-grams of the corpus and of all its trusted documents, written."""
+    good = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(10_000))
+    marked = docs.select("doc_id", "text").join(small(good, most=TRUSTED_ROWS), F.col("doc_id") == F.col("good_id"), "left")
+    grams = _grams(marked, buckets, F.col("good_id").isNotNull().cast("long"), "good")
+    return materialise(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
+
+
+def _ratio(n: F.Column, good: F.Column, totals: tuple[int, int], buckets: int) -> F.Column:
+    """The log ratio of a bucket's share of trusted text to its share of the corpus, add-one smoothed; 0 without trusted text."""
+    if not totals[1]:
+        return F.lit(0.0)
+    return F.log((good + 1) / F.lit(float(totals[1] + buckets))) - F.log((n + 1) / F.lit(float(totals[0] + buckets)))
+
+
+def _totals(counts: DataFrame) -> tuple[int, int]:
+    n, good = counts.agg(F.sum("n"), F.sum("good")).first()
+    return n or 0, good or 0
+
+
+def _dense(counts: DataFrame, totals: tuple[int, int], buckets: int) -> DataFrame:
+    """One row: the ratios of all buckets as an array of floats."""
+    spark, width = counts.sparkSession, min(STRETCH, buckets)
+    nothing = _ratio(F.lit(0), F.lit(0), totals, buckets).cast("float")
+    entry = F.struct((F.col("bucket") % width).cast("int").alias("at"), _ratio(F.col("n"), F.col("good"), totals, buckets).cast("float").alias("ratio"))
+    parts = counts.groupBy(F.floor(F.col("bucket") / width).cast("bigint").alias("stretch")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
+
+    def filled(own):
+        gap = lambda x, i: x["at"] - F.coalesce(F.get(own, i - 1)["at"], F.lit(-1)) - 1
+        found = F.flatten(F.transform(own, lambda x, i: F.concat(F.array_repeat(nothing, gap(x, i)), F.array(x["ratio"]))))
+        return let(found, lambda f: F.concat(f, F.array_repeat(nothing, F.lit(width) - F.size(f))))
+
+    parts = parts.select("stretch", let(F.col("own"), filled).alias("part"))
+    every = spark.range(-(-buckets // width)).select(F.col("id").alias("stretch")).join(parts, "stretch", "left")
+    placed = F.struct("stretch", F.coalesce("part", F.array_repeat(nothing, width)).alias("part"))
+    return materialise(every.agg(F.sort_array(F.collect_list(placed)).alias("all")).select(F.flatten(F.col("all.part")).alias("ratios")))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> list[float]:
+    """The log ratio of each bucket, on the driver; for few buckets."""
+    counts = bucket_counts(docs, labels, buckets)
+    return _dense(counts, _totals(counts), buckets).first()[0][:buckets]
+
 
-    Counted over every document; what reaches the driver is one row a bucket.
-    """
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(max_trusted)
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
-    grams = marked.select(F.col("good_id").isNotNull().cast("long").alias("good"), F.explode(let(word_hashes(words_of("text")), lambda h: ngram_buckets(h, buckets))).alias("bucket"))
-    counts = {r[0]: (r[1], r[2]) for r in grams.groupBy("bucket").agg(F.count("*"), F.sum("good")).collect()}
-    n, g = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    if not g:
-        return [0.0] * buckets
-    own = (counts.get(i, (0, 0)) for i in range(buckets))
-    return [math.log((y + 1) / (g + buckets)) - math.log((x + 1) / (n + buckets)) for x, y in own]
+def scores(docs: DataFrame, labels: DataFrame, buckets: int | None = None, dense: int = DENSE_BUCKETS) -> DataFrame:
+    """(text_hash, score): the mean log ratio of a text's n-grams, of texts that have words; written."""
+    buckets = buckets or bucket_count(docs)
+    counts = bucket_counts(docs, labels, buckets)
+    totals = _totals(counts)
+    grams = _grams(docs, buckets, F.xxhash64("text"), "text_hash")
+    if buckets <= dense:
+        # the array is read once and travels with the tasks
+        found = grams.select("text_hash", F.get(_dense(counts, totals, buckets).scalar(), F.col("bucket")).cast("double").alias("ratio"))
+    else:
+        # no more than BROADCAST_ROWS buckets have such a share of all n-grams
+        often = F.col("n") * BROADCAST_ROWS >= totals[0]
+        ratios = counts.select("bucket", _ratio(F.col("n"), F.col("good"), totals, buckets).alias("ratio"), often.alias("often"))
+        frequent = F.broadcast(ratios.where("often").drop("often"))
+        rare = grams.join(frequent, "bucket", "left_anti").join(ratios.where("not often").drop("often"), "bucket")
+        found = grams.join(frequent, "bucket").select("text_hash", "ratio").union(rare.select("text_hash", "ratio"))
+    return materialise(found.groupBy("text_hash").agg(F.avg("ratio").alias("score")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, dense: int = DENSE_BUCKETS) -> DataFrame:
     """``docs`` and a struct quality: the base counts, base_failed, score (mean log ratio) and kept."""
-    (quality,) = unused(docs, "quality")
-    # one literal of ``buckets`` doubles, whatever the size of the corpus
-    ratios = F.lit(np.array(log_ratios(docs, labels, buckets, max_trusted)))
-    out = docs.withColumn(quality, statistics(F.coalesce("text", F.lit("")), ratios, buckets))
+    quality, hashed, score = unused(docs, "quality", "text_hash", "score")
+    found = scores(docs, labels, buckets, dense).toDF(hashed, score)
+    out = docs.withColumn(quality, statistics(F.coalesce("text", F.lit("")))).join(small(found), F.xxhash64(docs["text"]) == F.col(hashed), "left")
     q = lambda c: F.col(f"`{quality}`.{c}")
-    failed = (q("n_words") < 10) | (100 * q("by_hash.n_repeat_words") > 20 * q("n_words"))
-    counts = [q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")] + [q(f"by_hash.{c}").alias(c) for c in ("n_repeat_words", "score")]
-    return out.withColumn(quality, F.struct(*counts, failed.alias("base_failed"), (~failed & (q("by_hash.score") >= threshold)).alias("kept")))
+    own = F.coalesce(F.col(score), F.lit(0.0))
+    failed = (q("n_words") < 10) | (100 * q("n_repeat_words") > 20 * q("n_words"))
+    counts = [q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [own.alias("score")]
+    return out.select(*(f"`{c}`" for c in docs.columns), F.struct(*counts, failed.alias("base_failed"), (~failed & (own >= threshold)).alias("kept")).alias(quality))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

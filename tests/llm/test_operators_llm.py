@@ -285,6 +285,22 @@ def test_quality_score_by_hand(spark):
     assert got[1] > got[2]
 
 
+def test_quality_buckets_follow_the_corpus(spark):
+    long = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
+    n = quality_rules.bucket_count(long)
+    assert n > quality_rules.MIN_BUCKETS and 800_000 * 2 <= n * quality_rules.GRAMS_PER_BUCKET < 4 * 800_000 * 2
+    assert quality_rules.bucket_count(long.union(long).union(long).union(long)) == 4 * n
+
+
+def test_quality_joined_scores_are_the_same(spark, rows, monkeypatch):
+    labels = spark.createDataFrame([(8, 1), (15, 1)], "doc_id long, quality int")
+    docs = frame(spark, [*rows, (77, rows[8][1]), (None, rows[8][1])])
+    want = {tuple(r) for r in quality_rules.judge(docs, labels, 5000).select("doc_id", F.round("quality.score", 5), "quality.kept").collect()}
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 20)  # else no bucket is rare
+    got = {tuple(r) for r in quality_rules.judge(docs, labels, 5000, dense=0).select("doc_id", F.round("quality.score", 5), "quality.kept").collect()}
+    assert got == want
+
+
 # revisits
 
 
