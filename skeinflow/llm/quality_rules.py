@@ -112,7 +112,7 @@ def _grams(docs: DataFrame, buckets: int, kept: F.Column, name: str) -> DataFram
 
 def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """(bucket, n, good): n-grams of the corpus and of all its trusted documents, written."""
-    good = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(10_000))
+    good = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct())
     marked = docs.select("doc_id", "text").join(small(good, most=TRUSTED_ROWS), F.col("doc_id") == F.col("good_id"), "left")
     grams = _grams(marked, buckets, F.col("good_id").isNotNull().cast("long"), "good")
     return materialise(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("good")))

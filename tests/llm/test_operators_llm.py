@@ -285,6 +285,12 @@ def test_quality_score_by_hand(spark):
     assert got[1] > got[2]
 
 
+def test_quality_counts_every_good_label(spark):
+    texts = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    counts = quality_rules.bucket_counts(texts, texts.select("doc_id", F.lit(1).alias("quality")), 64)
+    assert counts.agg(F.sum("n"), F.sum("good")).first() == (12_000, 12_000)
+
+
 def test_quality_buckets_follow_the_corpus(spark):
     long = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
     n = quality_rules.bucket_count(long)
