@@ -2,8 +2,8 @@
 
 The edit distance counts words (insertions, deletions, substitutions of one): lines of
 eight or more words are duplicates at a distance of at most 1, shorter ones only if
-equal, and lines of fewer than ``min_words`` words are left alone. Equal lines meet in
-one aggregation on their hash. The others meet by deletion neighbourhoods: every line
+equal, and lines without a word are left alone. Words are what lies between the
+contracts' separators. Equal lines meet in one aggregation on their hash. The others meet by deletion neighbourhoods: every line
 emits the hash of itself and of every variant with one word deleted; equal variants
 mean a distance of at most 2, and exact comparison of the words verifies. A variant's
 hash is the XOR of its word trigrams' hashes, changed in a few terms for each deleted
@@ -25,13 +25,13 @@ are compared without blanks (space, tab, CR) at their ends. Further columns pass
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._shared import let, materialise, small, unused
+from skeinflow.llm._shared import SEPARATORS, let, materialise, small, unused
 
-#: Lines of fewer words are never removed.
-MIN_WORDS = 4
 #: Lines of so many words or more may differ by one.
 EDIT_WORDS = 8
 
@@ -40,37 +40,43 @@ def _norm(line: F.Column) -> F.Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
-def _words(norm: F.Column) -> F.Column:
-    return F.split(norm, " ")
+def _spaced(norm: F.Column) -> F.Column:
+    """The words of a line with one space between them."""
+    return F.when(norm.rlike(r"[\x09-\x0D]|  "), F.trim(F.regexp_replace(norm, f"[{SEPARATORS}]+", " "))).otherwise(norm)
+
 
+def _words(spaced: F.Column) -> F.Column:
+    return F.split(spaced, " ")
 
-def _n_words(norm: F.Column) -> F.Column:
+
+def _n_words(spaced: F.Column) -> F.Column:
     """Words between single spaces, counted without splitting."""
-    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, norm, n_words) of every line."""
+    """(doc_id, text_hash, pos, norm, spaced, n_words) of every line that has a word."""
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     own = own.select("doc_id", "text_hash", "pos", _norm(F.col("line")).alias("norm"))
-    return own.withColumn("n_words", _n_words(F.col("norm")))
+    own = own.where(F.col("norm").rlike(f"[^{SEPARATORS}]")).withColumn("spaced", _spaced(F.col("norm")))
+    return own.withColumn("n_words", _n_words(F.col("spaced")))
 
 
 def _identity(norm: F.Column) -> F.Column:
     return F.xxhash64(norm, F.length(norm))
 
 
-def half_keys(norm: F.Column, n: F.Column) -> F.Column:
+def half_keys(spaced: F.Column, n: F.Column) -> F.Column:
     """Of a line of n words: hashes of the first and of the last m words, m being the halves of n and n - 1."""
-    first = lambda m: F.xxhash64(F.lit(1), m, F.call_function("substring_index", norm, F.lit(" "), m))
-    last = lambda m: F.xxhash64(F.lit(2), m, F.call_function("substring_index", norm, F.lit(" "), -m))
+    first = lambda m: F.xxhash64(F.lit(1), m, F.call_function("substring_index", spaced, F.lit(" "), m))
+    last = lambda m: F.xxhash64(F.lit(2), m, F.call_function("substring_index", spaced, F.lit(" "), -m))
     half, less = F.shiftright(n, 1), F.shiftright(n - 1, 1)
     return F.when(half == less, F.array(first(half), last(half))).otherwise(F.array(first(half), last(half), first(less), last(less)))
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """lines (line, norm) to (line, key, deleted): deleted is the deleted word's index, -1 for the line itself."""
-    hashes = F.transform(_words(F.col("norm")), lambda w: F.xxhash64(w))
+    """lines (line, spaced) to (line, key, deleted): deleted is the deleted word's index, -1 for the line itself."""
+    hashes = F.transform(_words(F.col("spaced")), lambda w: F.xxhash64(w))
     padded = lines.select("line", F.concat(F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long")), hashes, F.array(F.lit(-2).cast("long"), F.lit(-2).cast("long"))).alias("p"))
     at = lambda i: F.col("p")[i]
     grams = padded.withColumn("g", F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
@@ -98,19 +104,19 @@ def within_one(a: F.Column, b: F.Column) -> F.Column:
     return F.when(n == m, rest(a, 1) == rest(b, 1)).when(n == m + 1, rest(a, 1) == rest(b, 0)).when(m == n + 1, rest(a, 0) == rest(b, 1)).otherwise(False)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of each document's lines that go, ascending."""
     n_words = F.col("n_words")
-    lines = _lines(docs).where(n_words >= min_words)
+    lines = _lines(docs)
     place = F.struct("doc_id", "text_hash", "pos").alias("place")
-    keys = F.when(n_words >= edit_words, half_keys(F.col("norm"), n_words)).alias("keys")
+    keys = F.when(n_words >= edit_words, half_keys(F.col("spaced"), n_words)).alias("keys")
     occurrences = materialise(lines.select(place, _identity(F.col("norm")).alias("line"), keys))
     distinct = materialise(occurrences.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min(F.to_json("keys")).isNotNull().alias("long")))
     # a half that two different lines share
     halves = occurrences.where("keys is not null").select("line", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
     able = materialise(halves.join(shared, "key", "left_semi").select("line").distinct())
-    texts = lines.where(n_words >= edit_words).select(_identity(F.col("norm")).alias("line"), "norm")
+    texts = lines.where(n_words >= edit_words).select(_identity(F.col("norm")).alias("line"), "spaced")
     texts = materialise(texts.join(small(able), "line", "left_semi").dropDuplicates(["line"]))
     firsts = distinct.join(able, "line", "left_semi").select("line", "first")
     variants = materialise(neighbourhood(texts).join(firsts, "line"))
@@ -123,7 +129,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     shorter = variants.where("deleted = -1").join(cut, "key")
     pairs = [x.where("other.first < first").select("line", F.col("other.line").alias("partner")) for x in (substituted, longer, shorter)]
     pairs = pairs[0].union(pairs[1]).union(pairs[2]).distinct()
-    ours, theirs = texts.select("line", F.col("norm").alias("a")), texts.select(F.col("line").alias("partner"), F.col("norm").alias("b"))
+    ours, theirs = texts.select("line", F.col("spaced").alias("a")), texts.select(F.col("line").alias("partner"), F.col("spaced").alias("b"))
     near = pairs.join(ours, "line").join(theirs, "partner").where(within_one(_words(F.col("a")), _words(F.col("b")))).select("line").distinct()
     near = materialise(near).withColumn("near", F.lit(True))
     judged = distinct.join(near, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -131,10 +137,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     return gone.groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.pos")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``docs`` with the lines left as text, and n_lines, n_removed (of the input's lines)."""
     n_lines, n_removed, gone_id, gone_hash, removed = unused(docs, "n_lines", "n_removed", "gone_id", "gone_hash", "removed")
-    gone = materialise(repeated_lines(docs, min_words, edit_words).toDF(gone_id, gone_hash, removed))
+    gone = materialise(repeated_lines(docs, edit_words).toDF(gone_id, gone_hash, removed))
     joined = docs.join(small(gone, F.size(removed)), (docs["doc_id"] == F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_hash)), "left")
     lines = F.split(docs["text"], "\n", -1)
     n = F.octet_length(docs["text"]) - F.octet_length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1
@@ -148,7 +154,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     return joined.select(*own, F.coalesce(n, F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(F.col(removed)), F.lit(0)).cast("long").alias(n_removed))
 
 
-def reference(docs: list[tuple[int | None, str | None]], min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> dict[int, list[int]]:
+def reference(docs: list[tuple[int | None, str | None]], edit_words: int = EDIT_WORDS) -> dict[int, list[int]]:
     """Brute force, for tests with distinct doc_ids: the removed positions of each document."""
 
     def near(a: list[str], b: list[str]) -> bool:
@@ -159,19 +165,22 @@ def reference(docs: list[tuple[int | None, str | None]], min_words: int = MIN_WO
             p += 1
         return a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
 
+    def words_in(norm: str) -> list[str]:
+        return re.findall(r"[^\x20\x09-\x0D]+", norm)
+
     first: dict[str, tuple] = {}
     places = []
     for doc, text in sorted((d for d in docs if d[0] is not None and d[1] is not None), key=lambda d: d[0]):
         for pos, line in enumerate(text.split("\n")):
             norm = line.strip(" \t\r")
-            if len(norm.split(" ")) >= min_words:
+            if words_in(norm):
                 first.setdefault(norm, (doc, pos))
                 places.append((doc, pos, norm))
     order = sorted(first, key=first.get)
     by_size: dict[int, list[str]] = {}
     gone_lines = set()
     for norm in order:
-        words = norm.split(" ")
+        words = words_in(norm)
         if len(words) >= edit_words:
             if any(near(words, o) for k in (-1, 0, 1) for o in by_size.get(len(words) + k, [])):
                 gone_lines.add(norm)

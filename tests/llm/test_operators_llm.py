@@ -101,6 +101,17 @@ def test_many_lines_of_one_pattern(spark):
     assert got == {i: [0] for i in range(1, 300)}
 
 
+def test_short_and_unspaced_lines(spark):
+    long = [f"w{k}" for k in range(9)]
+    rows = [
+        (1, "\n".join(["Les.", "全ての権利を保有します。", "a\tb\tc\td", "\x0b", "", "\t".join(long)])),
+        (2, "\n".join(["Les. ", "全ての権利を保有します。", "a\tb\tc\td", "a b c d", "\x0b", "", "\t".join(["x", *long[1:]])])),
+        (3, "  ".join(long)),
+    ]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {2: [0, 1, 2, 6], 3: [0]} == line_dedup.reference(rows)
+
+
 # secrets
 
 
