@@ -16,14 +16,19 @@ def title(html: Column | str) -> Column:
     return F.trim(F.regexp_extract(F.lower(col(html)), "<title[^>]*>(.*?)</title>", 1))
 
 
-def body_text(html: Column | str) -> Column:
-    """The start of a page's text: the body without scripts, styles and tags, in lower case."""
+def whole_text(html: Column | str) -> Column:
+    """A page's text: the body without scripts, styles and tags, in lower case."""
     lower = F.lower(col(html))
     inner = F.regexp_extract(lower, "(?s)<body[^>]*>(.*?)</body>", 1)
     text = F.when(inner != "", inner).otherwise(lower)
     text = F.regexp_replace(text, "(?s)<script[^>]*>.*?</script>", "")
     text = F.regexp_replace(text, "(?s)<style[^>]*>.*?</style>", "")
-    return F.substring(F.regexp_replace(text, "<[^>]+>", " "), 1, BODY_CHARS)
+    return F.regexp_replace(text, "<[^>]+>", " ")
+
+
+def body_text(html: Column | str) -> Column:
+    """The start of a page's text, in which keywords are looked for."""
+    return F.substring(whole_text(html), 1, BODY_CHARS)
 
 
 def has_keywords(html: Column | str, keywords: Column) -> Column:

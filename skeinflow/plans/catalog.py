@@ -366,7 +366,7 @@ def lru_state(spark, d):
 
 @query()
 def page_cache(spark, d):
-    pages = table(spark, d, "pages").select("url", H.body_text("html").alias("text"))
+    pages = table(spark, d, "pages").select("url", H.whole_text("html").alias("text"))
     pages = sets.first_by(pages, ["url"], "text")
     stored = pages.where("length(url) % 2 = 0").select("url", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.lit(0.0).alias("ts"), F.lit(True).alias("relevant"))
     return C.page_chunks(pages, stored, "url", "text", F.lit(1.0)).select("url", "chunk_index", "content_hash", "ts", "relevant")
@@ -591,7 +591,7 @@ def token_assembly(spark, d):
 def entry_retrieval(spark, d):
     """Pages worth reading, chunked, without furniture, the best three chunks of each within a decaying token budget."""
     pages = filters.validate_urls(table(spark, d, "pages")).where("reject_stage is null")
-    chunks = pages.select("page_id", "url", H.title("html").alias("title"), F.posexplode(T.chunks(H.body_text("html"))).alias("chunk_index", "chunk"))
+    chunks = pages.select("page_id", "url", H.title("html").alias("title"), F.posexplode(T.chunks(H.whole_text("html"))).alias("chunk_index", "chunk"))
     words = T.query_words(F.lit(QUERY))
     scored = chunks.where(~T.is_noise("chunk", words)).withColumn("score", T.keyword_score("chunk", F.lit(QUERY)))
     best = rank.top_k_by(scored, ["page_id"], 3, "score", "chunk_index")

@@ -47,3 +47,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pages_are_chunked_whole(spark, tmp_path):
+    """What follows the 5000th character of a page reaches both queries."""
+    body = "filler words of the page. " * 300
+    page = lambda end: f"<html><body>{body}{end}</body></html>"
+    rows = [(1, "https://a.com/one", page(f"{catalog.QUERY} is what the end of the page speaks about.")), (2, "https://a.com/two", page("another end of the page."))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    chunks = catalog.QUERIES["entry_retrieval"](spark, str(tmp_path)).where("page_id = 1").select("chunk").collect()
+    assert any("speaks about" in r[0] for r in chunks)
+    hashes = {r[0] for r in catalog.QUERIES["page_cache"](spark, str(tmp_path)).select("content_hash").collect()}
+    assert len(hashes) == 2
