@@ -8,8 +8,11 @@ with rank directories, and suffix positions sampled by text position. All phrase
 searched backwards together; occurrences are located by walking the LF mapping to a
 sampled position; the spans that they cover are merged per document.
 
+Words are compared by their bytes; hashes only sort out words that no phrase has.
+
 The phrases are broadcast in blocks of at most ``block_bytes`` (a documented bound):
-a larger benchmark takes several passes, each of which adds to the spans found.
+a larger benchmark takes several passes, each of which adds to the spans found; between
+passes the documents are written, so a task holds one block.
 Nothing is shuffled, so hot sources or groups of copies cannot meet in one task, and
 a lost executor costs only its own tasks.
 
@@ -22,15 +25,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinflow.llm import _words
-from skeinflow.llm._shared import unused
+from skeinflow.llm._shared import materialise, unused
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -141,14 +146,16 @@ class Phrases:
     def __init__(self, items: list[tuple[int | None, str | None]], window: int) -> None:
         column = pa.array([t for _, t in items], pa.string())
         self.ids = [i for i, _ in items]
-        hashes, owner, rows = [], [], {}
+        spelled, hashes, owner, rows = [], [], [], {}
         for words in _words.scan(column, _words.ALNUM, lower=True):
+            spelled.append(words.spelled(np.arange(len(words.at))))
             hashes.append(words.hashes)
             owner.append(words.document() + words.first)
-        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
-        self.vocabulary = np.unique(hashes)
-        word_id = np.searchsorted(self.vocabulary, hashes) + 1
+        #: The words of the phrases; a word's id is its place, from 1.
+        self.vocabulary = pc.unique(pa.chunked_array(spelled, pa.large_binary()))
+        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+        word_id = np.concatenate([pc.index_in(x, self.vocabulary).to_numpy(zero_copy_only=False) for x in spelled]).astype(np.int64) + 1 if spelled else owner
         bounds = np.searchsorted(owner, np.arange(len(items) + 1))
         for i in range(len(items)):
             own = word_id[bounds[i] : bounds[i + 1]]
@@ -167,18 +174,36 @@ class Phrases:
         pairs = np.unique(np.stack([of.ravel(), items], axis=1), axis=0)
         return distinct, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Word ids from 1; 0 for a word that no phrase has."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+    def lookup(self, words: _words.Words, own: np.ndarray) -> np.ndarray:
+        """Ids, from 1, of some words by their bytes; 0 for a word that no phrase has."""
+        out = np.zeros(len(own), np.int64)
+        hashes = words.hashes[own]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        likely = np.flatnonzero(self.hashes[at] == hashes)
+        out[likely] = pc.fill_null(pc.index_in(words.spelled(own[likely]), self.vocabulary), -1).to_numpy(zero_copy_only=False) + 1
+        return out
 
+    @cached_property
     def prefilter(self) -> np.ndarray:
         """2^20 booleans by the low bits of a hash: may a phrase have this word."""
         table = np.zeros(1 << 20, bool)
-        table[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        table[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         return table
 
 
+_built: list[tuple[object, int, Phrases]] = []
+
+
+def built(items: list[tuple[int | None, str | None]], window: int) -> Phrases:
+    """The phrases of a broadcast block, made once a worker; the last two stay."""
+    for own, k, phrases in _built:
+        if own is items and k == window:
+            return phrases
+    _built.append((items, window, Phrases(items, window)))
+    del _built[:-2]
+    return _built[-1][2]
+
+
 def _stretches(present: np.ndarray, document: np.ndarray, least: int) -> np.ndarray:
     """Marks the words in runs of present words of one document, ``least`` words long or longer."""
     if not len(present):
@@ -193,7 +218,7 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[list[int], list[lis
     """Of each text: its words, its hit spans (first word, end word, first byte, end byte), the items found."""
     n_words, spans = [0] * len(texts), [[] for _ in range(len(texts))]
     found: list[set[int]] = [set() for _ in range(len(texts))]
-    prefilter = phrases.prefilter() if phrases.shortest else None
+    prefilter = phrases.prefilter if phrases.shortest else None
     kept = []
     for words in _words.scan(texts, _words.ALNUM, lower=True):
         n_words[words.first : words.first + len(words.counts)] = words.counts.tolist()
@@ -202,14 +227,12 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[list[int], list[lis
         document = words.document()
         mark = _stretches(prefilter[(words.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)], document, phrases.shortest)
         own = np.flatnonzero(mark)
-        ids = phrases.lookup(words.hashes[own])
-        mark = np.zeros(len(mark), bool)
-        mark[own[ids > 0]] = True
-        mark = _stretches(mark, document, phrases.shortest)
-        own = np.flatnonzero(mark)
+        ids = np.zeros(len(mark), np.int64)
+        ids[own] = phrases.lookup(words, own)
+        own = np.flatnonzero(_stretches(ids > 0, document, phrases.shortest))
         if len(own):
             position = own - words.offsets[document[own]]
-            kept.append((phrases.lookup(words.hashes[own]), document[own] + words.first, position, words.starts[own], words.ends[own]))
+            kept.append((ids[own], document[own] + words.first, position, words.starts[own], words.ends[own]))
     if not kept:
         return n_words, spans, found
     ids, document, position, start, end = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -276,7 +299,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     def pass_over(shared, more: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, window)
+            phrases = built(shared.value, window)
             for batch in batches:
                 n_words, own, found = search_shard(batch.column(text_at), phrases)
                 names = [sorted({str(phrases.ids[i]) for i in f if phrases.ids[i] is not None}) for f in found]
@@ -294,7 +317,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     out = docs
     for i, block in enumerate(_blocks(benchmark, block_bytes)):
-        out = out.mapInArrow(pass_over(context.broadcast(block), i > 0), schema)
+        out = (materialise(out) if i else out).mapInArrow(pass_over(context.broadcast(block), i > 0), schema)
     if out is docs:
         out = docs.mapInArrow(pass_over(context.broadcast([]), False), schema)
     n_hit = F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda a, s: a + s["end_word"] - s["first_word"])

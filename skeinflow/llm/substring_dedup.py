@@ -1,23 +1,27 @@
 """Substring dedup: a Count-min prefilter, then exact grouping of the windows it leaves.
 
-Documents are dealt into blocks of some tens of MB of text. Each block counts its
+Documents are dealt into blocks of some MB of text. Each block counts its
 windows of 13 words (once per document) in a Count-min sketch whose width follows the
 corpus, and sends it sparsely: the cells that it touched, sorted, as gaps of a byte or
 two, split into shards of the cell range. Shards merge the sketches and tell each block
 which of its own cells reached a count of two. As cells only overestimate, a window
-that two documents share always stays; the second pass sends hash and smallest doc_id
-of the windows left, grouped exactly by hash shard, and each block learns which of its
-windows start in a document with a smaller doc_id elsewhere. One entry per block and
-window is the most that is sent, so a passage in a third of all documents is
-pre-aggregated before any shuffle; sketch and answers together take a few bytes a
-window, and no task or driver holds more than a shard or a block.
-
-Windows are identified by 64-bit hashes: two different ones coincide with probability
-2^-64 a pair.
+that two documents share always stays; the second pass sends hash, smallest and largest
+doc_id of the windows left, grouped exactly by hash shard, and each block learns which of
+its windows start in a document with a smaller doc_id than one of its own. One entry per
+block and window is the most that is sent, so a passage in a third of all documents is
+pre-aggregated before any shuffle, and no task or driver holds more than a shard or a
+block. A task works on its blocks one after the other; its memory follows the block, or a
+single text that is longer (about 25 bytes a window of it). Sketch and answers take a few
+bytes a window while a block touches many cells of a shard (to some TB of text at these
+sizes); beyond, rows of single cells, some 30 bytes each.
+
+The sketch works on 64-bit hashes, where a coincidence only means that a window is looked
+at again. The exact pass tells windows apart by 128 bits.
 
 Defined results: null and empty texts have no words; documents of fewer than 13 words
 lose nothing; rows that repeat a doc_id are not smaller than each other; rows with a
-null doc_id lose nothing and take nothing from others; other columns are ignored.
+null doc_id lose nothing and take nothing from others; doc_id is cast to long, and one
+that is no integer counts as null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +39,13 @@ WINDOW = 13
 #: Rows (hash functions) of the sketch.
 ROWS = 2
 #: Text of a block, in bytes: bounds a Python worker's memory.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+#: Blocks that a task works on, one after the other, beyond as many tasks as the session shuffles to.
+BLOCKS_A_TASK = 32
 #: Cells, touched by blocks, that a shard of the sketch merges, about.
-SHARD_ENTRIES = 4 << 20
+SHARD_ENTRIES = 1 << 20
 #: Windows that a shard of the exact pass groups, at most about.
-SHARD_WINDOWS = 2 << 20
+SHARD_WINDOWS = 1 << 19
 
 _U = np.uint64
 _NONE = np.iinfo(np.int64).min
@@ -90,15 +96,17 @@ class Plan:
         return _words.mix(hashes ^ _U(0xA5A5A5A5 + row)) >> _U(64 - self.width_bits)
 
 
-def _block_windows(texts: pa.Array, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and doc_id of every window; those of rows without doc_id are left out."""
-    hashes, owners = [], []
+def _runs(texts: pa.Array, ids: np.ndarray, window: int) -> Iterator[tuple[_words.Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """Run by run: its words; first word, hash and doc_id of each window of rows with a doc_id."""
     for words in _words.scan(texts, _words.SPACED):
-        _, doc, own = words.windows(window)
-        id_ = ids[words.first + doc]
-        hashes.append(own[id_ != _NONE])
-        owners.append(id_[id_ != _NONE])
-    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.concatenate(owners) if owners else np.empty(0, np.int64)
+        first, doc, hashes = words.windows(window)
+        owner = ids[words.first + doc]
+        own = owner != _NONE
+        yield (words, first, hashes, owner) if own.all() else (words, first[own], hashes[own], owner[own])
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -111,28 +119,37 @@ def _whole(table: pa.Table, name: str) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def _distinct(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, their smallest and largest owner."""
-    order = np.argsort(hashes)
-    hashes, owners = hashes[order], owners[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
-    if not len(first):
-        return hashes, owners, owners
-    return hashes[first], np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted arrays."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = keys[0][1:] != keys[0][:-1]
+    for key in keys[1:]:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
 
 
 def _sketch(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        hashes, owners = _block_windows(_whole(table, "text"), _ids(_whole(table, "doc_id")), plan.window)
-        hashes, low, high = _distinct(hashes, owners)
-        twice = low != high
+        hashes, owners = [], []
+        for _, _, own, owner in _runs(_whole(table, "text"), _ids(_whole(table, "doc_id")), plan.window):
+            hashes.append(own)
+            owners.append(owner)
+        hashes, owners = _joined(hashes, np.uint64), _joined(owners, np.int64)
+        order = np.argsort(hashes)
+        hashes, owners = hashes[order], owners[order]
+        first = _starts(hashes)
+        twice = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.empty(0, bool)
+        hashes = hashes[first]
+        del owners, order
         out = []
         for row in range(ROWS):
             cells = plan.cells(hashes, row)
             order = np.argsort(cells)
             cells, more = cells[order], twice[order]
-            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+            first = _starts(cells)
             if not len(first):
                 continue
             more = np.logical_or.reduceat(more, first) | (np.diff(np.append(first, len(cells))) > 1)
@@ -168,90 +185,110 @@ def _merge_sketches(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([row.as_py()] * n, pa.int32()), pa.array([shard.as_py()] * n, pa.int64()), pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["row", "shard", "block", "cells"])
 
 
+_SENT = "part long, block long, hashes binary, checks binary, low binary, high binary"
+_SENT_NAMES, _SENT_KINDS = ["part", "block", "hashes", "checks", "low", "high"], (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
 def _estimated(plan: Plan):
-    """The windows of a block whose cells all count two or more: hash and smallest doc_id, by hash shard."""
+    """The windows of a block whose cells all count two or more: hash, smallest and largest doc_id, by hash shard."""
 
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        names, kinds = ["part", "block", "hashes", "least"], (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        if not docs.num_rows or not flags.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        block = docs.column("block")[0].as_py()
-        hashes, owners = _block_windows(_whole(docs, "text"), _ids(_whole(docs, "doc_id")), plan.window)
-        for row in range(ROWS):
-            own = [(s, c) for r, s, c in zip(flags.column("row").to_pylist(), flags.column("shard").to_pylist(), flags.column("cells").to_pylist(), strict=True) if r == row]
-            hot = [np.cumsum(decode(c)) + (_U(s << (plan.width_bits - plan.sketch_bits)) if s else _U(0)) for s, c in sorted(own)]
-            hot = np.concatenate(hot) if hot else np.empty(0, np.uint64)
-            keep = _member(plan.cells(hashes, row), hot)
-            hashes, owners = hashes[keep], owners[keep]
-        hashes, low, _ = _distinct(hashes, owners)
-        part = (hashes >> _U(64 - plan.hash_bits)).astype(np.int64) if plan.hash_bits else np.zeros(len(hashes), np.int64)
-        bounds = np.searchsorted(part, np.arange((1 << plan.hash_bits) + 1))
-        out = [(int(p), block, hashes[bounds[p] : bounds[p + 1]].tobytes(), low[bounds[p] : bounds[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(bounds))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=names)
+        out: list[tuple] = []
+        if docs.num_rows and flags.num_rows:
+            hot = []
+            for row in range(ROWS):
+                own = [(s, c) for r, s, c in zip(flags.column("row").to_pylist(), flags.column("shard").to_pylist(), flags.column("cells").to_pylist(), strict=True) if r == row]
+                hot.append(_Set(_joined([np.cumsum(decode(c)) + (_U(s << (plan.width_bits - plan.sketch_bits)) if s else _U(0)) for s, c in sorted(own)], np.uint64)))
+            found = []
+            for words, first, hashes, owner in _runs(_whole(docs, "text"), _ids(_whole(docs, "doc_id")), plan.window):
+                keep = np.arange(len(hashes))
+                for row in range(ROWS):
+                    keep = keep[hot[row].has(plan.cells(hashes[keep], row))]
+                if len(keep):
+                    found.append((hashes[keep], _words.windows(words.checks, plan.window)[first[keep]], owner[keep]))
+            if found:
+                hashes, checks, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((checks, hashes))
+                hashes, checks, owner = hashes[order], checks[order], owner[order]
+                first = _starts(hashes, checks)
+                sent = (hashes[first], checks[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first))
+                part = (sent[0] >> _U(64 - plan.hash_bits)).astype(np.int64) if plan.hash_bits else np.zeros(len(first), np.int64)
+                bounds = np.searchsorted(part, np.arange((1 << plan.hash_bits) + 1))
+                block = docs.column("block")[0].as_py()
+                out = [(int(p), block, *(x[bounds[p] : bounds[p + 1]].tobytes() for x in sent)) for p in np.flatnonzero(np.diff(bounds))]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, _SENT_KINDS, strict=True)], names=_SENT_NAMES)
 
     return run
 
 
-def _member(values: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Is each value among the sorted ``found``; most are not, so a bit table goes first."""
-    if not len(found):
-        return np.zeros(len(values), bool)
-    bits = min(26, max(10, int(len(found)).bit_length() + 3))
-    table = np.zeros(1 << bits, bool)
-    mask = _U((1 << bits) - 1)
-    table[(found & mask).astype(np.int64)] = True
-    maybe = np.flatnonzero(table[(values & mask).astype(np.int64)])
-    at = np.minimum(np.searchsorted(found, values[maybe]), len(found) - 1)
-    out = np.zeros(len(values), bool)
-    out[maybe[found[at] == values[maybe]]] = True
-    return out
+class _Set:
+    """Is a value in a sorted array; most are not, so a bit table goes first."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.found = found
+        self.mask = _U((1 << min(24, max(10, int(len(found)).bit_length() + 3))) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[(found & self.mask).astype(np.int64)] = True
+
+    def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which values are there, and the first place of each."""
+        if not len(self.found):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.table[(values & self.mask).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.found, values[maybe]), len(self.found) - 1)
+        is_in = self.found[at] == values[maybe]
+        return maybe[is_in], at[is_in]
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), bool)
+        out[self.places(values)[0]] = True
+        return out
 
 
 def _group_exactly(table: pa.Table) -> pa.Table:
-    """Of a hash shard, to each block: its windows that have a smaller doc_id in another block, and that doc_id."""
+    """Of a hash shard, to each block: its windows of which a doc_id is larger than the smallest of all, and that doc_id."""
     blocks = table.column("block").to_pylist()
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    least = [np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()]
-    both, low = np.concatenate(hashes), np.concatenate(least)
-    distinct, at = np.unique(both, return_inverse=True)
-    smallest = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, at, low)
-    gone = smallest[at] < low
+    hashes, checks = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("hashes", "checks"))
+    low, high = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("low", "high"))
+    order = np.lexsort((checks, hashes))
+    first = _starts(hashes[order], checks[order])
+    smallest = np.empty(len(hashes), np.int64)
+    smallest[order] = np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.append(first, len(order))))
+    gone = smallest < high
     out, begin = [], 0
-    for block, own in zip(blocks, hashes, strict=True):
-        mine = gone[begin : begin + len(own)]
-        if mine.any():
-            out.append((block, own[mine].tobytes(), smallest[at[begin : begin + len(own)][mine]].tobytes()))
-        begin += len(own)
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "hashes", "least"])
+    for block, own in zip(blocks, table.column("hashes").to_pylist(), strict=True):
+        mine = begin + np.flatnonzero(gone[begin : begin + len(own) // 8])
+        begin += len(own) // 8
+        if len(mine):
+            out.append((block, hashes[mine].tobytes(), checks[mine].tobytes(), smallest[mine].tobytes()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "hashes", "checks", "least"])
 
 
 def _remove(plan: Plan):
-    def run(docs: pa.Table, minima: pa.Table) -> Iterator[pa.Table] | pa.Table:
+    def run(docs: pa.Table, minima: pa.Table) -> pa.Table:
         names, kinds = ["doc_id", "n_words", "n_removed", "kept_text"], (pa.int64(), pa.int64(), pa.int64(), pa.string())
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         texts, ids = _whole(docs, "text"), _ids(_whole(docs, "doc_id"))
-        far = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in minima.column("hashes").to_pylist())])
-        far_least = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in minima.column("least").to_pylist())])
-        order = np.argsort(far)
-        far, far_least = far[order], far_least[order]
-        near, low, high = _distinct(*_block_windows(texts, ids, plan.window))
-        near, low = near[low != high], low[low != high]
-        known = np.concatenate([far, near])
-        order = np.argsort(known, kind="stable")
-        known, low = known[order], np.concatenate([far_least, low])[order]
-        first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]])) if len(known) else np.empty(0, np.int64)
-        known, low = (known[first], np.minimum.reduceat(low, first)) if len(first) else (known, low)
+        known, check = (_joined([np.frombuffer(x, np.uint64) for x in minima.column(c).to_pylist()], np.uint64) for c in ("hashes", "checks"))
+        least = _joined([np.frombuffer(x, np.int64) for x in minima.column("least").to_pylist()], np.int64)
+        order = np.lexsort((check, known))
+        known, check, least = _Set(known[order]), check[order], least[order]
         n_words, n_removed, kept = [], [], []
-        for words in _words.scan(texts, _words.SPACED):
-            at, doc, hashes = words.windows(plan.window)
-            own = ids[words.first + doc]
-            hit = np.flatnonzero(_member(hashes, known) & (own != _NONE))
-            hit = hit[low[np.searchsorted(known, hashes[hit])] < own[hit]] if len(hit) else hit
+        for words, first, hashes, owner in _runs(texts, ids, plan.window):
+            hit, at = known.places(hashes)
+            if len(hit):
+                own = _words.windows(words.checks, plan.window)[first[hit]]
+                while len(late := np.flatnonzero(check[at] < own)):  # the next of equal first halves, if there is one
+                    late = late[at[late] + 1 < len(check)]
+                    late = late[known.found[at[late] + 1] == hashes[hit[late]]]
+                    if not len(late):
+                        break
+                    at[late] += 1
+                hit = hit[(check[at] == own) & (least[at] < owner[hit])]
             edge = np.zeros(len(words.hashes) + 1, np.int64)
-            np.add.at(edge, at[hit], 1)
-            np.add.at(edge, at[hit] + plan.window, -1)
+            np.add.at(edge, first[hit], 1)
+            np.add.at(edge, first[hit] + plan.window, -1)
             gone = np.cumsum(edge[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(gone)])
             offsets = words.offsets
@@ -275,17 +312,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     # a word takes two bytes at least; six and a half are usual, and the width only needs the order of magnitude
     plan = Plan(max(1, (size or 0) // 6), max(size or 0, n or 0), window, block_bytes, shard_entries, shard_windows)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(plan.blocks)))
-    parts = max(plan.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-plan.blocks // BLOCKS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = dealt.repartition(parts, "block")
     sketches = blocks.groupBy("block").applyInArrow(_sketch(plan), "row int, shard long, block long, cells binary")
     flags = sketches.groupBy("row", "shard").applyInArrow(_merge_sketches, "row int, shard long, block long, cells binary")
-    left = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_estimated(plan), "part long, block long, hashes binary, least binary")
-    minima = left.groupBy("part").applyInArrow(_group_exactly, "block long, hashes binary, least binary")
+    left = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_estimated(plan), _SENT)
+    minima = left.groupBy("part").applyInArrow(_group_exactly, "block long, hashes binary, checks binary, least binary")
     return blocks.groupBy("block").cogroup(minima.groupBy("block")).applyInArrow(_remove(plan), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -50,9 +50,63 @@ def clashing(df):
     return df.withColumns({c: F.lit(7) for c in CLASH})
 
 
+def alike():
+    """Two words of 1,024 letters that every polynomial hash modulo 2^64 takes for one."""
+    return ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+
+
+def long_text(seed, n=300_000):
+    """A text of some MB, with one very long word and runs of it that come again."""
+    own = words(seed, n, 50_000)
+    return " ".join([*own, "x" * 400_000, *own[1000:3000]])
+
+
 # substring dedup
 
 
+def test_words_that_look_alike(spark):
+    a, b = alike()
+    rows = [(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, f"{a} {b} one two three"), (4, f"{b} {a} one two three")]
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted(substring_dedup.reference(rows))
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()) == brute_components(rows)
+    items = [(1, " ".join([b] * 13)), (2, a)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), r["contaminated"]) for r in decontamination.find_contamination(frame(spark, rows), bench).collect()]
+    assert sorted(got) == [(d, n, h, k, c) for d, n, h, k, _, c in sorted(decontamination.reference(rows, items))]
+
+
+def test_long_texts(spark):
+    rows = [(1, long_text(21)), (2, long_text(21) + " and more"), (3, long_text(22)), (4, "short")]
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted(substring_dedup.reference(rows))
+    assert [(r[0], r[2]) for r in sorted(near_dedup.near_duplicates(frame(spark, rows)).collect())] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    items = [(1, " ".join(words(22, 300_000, 50_000)[500:530])), (2, "x" * 400_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["n_hit"], r["items"]) for r in decontamination.find_contamination(frame(spark, rows), bench).collect()]
+    assert sorted(got) == [(1, 1, ["2"]), (2, 1, ["2"]), (3, 31, ["1", "2"]), (4, 0, [])]
+
+
+def test_words_by_bytes():
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skeinflow.llm import _words
+
+    texts = [None, "", " a b", "c", "a\tb  c ", "x" * 50, "ab " * 40, "é à", "y" * 70 + " " + "y" * 71 + " y" * 9, "x" * 50]
+    want = [(i, m[0], m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", (t or "").encode())]
+    for chunk in (7, 64, 1 << 18):
+        got, seen = [], {}
+        for run in _words.scan(pa.array(texts), _words.SPACED, chunk_bytes=chunk):
+            own = run.spelled(np.arange(len(run.at))).to_pylist()
+            got += zip((run.document() + run.first).tolist(), own, run.starts.tolist(), run.ends.tolist(), strict=True)
+            for w, h in zip(own, zip(run.hashes.tolist(), run.checks.tolist(), strict=True), strict=True):
+                seen.setdefault(w, set()).add(h)
+        assert got == want and all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(seen)
+
+
 @pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "shard_entries": 500, "shard_windows": 300}])
 def test_substring_dedup(spark, rows, options):
     rows = [*rows, (None, rows[5][1]), (3, rows[8][1]), (8, rows[8][1])]
