@@ -54,6 +54,8 @@ _NONE = np.iinfo(np.int64).min
 def encode(values: np.ndarray) -> bytes:
     """Non-negative integers as variable-length bytes, 7 bits each."""
     values = values.astype(np.uint64)
+    if not len(values):
+        return b""
     length = np.ones(len(values), np.int64)
     for k in range(1, 10):
         more = values >> _U(7 * k) > 0
@@ -81,6 +83,24 @@ def decode(data: bytes) -> np.ndarray:
     return np.add.reduceat(parts, starts)
 
 
+def encode_ids(values: np.ndarray) -> bytes:
+    """Integers of either sign: the sign goes last, so that small ones stay short."""
+    return encode(((values << 1) ^ (values >> 63)).view(np.uint64))
+
+
+def decode_ids(data: bytes) -> np.ndarray:
+    raw = decode(data)
+    return (raw >> _U(1)).view(np.int64) ^ -(raw & _U(1)).view(np.int64)
+
+
+def encode_sorted(values: np.ndarray) -> bytes:
+    return encode(np.diff(values, prepend=_U(0)))
+
+
+def decode_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(decode(data), dtype=np.uint64)
+
+
 class Plan:
     """Widths and shards for a corpus of so many windows and bytes; all powers of two."""
 
@@ -185,8 +205,8 @@ def _merge_sketches(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([row.as_py()] * n, pa.int32()), pa.array([shard.as_py()] * n, pa.int64()), pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["row", "shard", "block", "cells"])
 
 
-_SENT = "part long, block long, hashes binary, checks binary, low binary, high binary"
-_SENT_NAMES, _SENT_KINDS = ["part", "block", "hashes", "checks", "low", "high"], (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_SENT = "part long, block long, hashes binary, checks binary, low binary, more binary"
+_SENT_NAMES, _SENT_KINDS = ["part", "block", "hashes", "checks", "low", "more"], (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def _estimated(plan: Plan):
@@ -211,11 +231,14 @@ def _estimated(plan: Plan):
                 order = np.lexsort((checks, hashes))
                 hashes, checks, owner = hashes[order], checks[order], owner[order]
                 first = _starts(hashes, checks)
-                sent = (hashes[first], checks[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first))
-                part = (sent[0] >> _U(64 - plan.hash_bits)).astype(np.int64) if plan.hash_bits else np.zeros(len(first), np.int64)
+                hashes, checks, low = hashes[first], checks[first], np.minimum.reduceat(owner, first)
+                more = np.maximum.reduceat(owner, first) - low
+                part = (hashes >> _U(64 - plan.hash_bits)).astype(np.int64) if plan.hash_bits else np.zeros(len(first), np.int64)
                 bounds = np.searchsorted(part, np.arange((1 << plan.hash_bits) + 1))
                 block = docs.column("block")[0].as_py()
-                out = [(int(p), block, *(x[bounds[p] : bounds[p + 1]].tobytes() for x in sent)) for p in np.flatnonzero(np.diff(bounds))]
+                for p in np.flatnonzero(np.diff(bounds)):
+                    a, b = bounds[p], bounds[p + 1]
+                    out.append((int(p), block, encode_sorted(hashes[a:b]), checks[a:b].tobytes(), encode_ids(low[a:b]), encode(more[a:b])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, _SENT_KINDS, strict=True)], names=_SENT_NAMES)
 
     return run
@@ -248,19 +271,22 @@ class _Set:
 def _group_exactly(table: pa.Table) -> pa.Table:
     """Of a hash shard, to each block: its windows of which a doc_id is larger than the smallest of all, and that doc_id."""
     blocks = table.column("block").to_pylist()
-    hashes, checks = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("hashes", "checks"))
-    low, high = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("low", "high"))
+    own = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
+    sizes = [len(x) // 8 for x in table.column("checks").to_pylist()]
+    hashes, checks = np.concatenate(own("hashes", decode_sorted)), np.concatenate(own("checks", lambda x: np.frombuffer(x, np.uint64)))
+    low = np.concatenate(own("low", decode_ids))
+    high = low + np.concatenate(own("more", decode)).view(np.int64)
     order = np.lexsort((checks, hashes))
     first = _starts(hashes[order], checks[order])
     smallest = np.empty(len(hashes), np.int64)
     smallest[order] = np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.append(first, len(order))))
     gone = smallest < high
     out, begin = [], 0
-    for block, own in zip(blocks, table.column("hashes").to_pylist(), strict=True):
-        mine = begin + np.flatnonzero(gone[begin : begin + len(own) // 8])
-        begin += len(own) // 8
+    for block, n in zip(blocks, sizes, strict=True):
+        mine = begin + np.flatnonzero(gone[begin : begin + n])
+        begin += n
         if len(mine):
-            out.append((block, hashes[mine].tobytes(), checks[mine].tobytes(), smallest[mine].tobytes()))
+            out.append((block, encode_sorted(hashes[mine]), checks[mine].tobytes(), encode_ids(smallest[mine])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "hashes", "checks", "least"])
 
 
@@ -270,8 +296,8 @@ def _remove(plan: Plan):
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         texts, ids = _whole(docs, "text"), _ids(_whole(docs, "doc_id"))
-        known, check = (_joined([np.frombuffer(x, np.uint64) for x in minima.column(c).to_pylist()], np.uint64) for c in ("hashes", "checks"))
-        least = _joined([np.frombuffer(x, np.int64) for x in minima.column("least").to_pylist()], np.int64)
+        own = lambda name, read, kind: _joined([read(x) for x in minima.column(name).to_pylist()], kind)
+        known, check, least = own("hashes", decode_sorted, np.uint64), own("checks", lambda x: np.frombuffer(x, np.uint64), np.uint64), own("least", decode_ids, np.int64)
         order = np.lexsort((check, known))
         known, check, least = _Set(known[order]), check[order], least[order]
         n_words, n_removed, kept = [], [], []

@@ -64,6 +64,17 @@ def long_text(seed, n=300_000):
 # substring dedup
 
 
+def test_encodings():
+    import numpy as np
+
+    ids = np.array([0, 1, -1, 63, -64, 2**62, -(2**62), 2**63 - 1, -(2**63)])
+    assert substring_dedup.decode_ids(substring_dedup.encode_ids(ids)).tolist() == ids.tolist()
+    own = np.array([0, 1, 127, 128, 2**40, 2**63, 2**64 - 1], np.uint64)
+    assert substring_dedup.decode_sorted(substring_dedup.encode_sorted(own)).tolist() == own.tolist()
+    assert substring_dedup.decode(substring_dedup.encode(own)).tolist() == own.tolist()
+    assert not len(substring_dedup.decode_sorted(b""))
+
+
 def test_words_that_look_alike(spark):
     a, b = alike()
     rows = [(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, f"{a} {b} one two three"), (4, f"{b} {a} one two three")]
@@ -359,8 +370,22 @@ def test_quality_counts_every_good_label(spark):
 def test_quality_buckets_follow_the_corpus(spark):
     long = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
     n = quality_rules.bucket_count(long)
-    assert n > quality_rules.MIN_BUCKETS and 800_000 * 2 <= n * quality_rules.GRAMS_PER_BUCKET < 4 * 800_000 * 2
-    assert quality_rules.bucket_count(long.union(long).union(long).union(long)) == 4 * n
+    assert n > quality_rules.MIN_BUCKETS and n == pytest.approx((2 * 800_000) ** quality_rules.HEAPS, rel=1e-3)
+    assert quality_rules.bucket_count(long.union(long)) == pytest.approx(2**quality_rules.HEAPS * n, rel=1e-3)
+
+
+def test_quality_of_a_corpus(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = dict(zip([i for i, _ in rows], quality_rules.score_reference(rows, {r["doc_id"] for r in labels.where("quality = 1").collect()}, quality_rules.bucket_count(docs)), strict=True))
+    got = {r["doc_id"]: r["quality"] for r in quality_rules.judge(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(want[i], abs=1e-5)
+        assert got[i]["kept"] == (not quality_rules.reference(t)[5] and want[i] >= quality_rules.THRESHOLD) or abs(want[i] - quality_rules.THRESHOLD) < 1e-5
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    share = lambda q: [got[i]["kept"] for i, _ in rows if marks.get(i) == q and not got[i]["base_failed"]]
+    assert all(share(1)) and sum(share(0)) < 0.5 * len(share(0))
 
 
 def test_quality_joined_scores_are_the_same(spark, rows, monkeypatch):
