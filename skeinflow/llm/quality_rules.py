@@ -6,12 +6,13 @@ multinomials over hashed words and word pairs: one of trusted text (documents th
 n-grams says whether it reads like trusted text; below a fixed threshold it is rejected.
 
 Corpus counts cover every document and every good label, and are combined on the map
-side. The number of buckets is a power of two in proportion to the n-grams of the corpus,
-so that collisions stay as rare as the corpus grows. The counts are a written table. The
-scoring pass reads its ratios from one array of floats while there are no more than
-``DENSE_BUCKETS``; beyond, frequent buckets (of which there are at most
-``_shared.BROADCAST_ROWS``) are broadcast and n-grams of the others are joined by a shuffle.
-Sums are by hash of the text and return to the documents by a broadcast while they number
+side. The number of buckets follows the distinct n-grams of the corpus, which by Heaps' law
+are a power of all its n-grams, so that collisions stay as rare as the corpus grows. The
+counts are a written table. One pass makes base and score: it reads the ratios from one
+array of floats while there are no more than ``DENSE_BUCKETS`` (4 bytes each, on the driver
+and in every executor); beyond, frequent buckets (of which there are at most
+``_shared.BROADCAST_ROWS``) are broadcast, n-grams of the others are joined by a shuffle,
+and sums by hash of the text return to the documents by a broadcast while they number
 at most ``_shared.BROADCAST_ROWS``, and by a shuffle beyond.
 
 Defined results: null and empty texts have no words and fail the base (fewer than ten
@@ -30,14 +31,14 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm._shared import BROADCAST_ROWS, let, materialise, small, unused, words_of
 
-#: N-grams of the corpus, repeats included, for each bucket.
-GRAMS_PER_BUCKET = 32
+#: Buckets are the n-grams of the corpus, repeats included, to this power (Heaps' law), MIN_BUCKETS at least.
+HEAPS = 0.75
 MIN_BUCKETS = 1 << 14
 #: Buckets up to which the ratios are one array (4 bytes each) in the scoring pass.
-DENSE_BUCKETS = 1 << 24
+DENSE_BUCKETS = 1 << 26
 #: Good labels up to which their ids are broadcast.
 TRUSTED_ROWS = 8_000_000
-#: Ratios of one array are gathered in stretches of so many buckets.
+#: The array of ratios consists of stretches of so many buckets.
 STRETCH = 1 << 12
 #: Mean log likelihood ratio below which a document is rejected.
 THRESHOLD = -0.3
@@ -46,12 +47,15 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
+def _bucket(x: F.Column, buckets: int) -> F.Column:
+    return F.pmod(x, F.lit(buckets)).cast("int" if buckets < 1 << 31 else "bigint")
+
+
 def ngram_buckets(hashes: F.Column, buckets: int) -> F.Column:
     """The bucket of each word and of each pair of neighbouring words, from an array of the words' hashes."""
-    kind = "int" if buckets <= 1 << 31 else "bigint"
-    single = F.transform(hashes, lambda x: F.pmod(x, F.lit(buckets)).cast(kind))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(buckets)).cast(kind))
-    return F.concat(single, F.when(F.size(hashes) > 1, pairs).otherwise(F.array().cast(f"array<{kind}>")))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: _bucket(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), buckets))
+    single = F.transform(hashes, lambda x: _bucket(x, buckets))
+    return F.when(F.size(hashes) > 1, F.concat(single, pairs)).otherwise(single)
 
 
 def word_hashes(words: F.Column) -> F.Column:
@@ -76,8 +80,8 @@ def _repeated_words(hashes: F.Column) -> F.Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, covered)).otherwise(F.lit(0).cast("bigint"))
 
 
-def statistics(text: F.Column) -> F.Column:
-    """The base counts of a text in one struct, its words being split once."""
+def statistics(text: F.Column, score=None) -> F.Column:
+    """The base counts of a text in one struct, its words being split and hashed once; with ``score`` of the hashes, if given."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))
 
     def of(w):
@@ -86,7 +90,7 @@ def statistics(text: F.Column) -> F.Column:
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(word_hashes(w), repeated).alias("n_repeat_words"),
+            let(word_hashes(w), lambda h: F.struct(repeated(h).alias("n_repeat_words"), (score(h) if score else F.lit(None).cast("double")).alias("score"))).alias("of_hashes"),
         )
 
     def repeated(h):
@@ -98,10 +102,10 @@ def statistics(text: F.Column) -> F.Column:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """A power of two in proportion to the n-grams of the corpus; words are counted as separators, which may be a few more."""
+    """The n-grams of the corpus to the power HEAPS; words are counted as separators, which may be a few more."""
     blanks = F.octet_length("text") - F.octet_length(F.translate("text", " \t\n\x0b\f\r", ""))
     grams = docs.agg(F.sum(2 * (blanks + 1).cast("bigint"))).first()[0] or 0
-    return max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(grams / GRAMS_PER_BUCKET, 1))))
+    return max(MIN_BUCKETS, math.ceil(grams**HEAPS))
 
 
 def _grams(docs: DataFrame, buckets: int, kept: F.Column, name: str) -> DataFrame:
@@ -131,7 +135,7 @@ def _totals(counts: DataFrame) -> tuple[int, int]:
 
 
 def _dense(counts: DataFrame, totals: tuple[int, int], buckets: int) -> DataFrame:
-    """One row: the ratios of all buckets as an array of floats."""
+    """One row, written: the ratios of all buckets as an array of stretches of floats."""
     spark, width = counts.sparkSession, min(STRETCH, buckets)
     nothing = _ratio(F.lit(0), F.lit(0), totals, buckets).cast("float")
     entry = F.struct((F.col("bucket") % width).cast("int").alias("at"), _ratio(F.col("n"), F.col("good"), totals, buckets).cast("float").alias("ratio"))
@@ -145,44 +149,65 @@ def _dense(counts: DataFrame, totals: tuple[int, int], buckets: int) -> DataFram
     parts = parts.select("stretch", let(F.col("own"), filled).alias("part"))
     every = spark.range(-(-buckets // width)).select(F.col("id").alias("stretch")).join(parts, "stretch", "left")
     placed = F.struct("stretch", F.coalesce("part", F.array_repeat(nothing, width)).alias("part"))
-    return materialise(every.agg(F.sort_array(F.collect_list(placed)).alias("all")).select(F.flatten(F.col("all.part")).alias("ratios")))
+    return materialise(every.agg(F.sort_array(F.collect_list(placed)).alias("all")).select(F.col("all.part").alias("ratios")))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> list[float]:
     """The log ratio of each bucket, on the driver; for few buckets."""
     counts = bucket_counts(docs, labels, buckets)
-    return _dense(counts, _totals(counts), buckets).first()[0][:buckets]
+    return [x for part in _dense(counts, _totals(counts), buckets).first()[0] for x in part][:buckets]
 
 
-def scores(docs: DataFrame, labels: DataFrame, buckets: int | None = None, dense: int = DENSE_BUCKETS) -> DataFrame:
-    """(text_hash, score): the mean log ratio of a text's n-grams, of texts that have words; written."""
-    buckets = buckets or bucket_count(docs)
-    counts = bucket_counts(docs, labels, buckets)
-    totals = _totals(counts)
+def _mean_ratio(ratios: F.Column, buckets: int):
+    """From the hashes of a text's words to the mean ratio of its n-grams, which are made and looked up one by one; null without words.
+
+    ``ratios`` is referred to once, so that its array, a subquery's value, is not copied into rows.
+    """
+    width = min(STRETCH, buckets)
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0.0).alias("sum"))
+
+    def total(h, all_):
+        ratio = lambda x: let(_bucket(x, buckets), lambda b: F.get(F.get(all_, F.floor(b / width).cast("int")), b % width)).cast("double")
+        step = lambda a, x: F.struct(x.alias("last"), (a["sum"] + ratio(x) + F.when(a["last"].isNull(), 0.0).otherwise(ratio(F.xxhash64(a["last"], x)))).alias("sum"))
+        return F.aggregate(h, start, step, lambda a: a["sum"])
+
+    return lambda h: F.when(F.size(h) > 0, let(ratios, lambda all_: total(h, all_)) / (2 * F.size(h) - 1))
+
+
+def _joined_scores(docs: DataFrame, counts: DataFrame, totals: tuple[int, int], buckets: int) -> DataFrame:
+    """(text_hash, score) of texts that have words, written; for more buckets than one array holds."""
     grams = _grams(docs, buckets, F.xxhash64("text"), "text_hash")
-    if buckets <= dense:
-        # the array is read once and travels with the tasks
-        found = grams.select("text_hash", F.get(_dense(counts, totals, buckets).scalar(), F.col("bucket")).cast("double").alias("ratio"))
-    else:
-        # no more than BROADCAST_ROWS buckets have such a share of all n-grams
-        often = F.col("n") * BROADCAST_ROWS >= totals[0]
-        ratios = counts.select("bucket", _ratio(F.col("n"), F.col("good"), totals, buckets).alias("ratio"), often.alias("often"))
-        frequent = F.broadcast(ratios.where("often").drop("often"))
-        rare = grams.join(frequent, "bucket", "left_anti").join(ratios.where("not often").drop("often"), "bucket")
-        found = grams.join(frequent, "bucket").select("text_hash", "ratio").union(rare.select("text_hash", "ratio"))
+    # no more than BROADCAST_ROWS buckets have such a share of all n-grams
+    often = F.col("n") * BROADCAST_ROWS >= totals[0]
+    ratios = counts.select("bucket", _ratio(F.col("n"), F.col("good"), totals, buckets).alias("ratio"), often.alias("often"))
+    frequent = F.broadcast(ratios.where("often").drop("often"))
+    rare = grams.join(frequent, "bucket", "left_anti").join(ratios.where("not often").drop("often"), "bucket")
+    found = grams.join(frequent, "bucket").select("text_hash", "ratio").union(rare.select("text_hash", "ratio"))
     return materialise(found.groupBy("text_hash").agg(F.avg("ratio").alias("score")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, dense: int = DENSE_BUCKETS) -> DataFrame:
     """``docs`` and a struct quality: the base counts, base_failed, score (mean log ratio) and kept."""
-    quality, hashed, score = unused(docs, "quality", "text_hash", "score")
-    found = scores(docs, labels, buckets, dense).toDF(hashed, score)
-    out = docs.withColumn(quality, statistics(F.coalesce("text", F.lit("")))).join(small(found), F.xxhash64(docs["text"]) == F.col(hashed), "left")
+    quality, hashed, joined, ratios = unused(docs, "quality", "text_hash", "score", "ratios")
+    text = F.coalesce("text", F.lit(""))
+    buckets = buckets or bucket_count(docs)
+    counts = bucket_counts(docs, labels, buckets)
+    totals = _totals(counts)
     q = lambda c: F.col(f"`{quality}`.{c}")
-    own = F.coalesce(F.col(score), F.lit(0.0))
-    failed = (q("n_words") < 10) | (100 * q("n_repeat_words") > 20 * q("n_words"))
-    counts = [q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [own.alias("score")]
-    return out.select(*(f"`{c}`" for c in docs.columns), F.struct(*counts, failed.alias("base_failed"), (~failed & (own >= threshold)).alias("kept")).alias(quality))
+    if buckets <= dense:
+        # the array is read once and travels with the tasks
+        out = docs.withColumn(ratios, _dense(counts, totals, buckets).scalar())
+        out = out.withColumn(quality, statistics(text, _mean_ratio(F.col(ratios), buckets)))
+        score = q("of_hashes.score")
+    else:
+        found = _joined_scores(docs, counts, totals, buckets).toDF(hashed, joined)
+        out = docs.withColumn(quality, statistics(text)).join(small(found), F.xxhash64(docs["text"]) == F.col(hashed), "left")
+        score = F.col(joined)
+    own = F.coalesce(score, F.lit(0.0))
+    repeats = q("of_hashes.n_repeat_words")
+    failed = (q("n_words") < 10) | (100 * repeats > 20 * q("n_words"))
+    told = [*(q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")), repeats.alias("n_repeat_words"), own.alias("score")]
+    return out.select(*(f"`{c}`" for c in docs.columns), F.struct(*told, failed.alias("base_failed"), (~failed & (own >= threshold)).alias("kept")).alias(quality))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -200,3 +225,21 @@ def reference(text: str | None) -> tuple[int, int, int, int, int, bool]:
     covered = {j for i in range(len(words) - WINDOW + 1) if found[tuple(words[i : i + WINDOW])] > 1 for j in range(i, i + WINDOW)}
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
     return len(words), sum(map(len, words)), sum(c in SYMBOLS for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+def score_reference(docs: list[tuple[int | None, str | None]], good: set[int], buckets: int) -> list[float]:
+    """Brute force of the scores, for tests; word and pair hashes are XXH64 with seed 42, a pair's second word seeded by the first."""
+    import xxhash
+
+    def grams(text: str | None) -> list[int]:
+        signed = lambda x: x - (x >> 63 << 64)
+        words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        of = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        return [signed(x) % buckets for x in words] + [signed(of(y, of(x, 42))) % buckets for x, y in zip(words, words[1:], strict=False)]
+
+    own = [grams(t) for _, t in docs]
+    n = Counter(g for x in own for g in x)
+    trusted = Counter(g for (i, _), x in zip(docs, own, strict=True) if i in good for g in x)
+    totals = sum(n.values()), sum(trusted.values())
+    ratio = lambda g: math.log((trusted[g] + 1) / (totals[1] + buckets)) - math.log((n[g] + 1) / (totals[0] + buckets))
+    return [sum(map(ratio, x)) / len(x) if x and totals[1] else 0.0 for x in own]
