@@ -6,9 +6,10 @@ equal, and lines without a word are left alone. Words are what lies between the
 contracts' separators. Equal lines meet in one aggregation on their hash. The others meet by deletion neighbourhoods: every line
 emits the hash of itself and of every variant with one word deleted; equal variants
 mean a distance of at most 2, and exact comparison of the words verifies. A variant's
-hash is the XOR of its word trigrams' hashes, changed in a few terms for each deleted
-word, so a line of n words takes time in proportion to n. Within a variant only the
-earliest line is a partner, never all pairs.
+hash is made of the sums of its word trigrams' hashes, changed in a few terms for each
+deleted word, so a line of n words takes time in proportion to n; as sums, terms that
+occur twice do not cancel. Within a variant only the earliest line is a partner, never
+all pairs. A line is known by two 64-bit hashes.
 
 Lossless prefilter: one edit leaves the first or the last half of a line as it is, so
 only lines that share a half with another line emit variants.
@@ -30,6 +31,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.functions.base import contains_any
 from skeinflow.llm._shared import SEPARATORS, let, materialise, small, unused
 
 #: Lines of so many words or more may differ by one.
@@ -42,7 +44,8 @@ def _norm(line: F.Column) -> F.Column:
 
 def _spaced(norm: F.Column) -> F.Column:
     """The words of a line with one space between them."""
-    return F.when(norm.rlike(r"[\x09-\x0D]|  "), F.trim(F.regexp_replace(norm, f"[{SEPARATORS}]+", " "))).otherwise(norm)
+    odd = contains_any(norm, ("  ", "\t", "\x0b", "\x0c", "\r"))
+    return F.when(odd, F.trim(F.regexp_replace(norm, f"[{SEPARATORS}]+", " "))).otherwise(norm)
 
 
 def _words(spaced: F.Column) -> F.Column:
@@ -58,12 +61,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, norm, spaced, n_words) of every line that has a word."""
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     own = own.select("doc_id", "text_hash", "pos", _norm(F.col("line")).alias("norm"))
-    own = own.where(F.col("norm").rlike(f"[^{SEPARATORS}]")).withColumn("spaced", _spaced(F.col("norm")))
+    own = own.where(F.trim("norm", F.lit(" \t\x0b\x0c\r")) != "").withColumn("spaced", _spaced(F.col("norm")))
     return own.withColumn("n_words", _n_words(F.col("spaced")))
 
 
 def _identity(norm: F.Column) -> F.Column:
-    return F.xxhash64(norm, F.length(norm))
+    return F.struct(F.xxhash64(norm, F.octet_length(norm)).alias("a"), F.xxhash64(F.octet_length(norm), norm).alias("b"))
 
 
 def half_keys(spaced: F.Column, n: F.Column) -> F.Column:
@@ -80,16 +83,19 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
     padded = lines.select("line", F.concat(F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long")), hashes, F.array(F.lit(-2).cast("long"), F.lit(-2).cast("long"))).alias("p"))
     at = lambda i: F.col("p")[i]
     grams = padded.withColumn("g", F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
-    whole = grams.withColumn("h", F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    low, high = (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda x: F.shiftrightunsigned(x, 32))
+    total = lambda half: F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + half(x))
+    whole = grams.withColumns({"l": total(low), "h": total(high)})
     g = lambda i: F.col("g")[i]
     n = F.size("p") - 4
 
     def without(i):
-        h = F.col("h").bitwiseXOR(g(i)).bitwiseXOR(g(i + 1)).bitwiseXOR(g(i + 2))
-        h = h.bitwiseXOR(F.xxhash64(at(i), at(i + 1), at(i + 3))).bitwiseXOR(F.xxhash64(at(i + 1), at(i + 3), at(i + 4)))
-        return F.struct(F.xxhash64(h, n - 1).alias("key"), i.alias("deleted"))
+        ends = F.array(F.xxhash64(at(i), at(i + 1), at(i + 3)), F.xxhash64(at(i + 1), at(i + 3), at(i + 4)))
+        less = lambda c, half: lambda e: F.col(c) - half(g(i)) - half(g(i + 1)) - half(g(i + 2)) + half(e[0]) + half(e[1])
+        key = let(ends, lambda e: F.xxhash64(less("l", low)(e), less("h", high)(e), n - 1))
+        return F.struct(key.alias("key"), i.alias("deleted"))
 
-    itself = F.array(F.struct(F.xxhash64("h", n).alias("key"), F.lit(-1).alias("deleted")))
+    itself = F.array(F.struct(F.xxhash64("l", "h", n).alias("key"), F.lit(-1).alias("deleted")))
     return whole.select("line", F.inline(F.concat(itself, F.transform(F.sequence(F.lit(0), n - 1), without))))
 
 
@@ -111,10 +117,11 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "pos").alias("place")
     keys = F.when(n_words >= edit_words, half_keys(F.col("spaced"), n_words)).alias("keys")
     occurrences = materialise(lines.select(place, _identity(F.col("norm")).alias("line"), keys))
-    distinct = materialise(occurrences.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min(F.to_json("keys")).isNotNull().alias("long")))
+    distinct = materialise(occurrences.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     # a half that two different lines share
     halves = occurrences.where("keys is not null").select("line", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
+    ends = [f(f"line.{c}").alias(f"{c}{k}") for c in "ab" for k, f in enumerate((F.min, F.max))]
+    shared = halves.groupBy("key").agg(*ends).where("a0 <> a1 or b0 <> b1").select("key")
     able = materialise(halves.join(shared, "key", "left_semi").select("line").distinct())
     texts = lines.where(n_words >= edit_words).select(_identity(F.col("norm")).alias("line"), "spaced")
     texts = materialise(texts.join(small(able), "line", "left_semi").dropDuplicates(["line"]))

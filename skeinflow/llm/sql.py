@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import source_mixing
+from skeinflow.llm import line_dedup, source_mixing
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -17,6 +17,20 @@ p AS (SELECT doc_id, i, a[i] AS word FROM (SELECT doc_id, a, unnest(range(1, len
 k AS (SELECT p.doc_id, count(r.p) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (r.p IS NULL) AS kept FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.p = p.i GROUP BY 1)
 SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
+#: A line's place is doc_id * 2^24 + position: doc_ids are unique and lines of a text are fewer.
+_LINE_WORDS = r"list_filter(regexp_split_to_array(norm, '[ \t\x0b\f\r]+'), lambda w: w <> '')"
+LINE_DEDUP = f"""WITH l AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)),
+o AS (SELECT doc_id, pos, norm, doc_id * 16777216 + pos AS place FROM l WHERE len({_LINE_WORDS}) > 0),
+d AS (SELECT norm, min(place) AS f FROM o GROUP BY norm),
+w AS (SELECT norm, f, {_LINE_WORDS} AS a FROM d WHERE len({_LINE_WORDS}) >= {line_dedup.EDIT_WORDS}),
+v AS (SELECT norm, f, i, md5(array_to_string(a[:i - 1] || a[i + 1:], ' ')) AS k FROM (SELECT norm, f, a, unnest(range(1, len(a) + 1)) AS i FROM w)),
+h AS (SELECT norm, f, md5(array_to_string(a, ' ')) AS k FROM w),
+vi AS (SELECT k, i, min(f) AS least FROM v GROUP BY k, i), vk AS (SELECT k, min(f) AS least FROM v GROUP BY k), hk AS (SELECT k, min(f) AS least FROM h GROUP BY k),
+n AS (SELECT norm FROM v JOIN vi USING (k, i) WHERE least < f UNION SELECT norm FROM v JOIN hk USING (k) WHERE least < f UNION SELECT norm FROM h JOIN vk USING (k) WHERE least < f UNION SELECT norm FROM h JOIN hk USING (k) WHERE least < f),
+g AS (SELECT o.doc_id, o.pos FROM o JOIN d USING (norm) LEFT JOIN n ON n.norm = o.norm WHERE place > f OR n.norm IS NOT NULL),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY 1)
+SELECT documents.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
+
 NEAR_DEDUP = f"""WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS a FROM documents),
 g AS (SELECT DISTINCT doc_id, md5(array_to_string(a[i:i + 4], ' ')) AS k FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, least(len(a), 1) + 1))) AS i FROM w)),
 n AS (SELECT w.doc_id, count(k) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY 1),
@@ -65,6 +79,7 @@ FROM c JOIN l USING (page_id) JOIN c r ON r.page_id = refers_to_page"""
 
 ORACLE_SQL = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
+    "op2_line_dedup": LINE_DEDUP,
     "op4_minhash_near_dedup": NEAR_DEDUP,
     "op7_warc_revisits": WARC,
     "op9_source_mixing": MIXING,

@@ -166,6 +166,18 @@ def test_many_lines_of_one_pattern(spark):
     assert got == {i: [0] for i in range(1, 300)}
 
 
+def test_lines_that_repeat_a_changing_word(spark):
+    rows = [(i, f"p q {v} p q r s p q {v} p q") for i, v in enumerate(["a", "b", "c", "b x"])] + [(9, "p q a p q r s p q c p q")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(frame(spark, rows)).collect()}
+    assert got == line_dedup.reference(rows) == {9: [0]}
+
+
+def test_long_lines(spark):
+    rows = [(1, long_text(23, 30_000)), (2, long_text(23, 30_000) + " z"), (3, "a b\n" * 20_000)]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {2: [0], 3: list(range(1, 20_000))}
+
+
 def test_short_and_unspaced_lines(spark):
     long = [f"w{k}" for k in range(9)]
     rows = [
