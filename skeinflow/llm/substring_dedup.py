@@ -16,7 +16,7 @@ bytes a window while a block touches many cells of a shard (to some TB of text a
 sizes); beyond, rows of single cells, some 30 bytes each.
 
 The sketch works on 64-bit hashes, where a coincidence only means that a window is looked
-at again. The exact pass tells windows apart by 128 bits.
+at again. The exact pass tells windows apart by 104 bits of two hashes.
 
 Defined results: null and empty texts have no words; documents of fewer than 13 words
 lose nothing; rows that repeat a doc_id are not smaller than each other; rows with a
@@ -38,6 +38,9 @@ from skeinflow.llm import _words
 WINDOW = 13
 #: Rows (hash functions) of the sketch.
 ROWS = 2
+#: Bytes of the second hash that tells windows apart.
+CHECK_BYTES = 5
+_CHECK = np.uint64((1 << 8 * CHECK_BYTES) - 1)
 #: Text of a block, in bytes: bounds a Python worker's memory.
 BLOCK_BYTES = 8 << 20
 #: Blocks that a task works on, one after the other, beyond as many tasks as the session shuffles to.
@@ -101,6 +104,17 @@ def decode_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(decode(data), dtype=np.uint64)
 
 
+def encode_checks(values: np.ndarray) -> bytes:
+    """The low CHECK_BYTES bytes of each value."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :CHECK_BYTES]).tobytes()
+
+
+def decode_checks(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // CHECK_BYTES, 8), np.uint8)
+    out[:, :CHECK_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, CHECK_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 class Plan:
     """Widths and shards for a corpus of so many windows and bytes; all powers of two."""
 
@@ -225,7 +239,7 @@ def _estimated(plan: Plan):
                 for row in range(ROWS):
                     keep = keep[hot[row].has(plan.cells(hashes[keep], row))]
                 if len(keep):
-                    found.append((hashes[keep], _words.windows(words.checks, plan.window)[first[keep]], owner[keep]))
+                    found.append((hashes[keep], _words.windows(words.checks, plan.window)[first[keep]] & _CHECK, owner[keep]))
             if found:
                 hashes, checks, owner = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.lexsort((checks, hashes))
@@ -238,7 +252,7 @@ def _estimated(plan: Plan):
                 block = docs.column("block")[0].as_py()
                 for p in np.flatnonzero(np.diff(bounds)):
                     a, b = bounds[p], bounds[p + 1]
-                    out.append((int(p), block, encode_sorted(hashes[a:b]), checks[a:b].tobytes(), encode_ids(low[a:b]), encode(more[a:b])))
+                    out.append((int(p), block, encode_sorted(hashes[a:b]), encode_checks(checks[a:b]), encode_ids(low[a:b]), encode(more[a:b])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, _SENT_KINDS, strict=True)], names=_SENT_NAMES)
 
     return run
@@ -272,8 +286,8 @@ def _group_exactly(table: pa.Table) -> pa.Table:
     """Of a hash shard, to each block: its windows of which a doc_id is larger than the smallest of all, and that doc_id."""
     blocks = table.column("block").to_pylist()
     own = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
-    sizes = [len(x) // 8 for x in table.column("checks").to_pylist()]
-    hashes, checks = np.concatenate(own("hashes", decode_sorted)), np.concatenate(own("checks", lambda x: np.frombuffer(x, np.uint64)))
+    sizes = [len(x) // CHECK_BYTES for x in table.column("checks").to_pylist()]
+    hashes, checks = np.concatenate(own("hashes", decode_sorted)), np.concatenate(own("checks", decode_checks))
     low = np.concatenate(own("low", decode_ids))
     high = low + np.concatenate(own("more", decode)).view(np.int64)
     order = np.lexsort((checks, hashes))
@@ -286,7 +300,7 @@ def _group_exactly(table: pa.Table) -> pa.Table:
         mine = begin + np.flatnonzero(gone[begin : begin + n])
         begin += n
         if len(mine):
-            out.append((block, encode_sorted(hashes[mine]), checks[mine].tobytes(), encode_ids(smallest[mine])))
+            out.append((block, encode_sorted(hashes[mine]), encode_checks(checks[mine]), encode_ids(smallest[mine])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "hashes", "checks", "least"])
 
 
@@ -297,14 +311,14 @@ def _remove(plan: Plan):
             return pa.table([pa.array([], t) for t in kinds], names=names)
         texts, ids = _whole(docs, "text"), _ids(_whole(docs, "doc_id"))
         own = lambda name, read, kind: _joined([read(x) for x in minima.column(name).to_pylist()], kind)
-        known, check, least = own("hashes", decode_sorted, np.uint64), own("checks", lambda x: np.frombuffer(x, np.uint64), np.uint64), own("least", decode_ids, np.int64)
+        known, check, least = own("hashes", decode_sorted, np.uint64), own("checks", decode_checks, np.uint64), own("least", decode_ids, np.int64)
         order = np.lexsort((check, known))
         known, check, least = _Set(known[order]), check[order], least[order]
         n_words, n_removed, kept = [], [], []
         for words, first, hashes, owner in _runs(texts, ids, plan.window):
             hit, at = known.places(hashes)
             if len(hit):
-                own = _words.windows(words.checks, plan.window)[first[hit]]
+                own = _words.windows(words.checks, plan.window)[first[hit]] & _CHECK
                 while len(late := np.flatnonzero(check[at] < own)):  # the next of equal first halves, if there is one
                     late = late[at[late] + 1 < len(check)]
                     late = late[known.found[at[late] + 1] == hashes[hit[late]]]
