@@ -6,9 +6,9 @@ multinomials over hashed words and word pairs: one of trusted text (documents th
 n-grams says whether it reads like trusted text; below a fixed threshold it is rejected.
 
 Corpus counts cover every document and every good label, and are combined on the map
-side. The number of buckets follows the distinct n-grams of the corpus, which by Heaps' law
-are a power of all its n-grams, so that collisions stay as rare as the corpus grows. The
-counts are a written table. One pass makes base and score: it reads the ratios from one
+side. Words and pairs have buckets of their own, whose numbers are powers of the corpus'
+size, as by Heaps' law the distinct words are; pairs have fewer than there are distinct ones,
+so that a task's counts stay smaller than its text. The counts are a written table. One pass makes base and score: it reads the ratios from one
 array of floats while there are no more than ``DENSE_BUCKETS`` (4 bytes each, on the driver
 and in every executor); beyond, frequent buckets (of which there are at most
 ``_shared.BROADCAST_ROWS``) are broadcast, n-grams of the others are joined by a shuffle,
@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm._shared import BROADCAST_ROWS, let, materialise, small, unused, words_of
 
-#: Buckets are the n-grams of the corpus, repeats included, to this power (Heaps' law), MIN_BUCKETS at least.
-HEAPS = 0.75
-MIN_BUCKETS = 1 << 14
+#: Buckets of words and of pairs: factor and power of the n-grams of the corpus, rounded to a power of two of at least STRETCH.
+WORD_BUCKETS = (4, 0.65)
+PAIR_BUCKETS = (32, 0.5)
 #: Buckets up to which the ratios are one array (4 bytes each) in the scoring pass.
 DENSE_BUCKETS = 1 << 26
 #: Good labels up to which their ids are broadcast.
 TRUSTED_ROWS = 8_000_000
 #: The array of ratios consists of stretches of so many buckets.
-STRETCH = 1 << 12
+STRETCH_BITS = 12
+STRETCH = 1 << STRETCH_BITS
 #: Mean log likelihood ratio below which a document is rejected.
 THRESHOLD = -0.3
 #: Characters that count as symbols; fixed values.
@@ -47,15 +48,25 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def _bucket(x: F.Column, buckets: int) -> F.Column:
-    return F.pmod(x, F.lit(buckets)).cast("int" if buckets < 1 << 31 else "bigint")
+class Buckets:
+    """So many buckets of words, then so many of pairs of words; powers of two of at least STRETCH."""
 
+    def __init__(self, words: int, pairs: int) -> None:
+        self.words, self.pairs, self.size = words, pairs, words + pairs
+        self.kind = "int" if self.size <= 1 << 31 else "bigint"
 
-def ngram_buckets(hashes: F.Column, buckets: int) -> F.Column:
+    def word(self, x: F.Column) -> F.Column:
+        return x.bitwiseAND(F.lit(self.words - 1)).cast(self.kind)
+
+    def pair(self, x: F.Column, y: F.Column) -> F.Column:
+        return (F.xxhash64(x, y).bitwiseAND(F.lit(self.pairs - 1)) + F.lit(self.words)).cast(self.kind)
+
+
+def ngram_buckets(hashes: F.Column, buckets: Buckets) -> F.Column:
     """The bucket of each word and of each pair of neighbouring words, from an array of the words' hashes."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: _bucket(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), buckets))
-    single = F.transform(hashes, lambda x: _bucket(x, buckets))
-    return F.when(F.size(hashes) > 1, F.concat(single, pairs)).otherwise(single)
+    n = F.size(hashes)
+    single = F.transform(hashes, buckets.word)
+    return F.when(n > 1, F.concat(single, F.zip_with(F.slice(hashes, F.lit(1), n - 1), F.slice(hashes, F.lit(2), n - 1), buckets.pair))).otherwise(single)
 
 
 def word_hashes(words: F.Column) -> F.Column:
@@ -101,20 +112,20 @@ def statistics(text: F.Column, score=None) -> F.Column:
     return let(words_of(text), of)
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """The n-grams of the corpus to the power HEAPS; words are counted as separators, which may be a few more."""
-    blanks = F.octet_length("text") - F.octet_length(F.translate("text", " \t\n\x0b\f\r", ""))
-    grams = docs.agg(F.sum(2 * (blanks + 1).cast("bigint"))).first()[0] or 0
-    return max(MIN_BUCKETS, math.ceil(grams**HEAPS))
+def bucket_count(docs: DataFrame) -> Buckets:
+    """From the bytes of the corpus, of which an n-gram has about three: a word of six makes one word and one pair."""
+    grams = (docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0) / 3
+    power = lambda factor, to: max(STRETCH, 1 << round(math.log2(max(1, factor * grams**to))))
+    return Buckets(power(*WORD_BUCKETS), power(*PAIR_BUCKETS))
 
 
-def _grams(docs: DataFrame, buckets: int, kept: F.Column, name: str) -> DataFrame:
+def _grams(docs: DataFrame, buckets: Buckets, kept: F.Column, name: str) -> DataFrame:
     """``kept`` as ``name`` and the bucket of each n-gram of each document; ``kept`` is computed once a document."""
     own = docs.select(kept.alias(name), let(word_hashes(words_of("text")), lambda h: ngram_buckets(h, buckets)).alias("own"))
     return own.select(name, F.explode("own").alias("bucket"))
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: Buckets) -> DataFrame:
     """(bucket, n, good): n-grams of the corpus and of all its trusted documents, written."""
     good = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct())
     marked = docs.select("doc_id", "text").join(small(good, most=TRUSTED_ROWS), F.col("doc_id") == F.col("good_id"), "left")
@@ -122,11 +133,11 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame
     return materialise(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
 
 
-def _ratio(n: F.Column, good: F.Column, totals: tuple[int, int], buckets: int) -> F.Column:
+def _ratio(n: F.Column, good: F.Column, totals: tuple[int, int], buckets: Buckets) -> F.Column:
     """The log ratio of a bucket's share of trusted text to its share of the corpus, add-one smoothed; 0 without trusted text."""
     if not totals[1]:
         return F.lit(0.0)
-    return F.log((good + 1) / F.lit(float(totals[1] + buckets))) - F.log((n + 1) / F.lit(float(totals[0] + buckets)))
+    return F.log((good + 1) / F.lit(float(totals[1] + buckets.size))) - F.log((n + 1) / F.lit(float(totals[0] + buckets.size)))
 
 
 def _totals(counts: DataFrame) -> tuple[int, int]:
@@ -134,47 +145,48 @@ def _totals(counts: DataFrame) -> tuple[int, int]:
     return n or 0, good or 0
 
 
-def _dense(counts: DataFrame, totals: tuple[int, int], buckets: int) -> DataFrame:
+def _dense(counts: DataFrame, totals: tuple[int, int], buckets: Buckets) -> DataFrame:
     """One row, written: the ratios of all buckets as an array of stretches of floats."""
-    spark, width = counts.sparkSession, min(STRETCH, buckets)
     nothing = _ratio(F.lit(0), F.lit(0), totals, buckets).cast("float")
-    entry = F.struct((F.col("bucket") % width).cast("int").alias("at"), _ratio(F.col("n"), F.col("good"), totals, buckets).cast("float").alias("ratio"))
-    parts = counts.groupBy(F.floor(F.col("bucket") / width).cast("bigint").alias("stretch")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
+    entry = F.struct((F.col("bucket") % STRETCH).cast("int").alias("at"), _ratio(F.col("n"), F.col("good"), totals, buckets).cast("float").alias("ratio"))
+    parts = counts.groupBy(F.shiftright("bucket", STRETCH_BITS).cast("bigint").alias("stretch")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
 
     def filled(own):
         gap = lambda x, i: x["at"] - F.coalesce(F.get(own, i - 1)["at"], F.lit(-1)) - 1
         found = F.flatten(F.transform(own, lambda x, i: F.concat(F.array_repeat(nothing, gap(x, i)), F.array(x["ratio"]))))
-        return let(found, lambda f: F.concat(f, F.array_repeat(nothing, F.lit(width) - F.size(f))))
+        return let(found, lambda f: F.concat(f, F.array_repeat(nothing, F.lit(STRETCH) - F.size(f))))
 
     parts = parts.select("stretch", let(F.col("own"), filled).alias("part"))
-    every = spark.range(-(-buckets // width)).select(F.col("id").alias("stretch")).join(parts, "stretch", "left")
-    placed = F.struct("stretch", F.coalesce("part", F.array_repeat(nothing, width)).alias("part"))
+    every = counts.sparkSession.range(buckets.size >> STRETCH_BITS).select(F.col("id").alias("stretch")).join(parts, "stretch", "left")
+    placed = F.struct("stretch", F.coalesce("part", F.array_repeat(nothing, STRETCH)).alias("part"))
     return materialise(every.agg(F.sort_array(F.collect_list(placed)).alias("all")).select(F.col("all.part").alias("ratios")))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: Buckets) -> list[float]:
     """The log ratio of each bucket, on the driver; for few buckets."""
     counts = bucket_counts(docs, labels, buckets)
-    return [x for part in _dense(counts, _totals(counts), buckets).first()[0] for x in part][:buckets]
+    return [x for part in _dense(counts, _totals(counts), buckets).first()[0] for x in part]
 
 
-def _mean_ratio(ratios: F.Column, buckets: int):
+def _mean_ratio(ratios: F.Column, buckets: Buckets):
     """From the hashes of a text's words to the mean ratio of its n-grams, which are made and looked up one by one; null without words.
 
     ``ratios`` is referred to once, so that its array, a subquery's value, is not copied into rows.
     """
-    width = min(STRETCH, buckets)
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0.0).alias("sum"))
 
-    def total(h, all_):
-        ratio = lambda x: let(_bucket(x, buckets), lambda b: F.get(F.get(all_, F.floor(b / width).cast("int")), b % width)).cast("double")
-        step = lambda a, x: F.struct(x.alias("last"), (a["sum"] + ratio(x) + F.when(a["last"].isNull(), 0.0).otherwise(ratio(F.xxhash64(a["last"], x)))).alias("sum"))
-        return F.aggregate(h, start, step, lambda a: a["sum"])
+    def total(h, own):
+        ratio = lambda b: F.get(F.get(own, F.shiftright(b, STRETCH_BITS)), b.bitwiseAND(F.lit(STRETCH - 1))).cast("double")
+        words = F.aggregate(h, F.lit(0.0), lambda a, x: a + ratio(buckets.word(x)))
+        return F.aggregate(F.sequence(F.lit(1), F.size(h) - 1), words, lambda a, i: a + ratio(buckets.pair(F.get(h, i - 1), F.get(h, i)))), words
+
+    def mean(h):
+        both = let(ratios, lambda own: F.when(F.size(h) > 1, total(h, own)[0]).otherwise(total(h, own)[1]))
+        return F.when(F.size(h) > 0, both / (2 * F.size(h) - 1))
 
-    return lambda h: F.when(F.size(h) > 0, let(ratios, lambda all_: total(h, all_)) / (2 * F.size(h) - 1))
+    return mean
 
 
-def _joined_scores(docs: DataFrame, counts: DataFrame, totals: tuple[int, int], buckets: int) -> DataFrame:
+def _joined_scores(docs: DataFrame, counts: DataFrame, totals: tuple[int, int], buckets: Buckets) -> DataFrame:
     """(text_hash, score) of texts that have words, written; for more buckets than one array holds."""
     grams = _grams(docs, buckets, F.xxhash64("text"), "text_hash")
     # no more than BROADCAST_ROWS buckets have such a share of all n-grams
@@ -186,7 +198,7 @@ def _joined_scores(docs: DataFrame, counts: DataFrame, totals: tuple[int, int],
     return materialise(found.groupBy("text_hash").agg(F.avg("ratio").alias("score")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, dense: int = DENSE_BUCKETS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: Buckets | None = None, threshold: float = THRESHOLD, dense: int = DENSE_BUCKETS) -> DataFrame:
     """``docs`` and a struct quality: the base counts, base_failed, score (mean log ratio) and kept."""
     quality, hashed, joined, ratios = unused(docs, "quality", "text_hash", "score", "ratios")
     text = F.coalesce("text", F.lit(""))
@@ -194,7 +206,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int | None = None, thresh
     counts = bucket_counts(docs, labels, buckets)
     totals = _totals(counts)
     q = lambda c: F.col(f"`{quality}`.{c}")
-    if buckets <= dense:
+    if buckets.size <= dense:
         # the array is read once and travels with the tasks
         out = docs.withColumn(ratios, _dense(counts, totals, buckets).scalar())
         out = out.withColumn(quality, statistics(text, _mean_ratio(F.col(ratios), buckets)))
@@ -227,19 +239,18 @@ def reference(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return len(words), sum(map(len, words)), sum(c in SYMBOLS for c in text), len(lines) - len(set(lines)), len(covered), failed
 
 
-def score_reference(docs: list[tuple[int | None, str | None]], good: set[int], buckets: int) -> list[float]:
+def score_reference(docs: list[tuple[int | None, str | None]], good: set[int], buckets: Buckets) -> list[float]:
     """Brute force of the scores, for tests; word and pair hashes are XXH64 with seed 42, a pair's second word seeded by the first."""
     import xxhash
 
     def grams(text: str | None) -> list[int]:
-        signed = lambda x: x - (x >> 63 << 64)
         words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         of = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
-        return [signed(x) % buckets for x in words] + [signed(of(y, of(x, 42))) % buckets for x, y in zip(words, words[1:], strict=False)]
+        return [x % buckets.words for x in words] + [buckets.words + of(y, of(x, 42)) % buckets.pairs for x, y in zip(words, words[1:], strict=False)]
 
     own = [grams(t) for _, t in docs]
     n = Counter(g for x in own for g in x)
     trusted = Counter(g for (i, _), x in zip(docs, own, strict=True) if i in good for g in x)
     totals = sum(n.values()), sum(trusted.values())
-    ratio = lambda g: math.log((trusted[g] + 1) / (totals[1] + buckets)) - math.log((n[g] + 1) / (totals[0] + buckets))
+    ratio = lambda g: math.log((trusted[g] + 1) / (totals[1] + buckets.size)) - math.log((n[g] + 1) / (totals[0] + buckets.size))
     return [sum(map(ratio, x)) / len(x) if x and totals[1] else 0.0 for x in own]

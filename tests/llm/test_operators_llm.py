@@ -362,11 +362,12 @@ def test_quality_score_by_hand(spark):
     rows = [(1, "a b c d e f g h i j k"), (2, "l m n o p q r s t u v")]
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     docs = frame(spark, rows)
-    ratios = quality_rules.log_ratios(docs, labels, 64)
+    own_buckets = quality_rules.Buckets(quality_rules.STRETCH, 2 * quality_rules.STRETCH)
+    ratios = quality_rules.log_ratios(docs, labels, own_buckets)
     from skeinflow.llm._shared import words_of
 
-    grams = {r[0]: r[1] for r in docs.select("doc_id", quality_rules.ngram_buckets(quality_rules.word_hashes(words_of("text")), 64)).collect()}
-    got = {r["doc_id"]: r["quality"]["score"] for r in quality_rules.judge(docs, labels, 64).collect()}
+    grams = {r[0]: r[1] for r in docs.select("doc_id", quality_rules.ngram_buckets(quality_rules.word_hashes(words_of("text")), own_buckets)).collect()}
+    got = {r["doc_id"]: r["quality"]["score"] for r in quality_rules.judge(docs, labels, own_buckets).collect()}
     for i, own in grams.items():
         assert len(own) == 21
         assert got[i] == pytest.approx(sum(ratios[b] for b in own) / len(own))
@@ -375,15 +376,14 @@ def test_quality_score_by_hand(spark):
 
 def test_quality_counts_every_good_label(spark):
     texts = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
-    counts = quality_rules.bucket_counts(texts, texts.select("doc_id", F.lit(1).alias("quality")), 64)
+    counts = quality_rules.bucket_counts(texts, texts.select("doc_id", F.lit(1).alias("quality")), quality_rules.Buckets(4096, 4096))
     assert counts.agg(F.sum("n"), F.sum("good")).first() == (12_000, 12_000)
 
 
 def test_quality_buckets_follow_the_corpus(spark):
     long = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
-    n = quality_rules.bucket_count(long)
-    assert n > quality_rules.MIN_BUCKETS and n == pytest.approx((2 * 800_000) ** quality_rules.HEAPS, rel=1e-3)
-    assert quality_rules.bucket_count(long.union(long)) == pytest.approx(2**quality_rules.HEAPS * n, rel=1e-3)
+    sizes = [quality_rules.bucket_count(d) for d in (long, long.union(long).union(long).union(long))]
+    assert [b.pairs for b in sizes] == [1 << 15, 1 << 16] and sizes[1].words in (2 * sizes[0].words, 4 * sizes[0].words)
 
 
 def test_quality_of_a_corpus(spark, small):
@@ -403,9 +403,9 @@ def test_quality_of_a_corpus(spark, small):
 def test_quality_joined_scores_are_the_same(spark, rows, monkeypatch):
     labels = spark.createDataFrame([(8, 1), (15, 1)], "doc_id long, quality int")
     docs = frame(spark, [*rows, (77, rows[8][1]), (None, rows[8][1])])
-    want = {tuple(r) for r in quality_rules.judge(docs, labels, 5000).select("doc_id", F.round("quality.score", 5), "quality.kept").collect()}
+    want = {tuple(r) for r in quality_rules.judge(docs, labels).select("doc_id", F.round("quality.score", 5), "quality.kept").collect()}
     monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 20)  # else no bucket is rare
-    got = {tuple(r) for r in quality_rules.judge(docs, labels, 5000, dense=0).select("doc_id", F.round("quality.score", 5), "quality.kept").collect()}
+    got = {tuple(r) for r in quality_rules.judge(docs, labels, dense=0).select("doc_id", F.round("quality.score", 5), "quality.kept").collect()}
     assert got == want
 
 
