@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import line_dedup, source_mixing
+from skeinflow.llm import line_dedup, secret_scan, source_mixing
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,6 +31,36 @@ g AS (SELECT o.doc_id, o.pos FROM o JOIN d USING (norm) LEFT JOIN n ON n.norm =
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY 1)
 SELECT documents.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
 
+_FOLDED = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+_ASSIGN = _FOLDED + r"""[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: int, pattern: str) -> str:
+    """Of a text t: its matches with positions, from the lengths of matches and of the pieces between them."""
+    pattern = pattern.replace("'", "''")
+    found = f"regexp_extract_all(t, '{pattern}')"
+    cut = f"regexp_split_to_array(t, '{pattern}')"
+    value = f"regexp_extract_all(t, '{pattern}', 2)[i]" if kind == 0 else "NULL"
+    start = f"coalesce(list_sum(list_transform({cut}[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: len(x))), 0)"
+    return f"SELECT doc_id, {kind} AS kind, CAST(start AS BIGINT) AS start, CAST(start + len(text) AS BIGINT) AS stop, text, value FROM (SELECT doc_id, {found}[i] AS text, {value} AS value, {start} AS start FROM (SELECT doc_id, t, unnest(range(1, len({found}) + 1)) AS i FROM d WHERE len({found}) > 0))"
+
+
+_TERMS = f"[{', '.join(map(str, secret_scan.terms(secret_scan.WINDOW)))}]"
+_LIMITS = {k: secret_scan.limit(secret_scan.WINDOW, v) for k, v in secret_scan.THRESHOLDS.items()}
+_KINDS = f"[{', '.join(repr(k) for k in secret_scan.KINDS)}]"
+_LISTED = f"{_KINDS}[kind + 1] || ':' || start || ':' || stop"
+SECRETS = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, kind, start, stop FROM ({_spans(0, _ASSIGN)}) WHERE len(value) >= 6 UNION ALL SELECT doc_id, kind, start, stop FROM ({_spans(1, secret_scan.ACCESS)}) UNION ALL SELECT doc_id, kind, start, stop FROM ({_spans(2, secret_scan.HEX)})),
+c AS (SELECT doc_id, start, text, CASE WHEN regexp_full_match(text, '[0-9a-fA-F]+') THEN {_LIMITS['hex']} WHEN regexp_matches(text, '[a-z]') AND regexp_matches(text, '[A-Z]') THEN {_LIMITS['mixed']} ELSE {_LIMITS['one_case']} END AS most FROM ({_spans(3, secret_scan.CANDIDATE)})
+ WHERE regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]') AND NOT ({' OR '.join(f"regexp_matches(text, '{p}')" for p in secret_scan.ALLOWED)})
+ AND NOT (len(string_split(text, '/')) > 2 AND list_bool_and(list_transform(string_split(text, '/'), lambda p: len(p) <= {secret_scan.PATH_PIECE_LENGTH} AND regexp_matches(p, '{secret_scan.PATH_PIECE}'))))),
+w AS (SELECT doc_id, start, text, most, i, list_sum(list_transform(map_values(list_histogram(string_split(substring(text, i + 1, {secret_scan.WINDOW}), ''))), lambda n: {_TERMS}[CAST(n AS BIGINT) + 1])) AS total FROM (SELECT *, unnest(range(0, len(text) - {secret_scan.WINDOW - 1})) AS i FROM c)),
+h AS (SELECT doc_id, start + min(i) AS start, start + max(i) + {secret_scan.WINDOW} AS stop, substring(text, min(i) + 1, max(i) - min(i) + {secret_scan.WINDOW}) AS text FROM w WHERE total <= most GROUP BY doc_id, start, text),
+a AS (SELECT * FROM b UNION ALL SELECT doc_id, 3 AS kind, start, stop FROM h WHERE NOT regexp_matches(text, '{secret_scan.PLACEHOLDER}')),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
+ string_agg({_LISTED}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg({_LISTED}, ',' ORDER BY start, kind) AS spans FROM a GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy FROM d LEFT JOIN g USING (doc_id)"""
+
 NEAR_DEDUP = f"""WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS a FROM documents),
 g AS (SELECT DISTINCT doc_id, md5(array_to_string(a[i:i + 4], ' ')) AS k FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, least(len(a), 1) + 1))) AS i FROM w)),
 n AS (SELECT w.doc_id, count(k) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY 1),
@@ -80,6 +110,7 @@ FROM c JOIN l USING (page_id) JOIN c r ON r.page_id = refers_to_page"""
 ORACLE_SQL = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_line_dedup": LINE_DEDUP,
+    "op3_secret_scan": SECRETS,
     "op4_minhash_near_dedup": NEAR_DEDUP,
     "op7_warc_revisits": WARC,
     "op9_source_mixing": MIXING,

@@ -217,17 +217,49 @@ def test_secrets(spark, rows):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
-def test_entropy_is_incremental(spark):
+def entropy(s):
     import math
 
-    text = "A9f3Kz71QmPx04LvTb8WcR2yaaaaaaaaaaaaaaaaaaaaaaaaB7"
-    found = secret_scan.scan_secrets(frame(spark, [(1, text)])).first()["secrets"]
+    return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+
+def test_entropy_of_random_strings(spark):
+    r = random.Random(9)
+    texts = ["A9f3Kz71QmPx04LvTb8WcR2yaaaaaaaaaaaaaaaaaaaaaaaaB7"]
+    for k in range(150):
+        alphabet = r.choice(["0123456789abcdef", "abcdefgh1234", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secret_scan.SYMBOLS.replace("/", "")])
+        texts.append("".join(r.choice(alphabet[: r.randrange(3, len(alphabet))]) for _ in range(r.choice([19, 20, 21, 40, 90]))) + "a1")
+    found = {x["doc_id"]: x["secrets"] for x in secret_scan.scan_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        if not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t) or len(t) < 20:
+            want = []
+        else:
+            kind = "hex" if all(c in "0123456789abcdefABCDEF" for c in t) else "mixed" if t.upper() != t != t.lower() else "one_case"
+            hot = [k for k in range(len(t) - 19) if entropy(t[k : k + 20]) >= secret_scan.THRESHOLDS[kind] - 1e-9]
+            want = [(hot[0], hot[-1] + 20)] if hot else []
+        some += bool(want)
+        assert [(s["start"], s["end"]) for s in found[i] if s["kind"] == 3] == want, t
+    assert 30 < some < len(texts) - 10
+
+
+def test_allow_list(spark):
+    token = "A9f3Kz71QmPx04LvTb8WcR2y"
+    texts = {"usr/local/lib/python3/site2/packages4/x": 0, "src/MyClass/some_name2/other-part10/2024/01": 0, "A9f3Kz7/1QmPx04/LvTb8WcR2yQ7": 1, f"example{'q' * 30}{token}": 1, f"dummy{token}": 0, "x" * 9 + token[:12] + "x" * 9: 0}
+    out = secret_scan.scan_secrets(frame(spark, list(enumerate(texts)))).collect()
+    assert {t: len(x) for t, x in zip(texts, (r["secrets"] for r in sorted(out)), strict=True)} == texts
+
 
-    def entropy(s):
-        return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+def test_long_candidates_take_linear_time(spark):
+    import time
 
-    hot = [i for i in range(len(text) - 19) if entropy(text[i : i + 20]) >= secret_scan.THRESHOLDS["mixed"]]
-    assert [(s["start"], s["end"]) for s in found if s["kind"] == 3] == [(hot[0], hot[-1] + 20)]
+    r = random.Random(4)
+    texts = ["".join(r.choice(secret_scan.SYMBOLS) for _ in range(1_000_000)), "token=abc123def " * 50_000, "a1/" * 200_000, "0123abcd" * 50_000]
+    began = time.time()
+    out = sorted(secret_scan.scan_secrets(frame(spark, list(enumerate(texts)), 4)).select("doc_id", F.size("secrets").alias("n"), F.try_element_at("secrets", F.lit(-1)).alias("last")).collect())
+    assert time.time() - began < 60
+    assert [x["n"] for x in out] == [1, 50_000, 0, 1]
+    assert out[0]["last"]["end"] == 1_000_000 and (out[1]["last"]["start"], out[1]["last"]["end"]) == (16 * 49_999, 16 * 50_000 - 1)
 
 
 # near duplicates
