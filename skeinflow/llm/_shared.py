@@ -10,6 +10,7 @@ from skeinflow.sources.storage import materialise as materialise
 
 #: The word separators of the contracts: space and U+0009 to U+000D.
 SEPARATORS = " \\x09-\\x0D"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words_of(text: F.Column | str) -> F.Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null has none."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SEPARATORS}]+"), lambda w: w != "")
+    text = F.trim(F.col(text) if isinstance(text, str) else text, F.lit(BLANKS))
+    return F.when(text != "", F.split(text, f"[{SEPARATORS}]+")).otherwise(F.array().cast("array<string>"))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

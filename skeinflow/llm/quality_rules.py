@@ -29,7 +29,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._shared import BROADCAST_ROWS, let, materialise, small, unused, words_of
+from skeinflow.llm._shared import BLANKS, BROADCAST_ROWS, let, materialise, small, unused, words_of
 
 #: Buckets of words and of pairs: factor and power of the n-grams of the corpus, rounded to a power of two of at least STRETCH.
 WORD_BUCKETS = (4, 0.65)
@@ -93,13 +93,13 @@ def _repeated_words(hashes: F.Column) -> F.Column:
 
 def statistics(text: F.Column, score=None) -> F.Column:
     """The base counts of a text in one struct, its words being split and hashed once; with ``score`` of the hashes, if given."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")
 
     def of(w):
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             let(word_hashes(w), lambda h: F.struct(repeated(h).alias("n_repeat_words"), (score(h) if score else F.lit(None).cast("double")).alias("score"))).alias("of_hashes"),
         )
