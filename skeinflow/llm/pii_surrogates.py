@@ -11,10 +11,16 @@ where a document repeats the name without the form of address.
 
 A second check covers what permutation cannot: all distinct entities with their
 surrogates are compared, and where a surrogate is a real entity of the corpus, or two
-names share one, the entity is permuted anew under another tweak until none is left. The
+names share one, the entity is permuted anew under another tweak. After ``ROUNDS`` rounds
+a format (such as seven-digit phone numbers in a large corpus) that still has such
+entities is saturated: its entities all go back to the first permutation, under which they
+stay distinct, but a surrogate may be a real entity, or by chance the entity itself. Names
+gain a syllable each round until none is left. The
 few exceptions are broadcast while they number at most ``broadcast_rows``; above, the
 exceptions are joined to the documents that need them. Texts are otherwise not shuffled.
 
+The permutation can be undone by whoever has the key, so a key is required.
+
 Defined results: null texts stay null, empty ones empty; repeated rows get equal
 replacements; a text without entities is unchanged; other columns pass through.
 """
@@ -34,6 +40,10 @@ from skeinflow.llm._shared import materialise, unused
 
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "given", "family")
 BROADCAST_ROWS = 20_000
+#: Rounds after which formats with taken surrogates are left as they are.
+ROUNDS = 8
+KEY_BYTES = 16
+_NAMES = ("given", "family")
 
 _PATTERN = re.compile(
     r"""
@@ -49,13 +59,13 @@ _PATTERN = re.compile(
 
 #: Forms of address and the gender that they tell; fixed values.
 _TITLES = {
-    "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Don": "m", "Signor": "m",
-    "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mademoiselle": "f", "Señora": "f", "Señorita": "f", "Doña": "f", "Signora": "f",
+    "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Don": "m", "Signor": "m", "Sr": "m", "M": "m",
+    "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mademoiselle": "f", "Señora": "f", "Señorita": "f", "Doña": "f", "Signora": "f", "Sra": "f", "Srta": "f", "Mme": "f", "Mlle": "f",
     "Dr": "n", "Prof": "n", "г-н": "m", "господин": "m", "г-жа": "f", "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
 _UPPER = "A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я"
 _LOWER = "a-zß-öø-ÿĀ-ſά-ώа-џ"
-_NAME = re.compile(rf"[MSHFDPгκ][\w-]{{1,12}}\.?\x20(?P<name>[{_UPPER}][{_LOWER}'’-]+(?:\x20[{_UPPER}][{_LOWER}'’-]+){{0,2}})")
+_NAME = re.compile(rf"[MSHFDPгκ][\w-]{{0,12}}\.?\x20(?P<name>[{_UPPER}][{_LOWER}'’-]+(?:\x20[{_UPPER}][{_LOWER}'’-]+){{0,2}})")
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 
 #: Parts of made-up names by script; fixed values.
@@ -102,6 +112,18 @@ def _spell(text: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
+def _label(text: str, key: bytes, tweak: str) -> str:
+    """A part of a domain; ``example`` stays, and no other becomes it."""
+    if text != _RESERVED:
+        text = _spell(text, key, tweak)
+        while text == _RESERVED:  # cycle walking keeps it a bijection
+            text = _spell(text, key, tweak)
+    return text
+
+
+_RESERVED = "example"
+
+
 def luhn(digits: str) -> int:
     """The check digit of a card number without its last digit."""
     total = 0
@@ -132,7 +154,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         *labels, top = domain.split(".")
-        return f"{_spell(local, key, tweak)}@{'.'.join([_spell(x, key, tweak) if x != 'example' else x for x in labels] + [top])}"
+        return f"{_spell(local, key, tweak)}@{'.'.join([*(_label(x, key, tweak) for x in labels), top])}"
     if kind == "ip":
         octets = [int(x) for x in entity.split(".")]
         new = permute(octets, [256] * 4, key, tweak)
@@ -144,10 +166,9 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         return body + str((luhn(body) + int(entity[-1]) - luhn(entity[:-1])) % 10)
     if kind == "iban":
         body = _spell(entity[4:], key, tweak + entity[:2]).upper()
-        rest = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
-        if rest(entity[4:] + entity[:4]) != 1:
-            return entity[:4] + body
-        return entity[:2] + f"{98 - rest(body + entity[:2] + '00'):02d}" + body
+        digits = lambda x: 98 - int("".join(str(int(c, 36)) for c in f"{x}{entity[:2]}00")) % 97
+        # valid digits stay valid, and others as far from the valid ones
+        return entity[:2] + f"{(int(entity[2:4]) + digits(body) - digits(entity[4:])) % 100:02d}" + body
     if kind in ("phone", "ssn"):
         lead = re.match(r"\+\d?", entity)[0] if entity.startswith("+") else ""
         digits = entity[len(lead) :]
@@ -157,7 +178,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     script = "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
     parts, male, female = _PARTS[script]
     n = _prf(key, tweak, entity)
-    size = 2 + (len(name) > 5) + attempt // 4
+    size = 2 + (len(name) > 5) + attempt
     out = ""
     for _ in range(size):
         n, i = divmod(n, len(parts))
@@ -166,6 +187,22 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return out + (ending[n % len(ending)] if ending else "")
 
 
+def format_of(kind: str, entity: str) -> str:
+    """What a surrogate shares with its entity: among the entities of one format an attempt's surrogates are distinct."""
+    shape = lambda x: re.sub("[0-9]", "9", re.sub("[a-z]", "a", x))
+    if kind == "email":
+        local, _, domain = entity.rpartition("@")
+        *labels, top = domain.split(".")
+        return f"{shape(local)}@{'.'.join([*(x if x == _RESERVED else shape(x) for x in labels), top])}"
+    if kind == "ip":
+        return "private" if _private([int(x) for x in entity.split(".")]) else "public"
+    if kind == "iban":
+        return entity[:2] + shape(entity[4:].lower())
+    if kind in _NAMES:
+        return ""
+    return (entity[:2] if entity.startswith("+") else "") + str(len(entity))
+
+
 def _written(kind: str, text: str, new: str) -> str:
     """A surrogate in the format of the text that it replaces."""
     if kind in ("phone", "card", "ssn", "iban"):
@@ -192,7 +229,8 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), kind, canonical(kind, m[0])))
     known: dict[str, tuple[str, str]] = {}
     for m in _NAME.finditer(text):
-        gender = _TITLES.get(m[0][: m.start("name") - m.start()].rstrip(" ."))
+        title = m[0][: m.start("name") - m.start()]
+        gender = _TITLES.get(title.rstrip(" .")) if title != "M " else None
         if gender is None or text[m.start() - 1 : m.start()].isalnum():
             continue
         words = m["name"].split(" ")
@@ -218,46 +256,69 @@ def replace_entities(text: str, key: bytes, attempts: Callable[[str, str], int])
     return "".join([*out, text[last:]]), found
 
 
-_ENTITY = "kind string, entity string, surrogate string, attempt int"
+_ENTITY = "kind string, entity string, format string, surrogate string, attempt int"
+
+
+def _entities(own: list[tuple[str, str]], key: bytes, attempts: list[int]) -> pa.RecordBatch:
+    columns = ([k for k, _ in own], [e for _, e in own], [format_of(k, e) for k, e in own], [surrogate(k, e, key, a) for (k, e), a in zip(own, attempts, strict=True)])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(attempts, pa.int32())], names=["kind", "entity", "format", "surrogate", "attempt"])
 
 
 def _surrogates_of(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {(k, e) for t in batch.column(0).to_pylist() if t for _, _, k, e in find_entities(t)}
-            own = sorted(own)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([e for _, e in own], pa.string()), pa.array([surrogate(k, e, key) for k, e in own], pa.string()), pa.array([0] * len(own), pa.int32())], names=["kind", "entity", "surrogate", "attempt"])
+            own = sorted({(k, e) for t in batch.column(0).to_pylist() if t for _, _, k, e in find_entities(t)})
+            yield _entities(own, key, [0] * len(own))
 
     return run
 
 
-def _again(key: bytes):
+def _again(key: bytes, first: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, entities, attempts = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            attempts = [a + 1 for a in attempts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([surrogate(k, e, key, a) for k, e, a in zip(kinds, entities, attempts, strict=True)], pa.string()), pa.array(attempts, pa.int32())], names=["kind", "entity", "surrogate", "attempt"])
+            own = list(zip(batch.column("kind").to_pylist(), batch.column("entity").to_pylist(), strict=True))
+            yield _entities(own, key, [0 if first else a + 1 for a in batch.column("attempt").to_pylist()])
 
     return run
 
 
-def exceptions(docs: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, attempt) of the entities whose first surrogate is taken."""
+def exceptions(docs: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, entity, attempt) of the entities that do not get their first surrogate."""
     current = materialise(docs.select("text").mapInArrow(_surrogates_of(key), _ENTITY).dropDuplicates(["kind", "entity"]))
     bare = F.when(F.col("kind") == "given", F.substring_index("entity", ":", -1)).otherwise(F.col("entity"))
     real = current.select("kind", bare.alias("surrogate"), F.lit(True).alias("real")).distinct()
+    left, done = current, 0
     while True:
         # the oldest surrogate stays: fewest attempts, then the smallest entity
         owner = current.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("owner"))
-        bad = current.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        bad = materialise(bad.where("real or owner.entity <> entity").select("kind", "entity", "surrogate", "attempt"))
+        bad = left.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
+        bad = materialise(bad.where("real or owner.entity <> entity").select(*current.columns))
         if bad.isEmpty():
             return current.where("attempt > 0").select("kind", "entity", "attempt")
+        done += 1
+        if done == rounds:
+            # saturated formats go back to the first permutation and are left out from here on
+            formats = bad.where(~F.col("kind").isin(*_NAMES)).select("kind", "format").distinct()
+            back = current.join(formats, ["kind", "format"], "left_semi").select(*current.columns).mapInArrow(_again(key, True), _ENTITY)
+            current = materialise(current.join(formats, ["kind", "format"], "left_anti").select(*current.columns).union(back))
+            bad = bad.where(F.col("kind").isin(*_NAMES))
         current = materialise(current.join(bad.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(bad.mapInArrow(_again(key), _ENTITY)))
+        left = current.where(F.col("kind").isin(*_NAMES)) if done >= rounds else current
+
+
+def derived(key: bytes) -> bytes:
+    """The key of the permutations, of any secret that is long enough."""
+    if not isinstance(key, bytes) or len(key) < KEY_BYTES:
+        raise ValueError(f"a secret key of at least {KEY_BYTES} bytes is needed")
+    return hashlib.blake2b(key, digest_size=32).digest()
+
 
+def replace_pii(docs: DataFrame, key: bytes, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with surrogates in text, and entities: array of (start, end, kind) in code points of the input.
 
-def replace_pii(docs: DataFrame, key: bytes = b"skeinflow", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with surrogates in text, and entities: array of (start, end, kind) in code points of the input."""
+    ``key``: at least ``KEY_BYTES`` secret bytes; other keys raise ValueError.
+    """
+    key = derived(key)
     spark = docs.sparkSession
     (name,) = unused(docs, "entities")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))

@@ -36,9 +36,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The key's setting, and the key where it is unset: a public one, for the synthetic tables only.
+PII_KEY = ("spark.skeinflow.pii.key", "for synthetic tables only")
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii_surrogates.replace_pii(docs)
+    found = pii_surrogates.replace_pii(docs, spark.conf.get(*PII_KEY).encode())
     counts = [F.size(F.filter(F.col("entities.kind"), _equals(k))).cast("long").alias(f"n_{k}") for k in pii_surrogates.KINDS]
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
     return found.select("doc_id", *counts, spans.alias("spans"), "text")

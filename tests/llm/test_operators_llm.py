@@ -336,6 +336,9 @@ def test_superminhash_by_hand():
 # personal data
 
 
+KEY = b"a key of sixteen bytes or more"
+
+
 def test_permutation_is_a_bijection():
     seen = {tuple(pii_surrogates.permute([a, b, c], [10, 26, 3], b"k", "t")) for a in range(10) for b in range(26) for c in range(3)}
     assert len(seen) == 780
@@ -346,7 +349,7 @@ TEXT = "Mail Ann.Lee7@Mail.example.com, +1 (017) 555-7713 or +1-017-555-7713, ca
 
 def test_surrogates(spark, rows):
     rows = [*rows, (300, TEXT), (301, "ann.lee7@mail.EXAMPLE.com wrote from 97.51.17.173"), (302, "nothing personal 3.14 2020-01-02")]
-    out = {r["doc_id"]: r for r in pii_surrogates.replace_pii(clashing(frame(spark, rows))).collect()}
+    out = {r["doc_id"]: r for r in pii_surrogates.replace_pii(clashing(frame(spark, rows)), KEY).collect()}
     for i, t in rows[:20]:
         assert out[i]["text"] == t
     new = out[300]["text"]
@@ -355,7 +358,6 @@ def test_surrogates(spark, rows):
     assert len({x.rsplit(" ", 1)[-1] for x in new.split(";")[1].split(" left")[:1]}) == 1
     mail = new.split("Mail ")[1].split(",")[0]
     assert mail.lower() == out[301]["text"].split(" ")[0].lower()
-    assert new.split("173")[0].count(".") or True
     card = new.split("card ")[1][:19]
     digits = card.replace(" ", "")
     assert pii_surrogates.luhn(digits[:-1]) == int(digits[-1]) and card[4] == card[9] == " "
@@ -363,18 +365,64 @@ def test_surrogates(spark, rows):
     assert [c for c in phones[0] if c.isdigit()][:10] == [c for c in phones[1] if c.isdigit()][:10]
     assert [e["kind"] for e in out[300]["_entities"]].count("family") == 4
     assert out[302]["text"] == rows[-1][1]
-    assert pii_surrogates.replace_pii(empty(spark)).count() == 0
+    assert pii_surrogates.replace_pii(empty(spark), KEY).count() == 0
 
 
 def test_taken_surrogates_are_replaced(spark):
-    key = b"k"
-    first = pii_surrogates.surrogate("ip", "97.51.17.173", key)
+    key = KEY
+    first = pii_surrogates.surrogate("ip", "97.51.17.173", pii_surrogates.derived(key))
     rows = [(1, "from 97.51.17.173"), (2, f"from {first}")]
     for limit in (20_000, 0):
         out = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(frame(spark, rows), key, limit).collect()}
         assert out[1] not in (rows[0][1], rows[1][1]) and out[2] not in (rows[0][1], rows[1][1]) and out[1] != out[2]
 
 
+def test_saturated_formats_end(spark):
+    every = [f"{a}@{b}.io" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(k, f"{x} and") for k, x in enumerate(every)] + [(900 + k, f"call 555-{k:04d} or 555{k:04d}") for k in range(20)]
+    out = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(frame(spark, rows), KEY).collect()}
+    new = [out[k].split(" ")[0] for k in range(len(every))]
+    assert sorted(new) == every and sum(x == y for x, y in zip(every, new, strict=True)) < 20
+    for bad in (None, b"", b"short"):
+        with pytest.raises(ValueError):
+            pii_surrogates.replace_pii(frame(spark, rows), bad)
+
+
+def test_iban_digits_stay_apart():
+    body = "370400440532013000"
+    new = {pii_surrogates.surrogate("iban", f"DE{d:02d}{body}", KEY) for d in range(100)}
+    assert len(new) == 100 and sum(int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 for x in new) in (1, 2)
+
+
+def test_titles(spark):
+    text = "Sr. García met Mme Dupont, M. Durand and Mlle Petit; Sra. López left. M Street stays."
+    new = pii_surrogates.replace_pii(frame(spark, [(1, text)]), KEY).first()["text"]
+    assert all(x not in new for x in ("García", "Dupont", "Durand", "Petit", "López")) and "M Street stays." in new
+
+
+def test_surrogates_over_a_corpus(spark, small):
+    """Against brute force over the distinct entities: coreference, distinctness, formats, nothing else changed."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()] + [(10**6, TEXT)]
+    out = {r["doc_id"]: r for r in pii_surrogates.replace_pii(frame(spark, rows), KEY).collect()}
+    of, taken, real = {}, {}, {(k, e.rpartition(":")[2] if k == "given" else e) for _, t in rows if t for _, _, k, e in pii_surrogates.find_entities(t)}
+    for i, text in rows:
+        found, new = pii_surrogates.find_entities(text or ""), out[i]["text"]
+        assert [(e["start"], e["end"], e["kind"]) for e in out[i]["entities"]] == [x[:3] for x in found]
+        shift, last = 0, 0
+        for (start, end, kind, entity), after in zip(found, [*(f[0] for f in found[1:]), len(text or "")], strict=bool(found)):
+            assert new[last + shift : start + shift] == text[last:start]
+            rest = text[end:after]
+            stop = new.index(rest, start + shift) if rest else len(new)
+            written = new[start + shift : stop]
+            if kind not in ("given", "family", "ip"):
+                assert len(written) == end - start and [c.isdigit() for c in written] == [c.isdigit() for c in text[start:end]]
+            own = pii_surrogates.canonical(kind, written)
+            assert of.setdefault((kind, entity), own) == own and taken.setdefault((kind, own), entity) == entity
+            assert (kind, own) not in real
+            shift, last = stop - end, end
+    assert len(of) > 20
+
+
 # quality rules
 
 
@@ -476,6 +524,32 @@ def test_revisits(spark):
     assert warc_revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_that_repeat_a_record(spark):
+    from datetime import datetime
+
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    rows = [
+        record("r1", "response", "http://a.com/x", at(1), "d1", {}, b"a"),
+        record("r1", "response", "http://b.com/y", at(1), "d2", {}, b"b"),
+        record("r1", "response", "http://b.com/y", at(1), "d2", {}, b"another b"),
+        record("v1", "revisit", "http://a.com/x", at(2), "d1", {}, None, 304),
+        record("v1", "revisit", "http://b.com/y", at(2), "d2", {}, None, 304),
+        record("v1", "revisit", "http://b.com/y", at(2), "d2", {}, None, 304),
+        record("v1", "revisit", "http://b.com/y", at(3), "d9", {}, None, 304),
+        record(None, "revisit", "http://b.com/y", at(3), "d2", {}, None, 304),
+    ]
+    bodies = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, warc_revisits.RECORD).withColumns({c: F.lit(1) for c in ("outcome", "m_own", "canonical")}).repartition(3)
+        out = warc_revisits.resolve_revisits(df)
+        assert out.columns == [*df.columns, "refers_to", "_outcome"]
+        got = sorted((r["url"], r["_outcome"], bytes(r["payload"] or b"")) for r in out.collect())
+        assert got[:3] == [("http://a.com/x", "resolved", b"a"), ("http://b.com/y", "mismatch", b""), ("http://b.com/y", "missing", b"")]
+        assert len(got) == 5 and got[3] == got[4] and got[3][1] == "resolved"
+        bodies.add(got[3][2])
+    assert len(bodies) == 1 and bodies < {b"b", b"another b"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [
         {"record_id": "<urn:1>", "type": "response", "url": "http://a.com/", "ts": "2024-01-01T00:00:00Z", "digest": "sha1:x", "status": 200, "headers": {"ETag": '"1"'}, "payload": b"body\r\n\r\nmore"},
