@@ -9,12 +9,18 @@ The as-of join runs on narrow rows in two levels, so that one URL with a third o
 captures is no single task: captures are dealt into slices of time by approximate
 quantiles, the last response of each (URL, slice) is found by a map-side combined
 aggregation, a window over slices carries it forward, and a window inside (URL, slice)
-does the rest. Payloads join last, by record, and only those that are needed.
-
-Defined results: records of null URL or time are never matched (outcome "missing");
-records of equal time are ordered by record_id; a revisit without any validator in
-common with the response is a "mismatch"; repeated records are each resolved; empty
-tables give empty results; further columns pass through.
+does the rest. Revisits travel through it whole, responses without headers and payload.
+Those join last; while the responses referred to number at most
+``_shared.BROADCAST_ROWS``, a broadcast of their keys sorts out the others before payloads
+are shuffled.
+
+Defined results: a revisit and a response are known by all that the join looks at (record
+id, URL, time, validators), so records that repeat a record_id are each resolved by their
+own URL and time; of responses that are equal in all of it one with the smallest hash of
+status, headers and payload is taken. Records of null URL, time or id are never matched
+(outcome "missing"); records of equal time are ordered by record_id, then validators; a
+revisit without any validator in common with the response is a "mismatch"; empty tables
+give empty results; further columns pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinflow.functions.base import let
+from skeinflow.llm._shared import let, materialise, small, unused
 
 #: Captures of one URL that a slice of time should hold, about.
 SLICE_ROWS = 5000
@@ -77,33 +83,48 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
 
     ``records`` has the columns of RECORD and perhaps more, whose values come from the revisit.
     """
-    narrow = records.select("record_id", "type", canonical_url("url").alias("canonical"), "ts", "digest", F.element_at(_lowered(F.col("headers")), "etag").alias("etag"), F.element_at(_lowered(F.col("headers")), "last-modified").alias("modified"))
-    narrow = narrow.where("type in ('response', 'revisit') and canonical is not null and ts is not null and record_id is not null")
+    canonical, etag, modified, own = unused(records, "m_canonical", "m_etag", "m_modified", "m_own")
+    told = records.withColumns({canonical: canonical_url("url"), etag: F.element_at(_lowered(F.col("headers")), "etag"), modified: F.element_at(_lowered(F.col("headers")), "last-modified")})
+    key = F.struct("ts", "record_id", "digest", F.col(etag).alias("etag"), F.col(modified).alias("modified"))
+    able = F.col(canonical).isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    whole = F.struct(*(F.col(f"`{c}`") for c in records.columns))
+    revisits = told.where("type = 'revisit'")
+    seen = revisits.where(able).select(F.col(canonical).alias("canonical"), "ts", key.alias("key"), F.lit(None).cast(key_type(told, key)).alias("full"), whole.alias(own))
+    full = told.where((F.col("type") == "response") & able).select(F.col(canonical).alias("canonical"), "ts", key.alias("key"), key.alias("full"), F.lit(None).cast(seen.schema[own].dataType).alias(own))
+    narrow = seen.union(full)
     edges = _edges(narrow, slice_rows)
     slice_ = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e <= F.col("ts").cast("double"))) if edges else F.lit(0)
     narrow = narrow.withColumn("slice", slice_)
-    full = F.when(F.col("type") == "response", F.struct("ts", "record_id", "digest", "etag", "modified"))
-    narrow = narrow.withColumn("full", full)
     sums = narrow.groupBy("canonical", "slice").agg(F.max("full").alias("of_slice"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("canonical", "slice", F.max("of_slice").over(before).alias("carried"))
-    inside = Window.partitionBy("canonical", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("canonical", "slice").orderBy("ts", "key.record_id", F.col("full").isNull()).rowsBetween(Window.unboundedPreceding, -1)
     joined = narrow.join(carried, ["canonical", "slice"]).withColumn("response", F.coalesce(F.max("full").over(inside), F.col("carried")))
-    revisits = joined.where("type = 'revisit'")
     agree, differ = F.lit(False), F.lit(False)
     for name in ("digest", "etag", "modified"):
-        agree = agree | F.coalesce(F.col(name) == F.col(f"response.{name}"), F.lit(False))
-        differ = differ | F.coalesce(F.col(name) != F.col(f"response.{name}"), F.lit(False))
+        agree = agree | F.coalesce(F.col(f"key.{name}") == F.col(f"response.{name}"), F.lit(False))
+        differ = differ | F.coalesce(F.col(f"key.{name}") != F.col(f"response.{name}"), F.lit(False))
     outcome = F.when(F.col("response").isNull(), "missing").when(agree & ~differ, "resolved").otherwise("mismatch")
-    resolved = revisits.select(F.col("record_id").alias("revisit_id"), F.col("response.record_id").alias("refers_to"), outcome.alias("outcome")).distinct()
-    bodies = records.where("type = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("response_headers"), F.col("payload").alias("response_payload"), F.col("status").alias("response_status")).dropDuplicates(["response_id"])
-    own = records.where("type = 'revisit'")
-    out = own.join(resolved, own["record_id"] == resolved["revisit_id"], "left").join(bodies, (F.col("refers_to") == F.col("response_id")) & (F.col("outcome") == "resolved"), "left")
-    update = F.map_filter(_lowered(F.col("headers")), lambda k, _: k.isin(*PERMITTED))
-    merged = let(update, lambda u: F.map_concat(F.map_filter(_lowered(F.col("response_headers")), lambda k, _: ~F.array_contains(F.map_keys(u), k)), u))
+    resolved = joined.where(F.col(own).isNotNull()).select(own, "canonical", "response", outcome.alias("outcome"))
+    resolved = materialise(resolved.union(revisits.where(~able).select(whole, F.lit(None).cast("string"), F.lit(None).cast(key_type(told, key)), F.lit("missing"))))
+    # the responses that are needed, one of each key
+    needed = resolved.where("outcome = 'resolved'").select(F.col("canonical").alias("n_canonical"), F.col("response").alias("n_key")).distinct()
+    bodies = told.where((F.col("type") == "response") & able).select(F.col(canonical).alias("b_canonical"), key.alias("b_key"), F.col("headers").alias("b_headers"), F.col("payload").alias("b_payload"), F.col("status").alias("b_status"))
+    bodies = bodies.join(small(needed), (F.col("b_canonical") == F.col("n_canonical")) & F.col("b_key").eqNullSafe(F.col("n_key")), "left_semi")
+    body = F.xxhash64("b_status", F.array_sort(F.map_entries("b_headers")), "b_payload")
+    bodies = bodies.withColumn("b_at", F.row_number().over(Window.partitionBy("b_canonical", "b_key").orderBy(body))).where("b_at = 1")
     ok = F.col("outcome") == "resolved"
-    changed = {"headers": F.when(ok, merged).otherwise(F.col("headers")), "payload": F.when(ok, F.col("response_payload")).otherwise(F.col("payload")), "status": F.when(ok, F.col("response_status")).otherwise(F.col("status"))}
-    return out.select(*(changed[c].alias(c) if c in changed else own[c] for c in own.columns), "refers_to", F.coalesce("outcome", F.lit("missing")).alias("outcome"))
+    out = resolved.withColumn("r_canonical", F.when(ok, F.col("canonical"))).join(bodies, (F.col("r_canonical") == F.col("b_canonical")) & F.col("response").eqNullSafe(F.col("b_key")), "left")
+    mine = lambda c: F.col(f"`{own}`.`{c}`")
+    update = F.map_filter(_lowered(mine("headers")), lambda k, _: k.isin(*PERMITTED))
+    merged = let(update, lambda u: F.map_concat(F.map_filter(_lowered(F.col("b_headers")), lambda k, _: ~F.array_contains(F.map_keys(u), k)), u))
+    changed = {"headers": F.when(ok, merged).otherwise(mine("headers")), "payload": F.when(ok, F.col("b_payload")).otherwise(mine("payload")), "status": F.when(ok, F.col("b_status")).otherwise(mine("status"))}
+    refers, told_outcome = unused(records, "refers_to", "outcome")
+    return out.select(*((changed.get(c, mine(c))).alias(c) for c in records.columns), F.col("response.record_id").alias(refers), F.col("outcome").alias(told_outcome))
+
+
+def key_type(told: DataFrame, key: F.Column) -> T.DataType:
+    return told.select(key.alias("key")).schema["key"].dataType
 
 
 def _edges(narrow: DataFrame, slice_rows: int) -> list[float]:
