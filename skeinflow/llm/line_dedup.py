@@ -31,7 +31,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.functions.base import contains_any
 from skeinflow.llm._shared import SEPARATORS, let, materialise, small, unused
 
 #: Lines of so many words or more may differ by one.
@@ -44,8 +43,7 @@ def _norm(line: F.Column) -> F.Column:
 
 def _spaced(norm: F.Column) -> F.Column:
     """The words of a line with one space between them."""
-    odd = contains_any(norm, ("  ", "\t", "\x0b", "\x0c", "\r"))
-    return F.when(odd, F.trim(F.regexp_replace(norm, f"[{SEPARATORS}]+", " "))).otherwise(norm)
+    return F.when(norm.rlike(r"[\x09-\x0D]|  "), F.trim(F.regexp_replace(norm, f"[{SEPARATORS}]+", " "))).otherwise(norm)
 
 
 def _words(spaced: F.Column) -> F.Column:
@@ -58,15 +56,15 @@ def _n_words(spaced: F.Column) -> F.Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, norm, spaced, n_words) of every line that has a word."""
-    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    own = own.select("doc_id", "text_hash", "pos", _norm(F.col("line")).alias("norm"))
-    own = own.where(F.trim("norm", F.lit(" \t\x0b\x0c\r")) != "").withColumn("spaced", _spaced(F.col("norm")))
-    return own.withColumn("n_words", _n_words(F.col("spaced")))
+    """(doc_id, text_hash, pos, line, norm) of every line that has a word; line: the first of its two hashes."""
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    own = own.select("doc_id", "text_hash", "pos", _norm(F.col("raw")).alias("norm")).where(F.trim("norm", F.lit(" \t\x0b\x0c\r")) != "")
+    return own.withColumn("line", F.xxhash64("norm", F.octet_length("norm")))
 
 
-def _identity(norm: F.Column) -> F.Column:
-    return F.struct(F.xxhash64(norm, F.octet_length(norm)).alias("a"), F.xxhash64(F.octet_length(norm), norm).alias("b"))
+def _check() -> F.Column:
+    """The other hash of a line."""
+    return F.xxhash64(F.octet_length("norm"), "norm").alias("check")
 
 
 def half_keys(spaced: F.Column, n: F.Column) -> F.Column:
@@ -78,9 +76,9 @@ def half_keys(spaced: F.Column, n: F.Column) -> F.Column:
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """lines (line, spaced) to (line, key, deleted): deleted is the deleted word's index, -1 for the line itself."""
+    """lines (line, check, spaced) to (line, check, key, deleted): deleted is the deleted word's index, -1 for the line itself."""
     hashes = F.transform(_words(F.col("spaced")), lambda w: F.xxhash64(w))
-    padded = lines.select("line", F.concat(F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long")), hashes, F.array(F.lit(-2).cast("long"), F.lit(-2).cast("long"))).alias("p"))
+    padded = lines.select("line", "check", F.concat(F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long")), hashes, F.array(F.lit(-2).cast("long"), F.lit(-2).cast("long"))).alias("p"))
     at = lambda i: F.col("p")[i]
     grams = padded.withColumn("g", F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
     low, high = (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda x: F.shiftrightunsigned(x, 32))
@@ -96,7 +94,7 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
         return F.struct(key.alias("key"), i.alias("deleted"))
 
     itself = F.array(F.struct(F.xxhash64("l", "h", n).alias("key"), F.lit(-1).alias("deleted")))
-    return whole.select("line", F.inline(F.concat(itself, F.transform(F.sequence(F.lit(0), n - 1), without))))
+    return whole.select("line", "check", F.inline(F.concat(itself, F.transform(F.sequence(F.lit(0), n - 1), without))))
 
 
 def within_one(a: F.Column, b: F.Column) -> F.Column:
@@ -112,35 +110,36 @@ def within_one(a: F.Column, b: F.Column) -> F.Column:
 
 def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of each document's lines that go, ascending."""
-    n_words = F.col("n_words")
     lines = _lines(docs)
+    spaced = lines.withColumn("spaced", _spaced(F.col("norm"))).withColumn("n_words", _n_words(F.col("spaced")))
     place = F.struct("doc_id", "text_hash", "pos").alias("place")
-    keys = F.when(n_words >= edit_words, half_keys(F.col("spaced"), n_words)).alias("keys")
-    occurrences = materialise(lines.select(place, _identity(F.col("norm")).alias("line"), keys))
-    distinct = materialise(occurrences.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n")))
-    # a half that two different lines share
+    keys = F.when(F.col("n_words") >= edit_words, half_keys(F.col("spaced"), F.col("n_words"))).alias("keys")
+    both = ["line", "check"]
+    occurrences = materialise(spaced.select(place, "line", _check(), keys))
+    distinct = materialise(occurrences.groupBy(*both).agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    # a half that two different lines share; one hash is enough where lines are only sorted out
     halves = occurrences.where("keys is not null").select("line", F.explode("keys").alias("key"))
-    ends = [f(f"line.{c}").alias(f"{c}{k}") for c in "ab" for k, f in enumerate((F.min, F.max))]
-    shared = halves.groupBy("key").agg(*ends).where("a0 <> a1 or b0 <> b1").select("key")
+    shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
     able = materialise(halves.join(shared, "key", "left_semi").select("line").distinct())
-    texts = lines.where(n_words >= edit_words).select(_identity(F.col("norm")).alias("line"), "spaced")
-    texts = materialise(texts.join(small(able), "line", "left_semi").dropDuplicates(["line"]))
-    firsts = distinct.join(able, "line", "left_semi").select("line", "first")
-    variants = materialise(neighbourhood(texts).join(firsts, "line"))
-    by_place = variants.groupBy("key", "deleted").agg(F.min(F.struct("first", "line")).alias("least"), F.count("*").alias("members"))
+    texts = lines.select("line", "norm").join(small(able), "line", "left_semi").select("line", _check(), _spaced(F.col("norm")).alias("spaced"))
+    texts = materialise(texts.dropDuplicates(both))
+    firsts = distinct.join(able, "line", "left_semi").select(*both, "first")
+    variants = materialise(neighbourhood(texts).join(firsts, both))
+    by_place = variants.groupBy("key", "deleted").agg(F.min(F.struct("first", *both)).alias("least"), F.count("*").alias("members"))
     least = materialise(by_place)
     whole = least.where("deleted = -1").select("key", F.col("least").alias("other"))
     cut = least.where("deleted >= 0").groupBy("key").agg(F.min("least").alias("other"))
     substituted = variants.join(least.where("deleted >= 0 and members > 1").select("key", "deleted", F.col("least").alias("other")), ["key", "deleted"])
     longer = variants.where("deleted >= 0").join(whole, "key")
     shorter = variants.where("deleted = -1").join(cut, "key")
-    pairs = [x.where("other.first < first").select("line", F.col("other.line").alias("partner")) for x in (substituted, longer, shorter)]
+    others = (F.col("other.line").alias("other_line"), F.col("other.check").alias("other_check"))
+    pairs = [x.where("other.first < first").select(*both, *others) for x in (substituted, longer, shorter)]
     pairs = pairs[0].union(pairs[1]).union(pairs[2]).distinct()
-    ours, theirs = texts.select("line", F.col("spaced").alias("a")), texts.select(F.col("line").alias("partner"), F.col("spaced").alias("b"))
-    near = pairs.join(ours, "line").join(theirs, "partner").where(within_one(_words(F.col("a")), _words(F.col("b")))).select("line").distinct()
+    ours, theirs = texts.withColumnRenamed("spaced", "a"), texts.select(F.col("line").alias("other_line"), F.col("check").alias("other_check"), F.col("spaced").alias("b"))
+    near = pairs.join(ours, both).join(theirs, ["other_line", "other_check"]).where(within_one(_words(F.col("a")), _words(F.col("b")))).select(*both).distinct()
     near = materialise(near).withColumn("near", F.lit(True))
-    judged = distinct.join(near, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occurrences.select("line", "place").join(judged, "line").where("near or place > first")
+    judged = distinct.join(near, both, "left").where("n > 1 or near").select(*both, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = occurrences.select(*both, "place").join(judged, both).where("near or place > first")
     return gone.groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.pos")).alias("removed"))
 
 
