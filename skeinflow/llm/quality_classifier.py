@@ -1,24 +1,26 @@
 """A compression classifier: which dictionary of labelled text shortens a document more.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled
-texts. A document is compressed whole with each; the difference of the two sizes, over
-the size without a dictionary, says which kind of text it resembles. Junk is often
-marked by how little is left of it at all, so the plain compressed size over the raw
-size is a second input. A logistic regression on these compression figures, fitted on
-labelled rows that no dictionary has seen, turns them into a probability.
+texts. A document is compressed with each, whole, in windows of ``WINDOW_BYTES`` so that
+in a long text its own repetitions do not outweigh the dictionaries; the difference of
+the two total sizes over the length of the text is the only input of the score. A
+logistic curve over it, fitted on labelled rows that no dictionary has seen, turns it
+into a probability. (Over the compressed size in place of the length it tells less: junk
+is often repetitive, and both sizes are then small.)
 
 Only the fit leaves the executors: at most ``max_rows`` labelled rows a class of at most
 ``max_chars`` characters each, picked from the labels in the order of a hash of doc_id;
 longer texts are left out of the sample, never cut. Scoring reads every document whole, in one pass
 without a shuffle.
 
-Defined results: null and empty texts are scored as empty text; without labels of both
+Defined results: null and empty texts have a difference of 0; without labels of both
 kinds every score is the prior 0.5; labels of null doc_id, null quality or of missing
-documents are ignored; other columns are never inputs.
+documents are ignored; a doc_id of any type will do; other columns are never inputs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOLDS = 5
 #: Bounds of the sample that is fitted on: rows of each class, characters of each text.
@@ -34,6 +37,7 @@ MAX_ROWS = 3000
 MAX_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+WINDOW_BYTES = 512
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -45,24 +49,27 @@ def held_out(doc_id: F.Column) -> F.Column:
 class Model:
     good: bytes
     bad: bytes
+    #: Of the logistic curve: intercept and slope, over the difference less ``centre``, in units of ``scale``.
     weights: list[float]
-    centre: list[float]
-    scale: list[float]
+    centre: float
+    scale: float
+
+    def probability(self, difference: np.ndarray) -> np.ndarray:
+        x = np.clip((difference - self.centre) / self.scale, -6, 6)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * x, -30, 30)))
 
 
 class Measure:
-    """Compression figures of a text."""
+    """The normalised compressed-size difference of a text: positive where the good dictionary shortens it more."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False)
-        self.good, self.bad, self.plain = make(good), make(bad), make(b"")
+        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        self.good, self.bad = make(good), make(bad)
 
-    def __call__(self, text: bytes) -> tuple[float, float, float]:
-        if not text:
-            return 0.0, 1.0, 0.0
-        plain = len(self.plain.compress(text))
-        good, bad = len(self.good.compress(text)), len(self.bad.compress(text))
-        return (bad - good) / plain, min(plain / len(text), 1.5), float(np.log1p(len(text)))
+    def __call__(self, text: bytes) -> float:
+        text = memoryview(text)
+        windows = [text[a : a + WINDOW_BYTES] for a in range(0, len(text), WINDOW_BYTES)]
+        return sum(len(self.bad.compress(w)) - len(self.good.compress(w)) for w in windows) / max(1, len(text))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -73,10 +80,6 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICTIONARY_BYTES:]
 
 
-def _terms(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, x**2, x[:, :1] * x[:, 1:2]])
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton's method; ``share`` weighs the rows."""
     w = np.zeros(x.shape[1])
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     picked = [labels.where(F.col("quality") == q).orderBy(*order).limit(max_rows) for q in (0, 1)]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
     found = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).collect()
-    rows = sorted(found, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % 2**64, r["doc_id"]))
+    rows = sorted(found, key=lambda r: (zlib.crc32(f"8:{r['doc_id']}".encode()), str(r["doc_id"])))
     rows = [(r["quality"], r["text"].encode()) for r in rows]
     kinds = [[t for q, t in rows if q == k and t] for k in (0, 1)]
     if min(map(len, kinds)) < 4:
@@ -109,12 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     measure = Measure(good, bad)
     x = np.array([measure(t) for k in (0, 1) for t in kinds[k][1::2]])
     y = np.concatenate([np.full(len(kinds[k][1::2]), float(k)) for k in (0, 1)])
-    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    centre, scale = float(x.mean()), max(float(x.std()), 1e-6)
     # weigh the classes by their shares among all labels, so that scores are calibrated
     total = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     share = np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
-    weights = _logistic(_terms((x - centre) / scale), y, share * len(y) / share.sum())
-    return Model(good, bad, weights.tolist(), centre.tolist(), scale.tolist())
+    curve = np.column_stack([np.ones(len(x)), np.clip((x - centre) / scale, -6, 6)])
+    return Model(good, bad, _logistic(curve, y, share * len(y) / share.sum()).tolist(), centre, scale)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
@@ -126,13 +129,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
         measure = Measure(model.good, model.bad) if model else None
         for batch in batches:
             if model and batch.num_rows:
-                x = np.array([measure(memoryview(t.as_buffer()) if t.is_valid else b"") for t in batch.column(2)])
-                x = np.clip((x - model.centre) / model.scale, -6, 6)
-                p = 1 / (1 + np.exp(-np.clip(_terms(x) @ np.array(model.weights), -30, 30)))
+                p = model.probability(np.array([measure(t.as_buffer()) if t.is_valid else 0.0 for t in batch.column(2)]))
             else:
                 p = np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(p, 9))], names=["doc_id", "held_out", "score"])
 
     told = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = told.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = told.mapInArrow(run, T.StructType([told.schema["doc_id"], told.schema["held_out"], T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -568,12 +568,34 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_classifier_held_out(spark):
-    base = "/root/testdata/sf0.01"
+    base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
-    good, bad = scored[scored.quality == 1].score, scored[scored.quality == 0].score
-    assert sum((x > bad).mean() for x in good) / len(good) > 0.9
-    assert ((scored.predicted == scored.quality).mean()) > 0.85
+    good, bad = scored[scored.quality == 1], scored[scored.quality == 0]
+    assert sum((x > bad.score).mean() + 0.5 * (x == bad.score).mean() for x in good.score) / len(good) > 0.98
+    assert (good.predicted.mean() + 1 - bad.predicted.mean()) / 2 > 0.85
+    for a, b in ((0, 0.5), (0.5, 0.95), (0.95, 1.01)):  # calibration
+        own = scored[(scored.score >= a) & (scored.score < b)]
+        assert abs(own.score.mean() - own.quality.mean()) < 0.1 + 0.5 / max(len(own), 1) ** 0.5
+
+
+def test_classifier_uses_the_difference_only(spark):
+    model = quality_classifier.Model(b"good words " * 20, b"#### $$$$ " * 20, [0.5, 2.0], 0.0, 0.1)
+    texts = ["good words good words", "#### $$$$ ####", "", None, "x" * 5000, "good words " * 400]
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(frame(spark, list(enumerate(texts))), model).collect()}
+    measure = quality_classifier.Measure(model.good, model.bad)
+    import math
+
+    for i, t in enumerate(texts):
+        x = max(-6.0, min(6.0, measure((t or "").encode()) / 0.1))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-0.5 - 2 * x)), abs=1e-8)
+    assert got[0] > got[3] == got[2] > got[1] and got[5] > got[3]
+
+
+def test_classifier_of_string_ids(spark, rows):
+    docs = frame(spark, rows * 4).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    labels = docs.select("doc_id", (F.length("text") % 2).alias("quality")).dropDuplicates(["doc_id"])
+    assert quality_classifier.score(docs, quality_classifier.fit(docs, labels)).where("score between 0 and 1").count() == docs.count()
 
 
 def test_classifier_edges(spark, rows):
@@ -582,7 +604,7 @@ def test_classifier_edges(spark, rows):
     assert quality_classifier.fit(docs, labels) is None
     out = quality_classifier.score(docs, None)
     assert {r["score"] for r in out.collect()} == {0.5} and out.count() == len(rows) + 1
-    fitted = quality_classifier.Model(b"good words " * 20, b"#### $$$$ " * 20, [0.0] * 8, [0.0] * 3, [1.0] * 3)
+    fitted = quality_classifier.Model(b"good words " * 20, b"#### $$$$ " * 20, [0.0, 0.0], 0.0, 1.0)
     assert all(0 <= r["score"] <= 1 for r in quality_classifier.score(docs, fitted).collect())
     assert quality_classifier.score(empty(spark), fitted).count() == 0
 
