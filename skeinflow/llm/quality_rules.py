@@ -33,7 +33,7 @@ from skeinflow.llm._shared import BLANKS, BROADCAST_ROWS, let, materialise, smal
 
 #: Buckets of words and of pairs: factor and power of the n-grams of the corpus, rounded to a power of two of at least STRETCH.
 WORD_BUCKETS = (4, 0.65)
-PAIR_BUCKETS = (32, 0.5)
+PAIR_BUCKETS = (8, 0.5)
 #: Buckets up to which the ratios are one array (4 bytes each) in the scoring pass.
 DENSE_BUCKETS = 1 << 26
 #: Good labels up to which their ids are broadcast.
@@ -56,23 +56,24 @@ class Buckets:
         self.kind = "int" if self.size <= 1 << 31 else "bigint"
 
     def word(self, x: F.Column) -> F.Column:
+        """The bucket of a word, from its hash."""
         return x.bitwiseAND(F.lit(self.words - 1)).cast(self.kind)
 
-    def pair(self, x: F.Column, y: F.Column) -> F.Column:
-        return (F.xxhash64(x, y).bitwiseAND(F.lit(self.pairs - 1)) + F.lit(self.words)).cast(self.kind)
-
-
-def ngram_buckets(hashes: F.Column, buckets: Buckets) -> F.Column:
-    """The bucket of each word and of each pair of neighbouring words, from an array of the words' hashes."""
-    n = F.size(hashes)
-    single = F.transform(hashes, buckets.word)
-    return F.when(n > 1, F.concat(single, F.zip_with(F.slice(hashes, F.lit(1), n - 1), F.slice(hashes, F.lit(2), n - 1), buckets.pair))).otherwise(single)
+    def pair(self, x: F.Column) -> F.Column:
+        """The bucket of a pair, from its hash."""
+        return (x.bitwiseAND(F.lit(self.pairs - 1)) + F.lit(self.words)).cast(self.kind)
 
 
 def word_hashes(words: F.Column) -> F.Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
+def pair_hashes(hashes: F.Column) -> F.Column:
+    """Of each two neighbours in an array of the words' hashes."""
+    n = F.size(hashes)
+    return F.when(n > 1, F.zip_with(F.slice(hashes, F.lit(1), n - 1), F.slice(hashes, F.lit(2), n - 1), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _repeated_words(hashes: F.Column) -> F.Column:
     """Words in windows that occur twice or more, from a hash of each window; n log n in the windows of a text."""
 
@@ -101,13 +102,15 @@ def statistics(text: F.Column, score=None) -> F.Column:
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(word_hashes(w), lambda h: F.struct(repeated(h).alias("n_repeat_words"), (score(h) if score else F.lit(None).cast("double")).alias("score"))).alias("of_hashes"),
+            let(word_hashes(w), lambda h: let(pair_hashes(h), lambda p: of_hashes(h, p))).alias("of_hashes"),
         )
 
-    def repeated(h):
+    def of_hashes(h, p):
         n = F.size(h)
-        starts = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
-        return let(F.when(n >= WINDOW, starts).otherwise(F.array().cast("array<bigint>")), _repeated_words)
+        # five words from two pairs and a word
+        starts = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 2), F.get(h, i + 4)))
+        repeated = let(F.when(n >= WINDOW, starts).otherwise(F.array().cast("array<bigint>")), _repeated_words)
+        return F.struct(repeated.alias("n_repeat_words"), (score(h, p) if score else F.lit(None).cast("double")).alias("score"))
 
     return let(words_of(text), of)
 
@@ -120,9 +123,16 @@ def bucket_count(docs: DataFrame) -> Buckets:
 
 
 def _grams(docs: DataFrame, buckets: Buckets, kept: F.Column, name: str) -> DataFrame:
-    """``kept`` as ``name`` and the bucket of each n-gram of each document; ``kept`` is computed once a document."""
-    own = docs.select(kept.alias(name), let(word_hashes(words_of("text")), lambda h: ngram_buckets(h, buckets)).alias("own"))
-    return own.select(name, F.explode("own").alias("bucket"))
+    """``kept`` as ``name`` and the bucket of each n-gram of each document.
+
+    Words come out as strings, each with the next one, and are hashed after that, in compiled code.
+    """
+    words = docs.select(kept.alias(name), words_of("text").alias("w"))
+    # the last word has no next one; a null next to it
+    pairs = words.select(name, F.inline(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("y"))))
+    hashed = pairs.select(name, F.xxhash64("x").alias("x"), F.when(F.col("y").isNotNull(), F.xxhash64("y")).alias("y"))
+    both = F.array(buckets.word(F.col("x")), F.when(F.col("y").isNotNull(), buckets.pair(F.xxhash64("x", "y"))))
+    return hashed.select(name, F.explode(both).alias("bucket")).where("bucket is not null")
 
 
 def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: Buckets) -> DataFrame:
@@ -174,16 +184,12 @@ def _mean_ratio(ratios: F.Column, buckets: Buckets):
     ``ratios`` is referred to once, so that its array, a subquery's value, is not copied into rows.
     """
 
-    def total(h, own):
+    def total(h, p, own):
         ratio = lambda b: F.get(F.get(own, F.shiftright(b, STRETCH_BITS)), b.bitwiseAND(F.lit(STRETCH - 1))).cast("double")
         words = F.aggregate(h, F.lit(0.0), lambda a, x: a + ratio(buckets.word(x)))
-        return F.aggregate(F.sequence(F.lit(1), F.size(h) - 1), words, lambda a, i: a + ratio(buckets.pair(F.get(h, i - 1), F.get(h, i)))), words
-
-    def mean(h):
-        both = let(ratios, lambda own: F.when(F.size(h) > 1, total(h, own)[0]).otherwise(total(h, own)[1]))
-        return F.when(F.size(h) > 0, both / (2 * F.size(h) - 1))
+        return F.aggregate(p, words, lambda a, x: a + ratio(buckets.pair(x)))
 
-    return mean
+    return lambda h, p: F.when(F.size(h) > 0, let(ratios, lambda own: total(h, p, own)) / (2 * F.size(h) - 1))
 
 
 def _joined_scores(docs: DataFrame, counts: DataFrame, totals: tuple[int, int], buckets: Buckets) -> DataFrame:

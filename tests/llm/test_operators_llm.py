@@ -444,9 +444,7 @@ def test_quality_score_by_hand(spark):
     docs = frame(spark, rows)
     own_buckets = quality_rules.Buckets(quality_rules.STRETCH, 2 * quality_rules.STRETCH)
     ratios = quality_rules.log_ratios(docs, labels, own_buckets)
-    from skeinflow.llm._shared import words_of
-
-    grams = {r[0]: r[1] for r in docs.select("doc_id", quality_rules.ngram_buckets(quality_rules.word_hashes(words_of("text")), own_buckets)).collect()}
+    grams = {i: [r["bucket"] for r in quality_rules._grams(docs, own_buckets, F.col("doc_id"), "i").where(f"i = {i}").collect()] for i, _ in rows}
     got = {r["doc_id"]: r["quality"]["score"] for r in quality_rules.judge(docs, labels, own_buckets).collect()}
     for i, own in grams.items():
         assert len(own) == 21
@@ -463,7 +461,7 @@ def test_quality_counts_every_good_label(spark):
 def test_quality_buckets_follow_the_corpus(spark):
     long = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
     sizes = [quality_rules.bucket_count(d) for d in (long, long.union(long).union(long).union(long))]
-    assert [b.pairs for b in sizes] == [1 << 15, 1 << 16] and sizes[1].words in (2 * sizes[0].words, 4 * sizes[0].words)
+    assert [b.pairs for b in sizes] == [1 << 13, 1 << 14] and sizes[1].words in (2 * sizes[0].words, 4 * sizes[0].words)
 
 
 def test_quality_of_a_corpus(spark, small):
