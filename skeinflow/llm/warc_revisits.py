@@ -11,8 +11,8 @@ quantiles, the last response of each (URL, slice) is found by a map-side combine
 aggregation, a window over slices carries it forward, and a window inside (URL, slice)
 does the rest. Revisits travel through it whole, responses without headers and payload.
 Those join last; while the responses referred to number at most
-``_shared.BROADCAST_ROWS``, a broadcast of their keys sorts out the others before payloads
-are shuffled.
+``_shared.BROADCAST_ROWS``, a broadcast of hashes of their keys sorts out the others before
+payloads are shuffled.
 
 Defined results: a revisit and a response are known by all that the join looks at (record
 id, URL, time, validators), so records that repeat a record_id are each resolved by their
@@ -108,9 +108,9 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     resolved = joined.where(F.col(own).isNotNull()).select(own, "canonical", "response", outcome.alias("outcome"))
     resolved = materialise(resolved.union(revisits.where(~able).select(whole, F.lit(None).cast("string"), F.lit(None).cast(key_type(told, key)), F.lit("missing"))))
     # the responses that are needed, one of each key
-    needed = resolved.where("outcome = 'resolved'").select(F.col("canonical").alias("n_canonical"), F.col("response").alias("n_key")).distinct()
+    needed = resolved.where("outcome = 'resolved'").select(F.xxhash64("canonical", "response").alias("n_hash")).distinct()
     bodies = told.where((F.col("type") == "response") & able).select(F.col(canonical).alias("b_canonical"), key.alias("b_key"), F.col("headers").alias("b_headers"), F.col("payload").alias("b_payload"), F.col("status").alias("b_status"))
-    bodies = bodies.join(small(needed), (F.col("b_canonical") == F.col("n_canonical")) & F.col("b_key").eqNullSafe(F.col("n_key")), "left_semi")
+    bodies = bodies.join(small(needed), F.xxhash64("b_canonical", "b_key") == F.col("n_hash"), "left_semi")
     body = F.xxhash64("b_status", F.array_sort(F.map_entries("b_headers")), "b_payload")
     bodies = bodies.withColumn("b_at", F.row_number().over(Window.partitionBy("b_canonical", "b_key").orderBy(body))).where("b_at = 1")
     ok = F.col("outcome") == "resolved"
