@@ -44,22 +44,32 @@ def expansions(query: Column | str, found: Column, limit: int = 5) -> Column:
     return F.array_distinct(F.concat(F.array(query), F.filter(F.slice(found, 1, limit), lambda x: F.lower(F.trim(x)) != F.lower(F.trim(query)))))
 
 
-def _flat(value: object) -> str:
-    if isinstance(value, list):
-        return " ".join(_flat(x) for x in value)
+#: The topics of items that are a text, or anything else without a topic.
+TEXT_TOPIC, OTHER_TOPIC = "Extracted information", "Content"
+
+
+def _first(item: dict, *names: str, default: object) -> object:
+    """The value of the first name that is there, whatever it is."""
+    return next((item[n] for n in names if n in item), default)
+
+
+def _spelled(value: object, lists: int = 2) -> str:
+    """A summary as text: objects by their own summary or content, lists joined by blanks, also the list that an object of a list holds; deeper ones as they are written."""
+    if isinstance(value, list) and lists:
+        return " ".join(_spelled(_first(x, "summary", "content", default=str(x)), lists - 1) if isinstance(x, dict) else str(x) for x in value)
     if isinstance(value, dict):
-        return _flat(value.get("summary") or value.get("content") or "")
-    return "" if value is None else str(value)
+        return str(_first(value, "summary", "content", default=str(value)))
+    return str(value)
 
 
 def normalise_item(value: object) -> list[tuple[str, str, str | None]]:
-    """(topic, summary, source) of whatever a crawler calls content."""
+    """(topic, summary, source) of whatever a crawler calls content. A key that is there counts, also with an empty or null value (spelled None)."""
     if isinstance(value, list):
         return [row for x in value for row in normalise_item(x)]
     if isinstance(value, dict):
-        topic = value.get("topic") or value.get("title") or "Content"
-        return [(_flat(topic), _flat(value.get("summary") or value.get("content") or ""), value.get("source"))]
-    return [("Content", _flat(value), None)] if value not in (None, "") else []
+        source = value.get("source")
+        return [(str(_first(value, "topic", "title", default=OTHER_TOPIC)), _spelled(_first(value, "summary", "content", default="")), None if source is None else str(source))]
+    return [(TEXT_TOPIC if isinstance(value, str) else OTHER_TOPIC, str(value), None)]
 
 
 def normalise_content(df: DataFrame, content: str, *keys: str) -> DataFrame:
@@ -75,7 +85,7 @@ def normalise_content(df: DataFrame, content: str, *keys: str) -> DataFrame:
                     value = json.loads(text) if text else None
                 except ValueError:
                     value = text
-                for k, row in enumerate(normalise_item(value)):
+                for k, row in enumerate(normalise_item(value) if text else []):
                     out.append((k, *row))
                     rows.append(i)
             taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keys))]

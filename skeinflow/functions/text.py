@@ -9,11 +9,14 @@ from skeinflow.functions.base import col, contains_any, let
 
 #: Words that a query does not search for.
 STOPWORDS = (
-    "de la el los las del en y o un una the of and or a an is que se su con por para al lo como "
-    "sin sobre entre hacia hasta desde durante mediante"
-).split()
+    "de", "la", "el", "los", "las", "del", "en", "y", "o", "un", "una", "the", "of", "and", "or", "a", "an", "is", "que", "se", "su", "con", "por",
+    "para", "al", "lo", "como", "sin", "sobre", "entre", "hacia", "hasta", "desde", "durante", "mediante",
+)
 #: The shorter list of the preflight keywords.
-PREFLIGHT_STOPWORDS = "de la el los las del en y o un una the of and or a an is que se su con por para al lo".split()
+PREFLIGHT_STOPWORDS = (
+    "de", "la", "el", "los", "las", "del", "en", "y", "o", "un", "una", "the", "of", "and", "or", "a", "an", "is", "que", "se", "su", "con", "por",
+    "para", "al", "lo",
+)
 #: Words of chunks that are page furniture.
 NOISE_KEYWORDS = (
     "cookie", "cookies", "analytics", "session", "ai_user", "ai_session", "google analytics", "microsoft clarity", "azure", "tracking", "gdpr",
@@ -148,10 +151,14 @@ def segments(text: Column | str) -> Column:
     return let(F.struct(F.split(text, _FENCE, -1).alias("plain"), extract(1).alias("lang"), extract(2).alias("body")), join)
 
 
+#: The sentence of a stub, around its size and its names.
+STUB = ("[CÓDIGO COMPRIMIDO — ", " tokens — símbolos: ", ". Recuperar con /expand <nombre> o via LOD.]")
+
+
 def code_stub(code: Column, lang: Column) -> Column:
     """A fence whose body only tells its size and first eight names."""
     names = let(defined_names(code), lambda n: F.when(F.size(n) > 0, F.array_join(F.slice(n, 1, 8), ", ")).otherwise("none"))
-    told = F.concat(F.lit("[CÓDIGO COMPRIMIDO — "), estimate_tokens(code).cast("string"), F.lit(" tokens — símbolos: "), names, F.lit(". Recuperar con /expand <nombre> o via LOD.]"))
+    told = F.concat(F.lit(STUB[0]), estimate_tokens(code).cast("string"), F.lit(STUB[1]), names, F.lit(STUB[2]))
     return F.concat(F.lit("```"), lang, F.lit("\n"), told, F.lit("\n```"))
 
 
@@ -165,9 +172,10 @@ def repetition_tail(text: Column | str, lines_back: int = 20) -> Column:
     last = let(rows, lambda r: F.slice(r, F.greatest(F.size(r) - max(4, lines_back) + 1, F.lit(1)), F.lit(max(4, lines_back))))
 
     def common(a, b):
+        # a longer prefix can only be equal if all shorter ones are: find its length bit by bit
         width = F.least(F.length(a), F.length(b))
-        # equal prefixes shrink monotonically: the first difference ends them
-        return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), width), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))) - 1, width)
+        longer = lambda n, bit: F.when((n + bit <= width) & (F.left(a, n + bit) == F.left(b, n + bit)), n + bit).otherwise(n)
+        return F.aggregate(F.array(*(F.lit(1 << k) for k in range(12, -1, -1))), F.lit(0), longer)
 
     def told(r):
         prefixes = F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: common(F.get(r, i), F.get(r, i + 1)))
@@ -235,5 +243,6 @@ def language_of(filename: Column | str) -> Column:
 
 def redact(json: Column | str) -> Column:
     """JSON text whose credentials are masked."""
-    scalar = r'(?:"(?:[^"\\]|\\.)*"|[^",\[\]{}\s]+)'
+    # a string ends at a quote before which stand pairs of backslashes only; without alternatives in a loop, which Java's regular expressions run by recursion
+    scalar = r'(?:"(?s:.*?)(?<!\\)(?:\\\\)*"|[^",\[\]{}\s]+)'
     return F.regexp_replace(col(json), r'(?i)("(?:' + "|".join(CREDENTIALS) + r')"\s*:\s*)' + scalar, r'$1"***REDACTED***"')

@@ -8,42 +8,54 @@ from pyspark.sql import functions as F
 from skeinflow.functions.base import col, contains_any, ends_with_any, let
 
 #: Extensions of files that are not pages.
-STATIC_EXTENSIONS = ".css .js .json .xml .rss .atom .png .jpg .jpeg .gif .svg .webp .ico .pdf .zip .tar .gz .mp4 .mp3 .webm .woff .woff2 .ttf .eot .map .txt".split()
+STATIC_EXTENSIONS = (
+    ".css", ".js", ".json", ".xml", ".rss", ".atom", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".pdf", ".zip", ".tar", ".gz", ".mp4",
+    ".mp3", ".webm", ".woff", ".woff2", ".ttf", ".eot", ".map", ".txt",
+)
 #: Extensions of pages.
-HTML_EXTENSIONS = ".html .htm .php .asp .aspx .jsp .jspx .do .action .cgi .pl .shtml .xhtml .cfm .phtml".split()
+HTML_EXTENSIONS = (
+    ".html", ".htm", ".php", ".asp", ".aspx", ".jsp", ".jspx", ".do", ".action", ".cgi", ".pl", ".shtml", ".xhtml", ".cfm", ".phtml",
+)
 #: What excludes a URL, by site and in general.
 WIKIPEDIA_EXCLUDED = (
-    "/w/load.php /w/api.php /w/index.php?title= action=edit action=history action=raw action=info action=render action=submit action=delete "
-    "action=protect action=unprotect action=move special:recentchanges special:whatlinkshere special:export special:permalink special:search "
-    "special:userlogin special:createaccount special:upload oldid= diff= printable=yes mobileaction= veaction=edit section= # "
-    ".wikipedia.org/wiki/special: simple.wikipedia.org m.wikipedia.org en.m.wikipedia.org es.m.wikipedia.org wikimedia.org"
-).split()
+    "/w/load.php", "/w/api.php", "/w/index.php?title=", "action=edit", "action=history", "action=raw", "action=info", "action=render",
+    "action=submit", "action=delete", "action=protect", "action=unprotect", "action=move", "special:recentchanges", "special:whatlinkshere",
+    "special:export", "special:permalink", "special:search", "special:userlogin", "special:createaccount", "special:upload", "oldid=", "diff=",
+    "printable=yes", "mobileaction=", "veaction=edit", "section=", "#", ".wikipedia.org/wiki/special:", "simple.wikipedia.org", "m.wikipedia.org",
+    "en.m.wikipedia.org", "es.m.wikipedia.org", "wikimedia.org",
+)
 REDDIT_EXCLUDED = (
-    "/r/ /user/ /comments/ /wiki/ /message/ /submit/ /login/ /register/ /settings/ /prefs/ /r/all/ /r/popular/ ?sort= ?limit= ?after= ?before= "
-    "?context= ?depth= /api/ /embed/ /saved/ /upvoted/ /downvoted/ /hidden/ /gilded/ /submitted/"
-).split()
+    "/r/", "/user/", "/comments/", "/wiki/", "/message/", "/submit/", "/login/", "/register/", "/settings/", "/prefs/", "/r/all/", "/r/popular/",
+    "?sort=", "?limit=", "?after=", "?before=", "?context=", "?depth=", "/api/", "/embed/", "/saved/", "/upvoted/", "/downvoted/", "/hidden/",
+    "/gilded/", "/submitted/",
+)
 GITHUB_EXCLUDED = (
-    "/raw/ /blob/ /commit/ /commits/ /issues/ /pull/ /pulls/ /actions/ /projects/ /wiki/ /releases/ /tags/ /branches/ /insights/ /settings/ "
-    "/security/ /labels/ /milestones/ /discussions/ /sponsor/ /account/ /orgs/ /new/ /edit/ /delete/ .patch .diff ?tab= #readme"
-).split()
-#: The mixed-case entries can't match a lower-cased URL; they are part of the list all the same.
+    "/raw/", "/blob/", "/commit/", "/commits/", "/issues/", "/pull/", "/pulls/", "/actions/", "/projects/", "/wiki/", "/releases/", "/tags/",
+    "/branches/", "/insights/", "/settings/", "/security/", "/labels/", "/milestones/", "/discussions/", "/sponsor/", "/account/", "/orgs/", "/new/",
+    "/edit/", "/delete/", ".patch", ".diff", "?tab=", "#readme",
+)
+#: Fixed values. The mixed-case entries can't match a lower-cased URL; they are part of the list all the same.
 GENERAL_EXCLUDED = (
-    "/login /logout /signup /register /cart /checkout /wishlist /admin /dashboard /settings /preferences /api/ /graphql /rest/ /rpc/ /feed /rss "
-    "/atom /xmlrpc.php /cdn-cgi/ /wp-json/ /wp-content/ ?share= ?utm_ ?ref= ?source= javascript: mailto: tel: data: .git/ .svn/ .env/ .idea/ "
-    "/amp/ ?format=amp /print/ /mobile/ /embed/ /frame/ /iframe/ ?iframe= /wiki/Wikipedia: /wiki/Portal: /wiki/Ayuda: /wiki/Especial: "
-    "/wiki/Main_Page /wiki/Contents /wiki/Community_portal /wiki/Recent_changes /wiki/File: /wiki/Template: /wiki/Category: "
-    "/wiki/Categor%C3%ADa /wiki/Help: /wiki/Special:"
-).split()
+    "/login", "/logout", "/signup", "/register", "/cart", "/checkout", "/wishlist", "/admin", "/dashboard", "/settings", "/preferences", "/api/",
+    "/graphql", "/rest/", "/rpc/", "/feed", "/rss", "/atom", "/xmlrpc.php", "/cdn-cgi/", "/wp-json/", "/wp-content/", "?share=", "?utm_", "?ref=",
+    "?source=", "javascript:", "mailto:", "tel:", "data:", ".git/", ".svn/", ".env/", ".idea/", "/amp/", "?format=amp", "/print/", "/mobile/",
+    "/embed/", "/frame/", "/iframe/", "?iframe=", "/wiki/Wikipedia:", "/wiki/Portal:", "/wiki/Ayuda:", "/wiki/Especial:", "/wiki/Main_Page",
+    "/wiki/Contents", "/wiki/Community_portal", "/wiki/Recent_changes", "/wiki/File:", "/wiki/Template:", "/wiki/Category:", "/wiki/Categor%C3%ADa",
+    "/wiki/Help:", "/wiki/Special:",
+)
 #: Domains that are not searched.
-SOCIAL_DOMAINS = "facebook.com twitter.com x.com linkedin.com instagram.com pinterest.com tiktok.com snapchat.com reddit.com".split()
+SOCIAL_DOMAINS = (
+    "facebook.com", "twitter.com", "x.com", "linkedin.com", "instagram.com", "pinterest.com", "tiktok.com", "snapchat.com", "reddit.com",
+)
 #: Where files can be had as they are.
 RAW_HOSTS = ("raw.githubusercontent.com", "gist.githubusercontent.com", "raw.gitlab.com")
 PASTEBINS = ("pastebin.com/raw/", "hastebin.com/raw/", "dpaste.com")
 CODE_HOSTS = ("github.com", "gitlab.com", "bitbucket.org", "codeberg.org", "sr.ht", "gist.github.com")
 RAW_EXTENSIONS = (
-    ".py .js .ts .jsx .tsx .json .yaml .yml .toml .cfg .ini .sh .bash .md .txt .csv .log .env .xml .java .c .cpp .h .rs .go .rb .php .sql .r .m "
-    ".swift .kt .scala .lua .vim .dockerfile .makefile .gradle .properties .conf .rst .adoc .tex .bib .svg .graphql .proto"
-).split()
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".sh", ".bash", ".md", ".txt", ".csv", ".log", ".env",
+    ".xml", ".java", ".c", ".cpp", ".h", ".rs", ".go", ".rb", ".php", ".sql", ".r", ".m", ".swift", ".kt", ".scala", ".lua", ".vim", ".dockerfile",
+    ".makefile", ".gradle", ".properties", ".conf", ".rst", ".adoc", ".tex", ".bib", ".svg", ".graphql", ".proto",
+)
 #: Domains whose pages lead on to each other.
 KNOWLEDGE_DOMAINS = ("wikipedia.org", "wikimedia.org", "wiki", "readthedocs.io", "github.com", "docs.python.org", "developer.mozilla.org")
 

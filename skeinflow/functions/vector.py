@@ -24,17 +24,19 @@ def boosted(similarity: Column, boost: Column) -> Column:
     return F.least(F.lit(1.0), similarity + boost)
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 1024) -> DataFrame:
+def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 1024, group: str | None = None) -> DataFrame:
     """(a, b, sim) of all pairs a < b with a cosine above the threshold.
 
     Vectors are dealt into blocks by a hash; a task multiplies two blocks, so memory is
-    bounded and no row meets all others in one place.
+    bounded and no row meets all others in one place. Exact, and so quadratic in the rows;
+    with ``group``, in the rows of a group: only rows that share that column are compared
+    (a label, or a key of a blocking that the caller has measured).
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
+    told = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).alias("g"))
+    sizes = told.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = told.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", "k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
 
     def multiply(table: pa.Table) -> pa.Table:
         keys = table.column("k").to_numpy()
@@ -52,4 +54,4 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
         keep = a < b if same else a != b
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": np.round(sims[x, y][keep], 6)})
 
-    return dealt.groupBy("i", "j").applyInArrow(multiply, "a long, b long, sim double")
+    return dealt.groupBy("g", "i", "j").applyInArrow(multiply, "a long, b long, sim double")

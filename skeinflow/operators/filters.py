@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions import html as H
 from skeinflow.functions import text as T
 from skeinflow.functions import url as U
+from skeinflow.functions.base import let
 
 MIN_STRICT = 3
 RELEVANCE_THRESHOLD = 0.6
@@ -26,13 +27,15 @@ def validate_urls(pages: DataFrame, query: str | None = None, url: str = "url",
     if not query:
         return staged
     words, anchors = T.preflight_keywords(F.lit(query)), T.anchor_keywords(F.lit(query))
-    general = wiki | H.has_keywords(html, words) | (F.size(words) == 0)
-    strict = general & (wiki | H.has_keywords(html, anchors) | (F.size(anchors) == 0))
-    marked = staged.withColumns({"_general": F.col("reject_stage").isNull() & general, "_strict": F.col("reject_stage").isNull() & strict})
+    # the page's text is made once, and only of pages that got this far
+    text = F.concat(H.title(html), F.lit(" "), H.body_text(html))
+    found = lambda t, keywords: F.coalesce(F.exists(keywords, lambda k: F.contains(t, k)), F.lit(False)) | (F.size(keywords) == 0)
+    looked = F.when(wiki, F.struct(F.lit(True).alias("general"), F.lit(True).alias("strict"))).otherwise(let(text, lambda t: F.struct(found(t, words).alias("general"), (found(t, words) & found(t, anchors)).alias("strict"))))
+    marked = staged.withColumn("_found", F.when(F.col("reject_stage").isNull(), looked))
     # one number of the whole, as a scalar subquery: no window gathers the rows
-    enough = marked.agg(F.count_if("_strict") >= MIN_STRICT).scalar()
-    passes = F.when(enough, F.col("_strict")).otherwise(F.col("_general"))
-    return marked.withColumn("reject_stage", F.when(F.col("reject_stage").isNull() & ~passes, "keywords").otherwise(F.col("reject_stage"))).drop("_general", "_strict")
+    enough = marked.agg(F.count_if("_found.strict") >= MIN_STRICT).scalar()
+    passes = F.when(enough, F.col("_found.strict")).otherwise(F.col("_found.general"))
+    return marked.withColumn("reject_stage", F.when(F.col("reject_stage").isNull() & ~passes, "keywords").otherwise(F.col("reject_stage"))).drop("_found")
 
 
 def numbered_batches(df: DataFrame, order: list[str], size: int = BATCH, name: str = "batch") -> DataFrame:

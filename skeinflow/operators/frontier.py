@@ -97,8 +97,16 @@ def two_levels(edges: DataFrame, starts: DataFrame, query: str, first: int = 15,
     return ranked.select(F.col("src").alias("source"), F.col("dst").alias("url"), "score")
 
 
+def research_filter(spark: SparkSession, edges: DataFrame, starts: list[str], query: str, tokens: DataFrame, max_pages: int = 20, **_) -> DataFrame:
+    """The starts, and of each its best links; sorted by how many words of the query their URLs hold."""
+    own = spark.createDataFrame([(u,) for u in dict.fromkeys(starts)], "url string")
+    found = two_levels(edges, own, query).groupBy("url").agg(F.max("score").alias("score")).join(own, "url", "left_anti")
+    both = own.select("url", F.lit(0).alias("depth"), T.keyword_score("url", F.lit(query)).alias("score")).unionByName(found.select("url", F.lit(1).alias("depth"), "score"))
+    return both.orderBy(F.col("score").desc(), "depth", "url").limit(max_pages).withColumn("step", F.col("depth"))
+
+
 #: The strategies by name; unknown names mean the first.
-MODES = {"pseudo_adaptive": pseudo_adaptive, "llm_guided": guided, "bfs_deep": bfs_deep}
+MODES = {"pseudo_adaptive": pseudo_adaptive, "llm_guided": guided, "bfs_deep": bfs_deep, "research_filter": research_filter}
 
 
 def crawl(mode: str, *args, **options) -> DataFrame:

@@ -2,58 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions import text as T
 from skeinflow.functions.base import col, contains_any
-from skeinflow.functions.vector import cosine
+from skeinflow.sources.expert_config import EXPERTS
+from skeinflow.sources.storage import materialise
 
 DEFAULT = "generalista"
 SEMANTIC_THRESHOLD = 0.55
 CHANGE_THRESHOLD = 2
-
-#: Experts, and the words that name them.
-KEYWORDS = (
-    ("experto-en-neovim", "Neovim", "neovim_docs", "the official Neovim documentation and community plugins", ("neovim", "nvim", "vimrc", "init.lua", "lazy.nvim", "vim-plug", "treesitter", "keymap", "which-key")),
-    ("experto-en-arch-linux", "Arch Linux", "archwiki", "the official Arch Linux wiki", ("archlinux", "pacman", "yay", "aur", "systemd", "grub", "hyprland", "wayland")),
-    (
-        "arquitecto-de-codigo", "Arquitecto de código", None, None,
-        ("architecture", "arquitectura", "design pattern", "patrón de diseño", "microservices", "microservicios", "system design", "diseño de sistemas", "scalability", "escalabilidad", "ddd",
-         "domain driven design", "event sourcing", "c4 model", "modelo c4", "monolith", "monolito", "orchestration", "orquestación", "saga", "cqrs", "trade-off", "clean architecture",
-         "arquitectura limpia", "hexagonal", "onion architecture", "architectural decision record", "adr", "component diagram", "diagrama de componentes"),
-    ),
-    (
-        "progrmador", "Programador", None, None,
-        ("function", "función", "class", "clase", "algorithm", "algoritmo", "debug", "depurar", "bug", "implement", "implementar", "python", "javascript", "api", "script", "optimize", "optimizar",
-         "refactor", "refactorizar", "snippet", "fragmento", "error", "excepción", "library", "librería", "framework", "endpoint", "test", "prueba unitaria"),
-    ),
+#: What is told of a knowledge base, around its collection and its name, and the name of one without.
+GUIDANCE = (
+    "You have access to the knowledge base '", "' (", "specialized documents",
+    "). Use this knowledge base when relevant, but you may also use other available tools. Answer in the same language as the user.",
 )
 
-
-def by_keyword(text: Column | str, experts=KEYWORDS) -> Column:
-    """The first expert one of whose keywords is in the text, else null. The experts are a fixed list, so no join is needed."""
+def by_keyword(text: Column | str, experts=EXPERTS) -> Column:
+    """The first expert one of whose keywords is in the text, else null; for experts that are known when the plan is made."""
     lower = F.lower(col(text))
     out = F.lit(None).cast("string")
     for expert in reversed(experts):
-        out = F.when(contains_any(lower, expert[4]), expert[0]).otherwise(out)
+        out = F.when(contains_any(lower, expert["keywords"]), expert["id"]).otherwise(out)
     return out
 
 
-def by_similarity(queries: DataFrame, examples: DataFrame, key: str, block: int = 256, threshold: float = SEMANTIC_THRESHOLD, default: str = DEFAULT) -> DataFrame:
-    """(key, expert_id, score): the expert of the most similar example, the default below the threshold.
+def keyword_expert(turns: DataFrame, experts: DataFrame, text: str = "text", out: str = "expert") -> DataFrame:
+    """``turns`` with the first expert (by ord) one of whose keywords is in the text, else null; experts from a table.
+
+    The experts, a configuration, are one array for all rows; no row meets another in a join.
+    """
+    listed = experts.agg(F.array_sort(F.collect_list(F.struct("ord", "id", "keywords")))).scalar()
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    found = F.filter("_experts", lambda e: F.exists(e["keywords"], lambda k: F.contains(F.col("_lower"), k)))
+    return turns.withColumn("_experts", listed).withColumn("_lower", lower).withColumn(out, F.get(found, 0)["id"]).drop("_experts", "_lower")
+
+
+def by_similarity(queries: DataFrame, examples: DataFrame, key: str, threshold: float = SEMANTIC_THRESHOLD, default: str = DEFAULT, block_bytes: int = 16 << 20) -> DataFrame:
+    """(key, expert_id, score): the expert of the most similar example, the default below the threshold; equal scores go to the first expert.
 
-    ``queries`` (key, embedding); ``examples`` (expert_ord, expert_id, embedding), a
-    configuration of at most a few thousand rows, which is gathered into one row a query side.
+    ``queries`` (key, embedding); ``examples`` (expert_ord, expert_id, embedding). Examples are
+    broadcast in blocks of at most ``block_bytes`` of vectors; a further block is a further
+    pass over the best so far, written in between.
     """
-    rows = examples.groupBy("expert_ord", "expert_id").agg(F.collect_list("embedding").alias("own"))
-    experts = rows.agg(F.array_sort(F.collect_list(F.struct("expert_ord", "expert_id", "own"))).alias("e")).first()["e"]
-    best = []
-    for e in experts:
-        vectors = [F.lit([float(x) for x in v]) for v in e["own"]]
-        best.append(F.struct(F.round(F.greatest(F.lit(-1.0), *(cosine(F.col("embedding"), v) for v in vectors)), 6).alias("score"), F.lit(-e["expert_ord"]).alias("o"), F.lit(e["expert_id"]).alias("id")))
-    found = queries.select(key, F.greatest(*best).alias("b") if len(best) > 1 else best[0].alias("b"))
-    return found.select(key, F.when(F.col("b.score") >= threshold, F.col("b.id")).otherwise(default).alias("expert_id"), F.col("b.score").alias("score"))
+    out = queries.select(F.col(key), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(-1.0).alias("score"), F.lit(None).cast("int").alias("expert_ord"), F.lit(None).cast("string").alias("expert_id"))
+    for i, block in enumerate(_example_blocks(examples, block_bytes)):
+        out = (materialise(out) if i else out).mapInArrow(_nearest(queries.sparkSession.sparkContext.broadcast(block)), out.schema)
+    return out.select(key, F.when(F.col("score") >= threshold, F.col("expert_id")).otherwise(default).alias("expert_id"), "score")
+
+
+def _example_blocks(examples: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, list[int], list[str]]]:
+    """Normed vectors with their experts, sorted by expert, in blocks of bounded size."""
+    rows, size = [], 0
+    for row in examples.select("expert_ord", "expert_id", "embedding").orderBy("expert_ord").toLocalIterator():
+        rows.append(row)
+        size += 8 * len(row[2])
+        if size >= block_bytes:
+            yield _block(rows)
+            rows, size = [], 0
+    if rows:
+        yield _block(rows)
+
+
+def _block(rows: list) -> tuple[np.ndarray, list[int], list[str]]:
+    return _normed(np.array([r[2] for r in rows], float)), [r[0] for r in rows], [r[1] for r in rows]
+
+
+def _normed(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms == 0, 1, norms)
+
+
+def _nearest(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, ords, ids = shared.value
+        for batch in batches:
+            own = batch.column(1)
+            able = [x is not None and len(x) == vectors.shape[1] for x in own.to_pylist()]
+            sims = np.full(batch.num_rows, -1.0)
+            at = np.zeros(batch.num_rows, np.int64)
+            if any(able):
+                places = np.flatnonzero(able)
+                product = np.round(_normed(np.array([own[int(i)].as_py() for i in places], float)) @ vectors.T, 6)
+                at[places] = product.argmax(axis=1)
+                sims[places] = product.max(axis=1)
+            before = batch.column(2).to_numpy()
+            # the first expert stays on ties: earlier blocks hold smaller ones
+            better = (sims > before) | (batch.column(3).is_null().to_numpy(zero_copy_only=False) & np.array(able, bool))
+            score = np.where(better, sims, before)
+            old_ord, old_id = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            new_ord = [ords[a] if b else o for a, b, o in zip(at, better, old_ord, strict=True)]
+            new_id = [ids[a] if b else o for a, b, o in zip(at, better, old_id, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array(score, pa.float64()), pa.array(new_ord, pa.int32()), pa.array(new_id, pa.string())], names=batch.schema.names)
+
+    return run
 
 
 def cache_key(turns: DataFrame) -> DataFrame:
@@ -104,11 +151,8 @@ def inject_guidance(turns: DataFrame, experts: DataFrame) -> DataFrame:
     ``experts`` (id, collection_name, knowledge_base); nothing is told of experts without a collection.
     """
     dim = experts.where("collection_name is not null").select(F.col("id").alias("expert_id"), "collection_name", "knowledge_base")
-    guidance = F.concat(
-        F.lit("You have access to the knowledge base '"), F.col("collection_name"), F.lit("' ("), F.coalesce("knowledge_base", F.lit("specialized documents")), F.lit("). "),
-        F.lit("Use this knowledge base when relevant, but you may also use other available tools. Answer in the same language as the user."),
-    )
-    joined = turns.join(F.broadcast(dim), "expert_id", "left").withColumn("_g", guidance)
+    guidance = F.concat(F.lit(GUIDANCE[0]), F.col("collection_name"), F.lit(GUIDANCE[1]), F.coalesce("knowledge_base", F.lit(GUIDANCE[2])), F.lit(GUIDANCE[3]))
+    joined = turns.join(dim, "expert_id", "left").withColumn("_g", guidance)
     first = F.min(F.when(F.col("role") == "system", F.col("turn"))).over(Window.partitionBy("conv_id"))
     marked = joined.withColumn("_first", first)
     same = marked.withColumn("text", F.when((F.col("turn") == F.col("_first")) & F.col("_g").isNotNull(), F.concat("text", F.lit("\n\n"), F.col("_g"))).otherwise(F.col("text")))

@@ -16,7 +16,8 @@ from skeinflow.operators import cache as C
 from skeinflow.operators import conversation, filters, frontier, rank, routing, sets
 from skeinflow.plans import fixtures as X
 from skeinflow.plans.fixtures import quoted
-from skeinflow.sources.tables import table
+from skeinflow.sources.expert_config import EXPERTS
+from skeinflow.sources.tables import experts, table
 from skeinflow.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,7 +133,12 @@ def think_strip(spark, d):
     return X.THINK.frame(spark).unionByName(wrapped.select(F.col("id"), "text")).select(F.col("id").cast("bigint").alias("id"), T.strip_think("text").alias("text"))
 
 
-@query()
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(right(text, 6000), chr(10)), lambda r: regexp_replace(r, '\s+$', '')), lambda r: r <> '')[-20:] AS a FROM documents),
+p AS (SELECT doc_id, a, list_transform(range(1, len(a)), lambda i: coalesce(list_min(list_filter(range(1, least(len(a[i]), len(a[i + 1])) + 1), lambda k: substring(a[i], k, 1) <> substring(a[i + 1], k, 1))) - 1, least(len(a[i]), len(a[i + 1])))) AS b FROM l WHERE len(a) >= 4),
+c AS (SELECT doc_id, CAST(len(a) AS INTEGER) AS lines, CAST(len(a) - len(list_distinct(a)) AS INTEGER) AS exact, list_sort(list_filter(b, lambda x: x >= 12)) AS s FROM p),
+m AS (SELECT *, CAST(len(s) AS INTEGER) AS shared, CAST(coalesce(s[len(s) // 2 + 1], 0) AS INTEGER) AS median, CAST(floor(coalesce(s[len(s) // 2 + 1], 0) / 3.7) AS INTEGER) AS tokens FROM c)
+SELECT d.doc_id, coalesce(lines, 0) AS lines, coalesce(exact, 0) AS exact, coalesce(shared, 0) AS shared, coalesce(median, 0) AS median, coalesce(tokens, 0) AS tokens,
+ CASE WHEN lines IS NULL OR (exact = 0 AND shared = 0) THEN '' WHEN exact >= greatest(2, lines // 3) THEN 'verbatim' WHEN shared >= greatest(2, (lines - 1) // 2) THEN CASE WHEN tokens >= 4 THEN 'template' ELSE 'template_short' END ELSE 'partial' END AS verdict FROM documents d LEFT JOIN m USING (doc_id)""")
 def repetition_tail(spark, d):
     return table(spark, d, "documents").select("doc_id", T.repetition_tail("text").alias("t")).select("doc_id", "t.*")
 
@@ -144,7 +150,8 @@ def repetition_exact(spark, d):
     return found.select("doc_id", "t.lines", "t.exact").where("lines >= 4")
 
 
-@query()
+@query(f"""SELECT doc_id, CASE WHEN octet_length(encode(text)) > 101 THEN left(text, n) || CASE WHEN octet_length(encode(left(text, n))) < 101 THEN '�' ELSE '' END || {quoted(T.TRUNCATED)} ELSE text END AS text
+FROM (SELECT doc_id, text, list_max(list_filter(range(0, 102), lambda k: octet_length(encode(left(text, k))) <= 101)) AS n FROM documents)""")
 def byte_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.truncate_bytes("text", 101).alias("text"))
 
@@ -155,7 +162,14 @@ def preserve_error(spark, d):
     return turns.select("conv_id", "turn", T.has_marker("text").alias("marker"), T.is_traceback("text").alias("error"), T.is_tool_request("text").alias("tool"))
 
 
-@query()
+SQL_FENCE = "(?s)```(\\w*)\\s*\\n(.*?)(?:```|\\z)"
+SQL_NAMES = r"list_concat(regexp_extract_all(text, '(?m)^class\s+([A-Za-z_]\w*)', 1), regexp_extract_all(text, '(?m)^(?:async )?def\s+([A-Za-z_]\w*)', 1))"
+
+
+@query(f"""WITH p AS (SELECT id, regexp_split_to_array(text, '{SQL_FENCE}') AS plain, regexp_extract_all(text, '{SQL_FENCE}', 1) AS lang, regexp_extract_all(text, '{SQL_FENCE}', 2) AS body FROM {X.CODE.sql}),
+s AS (SELECT id, 2 * i AS n, 'text' AS kind, '' AS lang, plain[i] AS text FROM (SELECT id, plain, unnest(range(1, len(plain) + 1)) AS i FROM p) UNION ALL SELECT id, 2 * i + 1, 'code', lang[i], body[i] FROM (SELECT id, lang, body, unnest(range(1, len(body) + 1)) AS i FROM p))
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INTEGER) AS ord, kind, lang, text, array_to_string({SQL_NAMES}, ',') AS names,
+ '```' || lang || chr(10) || {quoted(T.STUB[0])} || (length(text) // 4) || {quoted(T.STUB[1])} || CASE WHEN len({SQL_NAMES}) > 0 THEN array_to_string({SQL_NAMES}[1:8], ', ') ELSE 'none' END || {quoted(T.STUB[2])} || chr(10) || '```' AS stub FROM s WHERE kind = 'code' OR text <> ''""")
 def code_segments(spark, d):
     found = X.CODE.frame(spark).select("id", F.posexplode(T.segments("text")).alias("ord", "s"))
     return found.select("id", "ord", "s.kind", "s.lang", "s.text", F.array_join(T.defined_names("s.text"), ",").alias("names"), T.code_stub(F.col("s.text"), F.col("s.lang")).alias("stub"))
@@ -301,7 +315,9 @@ def sim_pairs(spark, d):
     return V.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", SIM)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT a, b FROM ({SQL_PAIRS})), n AS (SELECT v.vec_id, row_number() OVER (ORDER BY v.vec_id) AS i, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS earlier FROM embeddings v LEFT JOIN p ON p.b = v.vec_id GROUP BY v.vec_id),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, n.vec_id) END FROM r JOIN n ON n.i = r.i + 1)
+SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1)""")
 def greedy_dedup(spark, d):
     vectors = table(spark, d, "embeddings")
     return sets.greedy_independent(vectors.select("vec_id"), V.similar_pairs(vectors, "vec_id", "embedding", SIM), "vec_id")
@@ -364,7 +380,21 @@ def lru_state(spark, d):
     return C.replay(X.OPERATIONS.frame(spark), 2, 8.0)
 
 
-@query()
+SQL_WHOLE = f"regexp_replace(regexp_replace(regexp_replace({SQL_INNER}, '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<[^>]+>', ' ', 'g')"
+
+
+def sql_chunks(source: str, key: str) -> str:
+    """SQL: common table expressions u, r and ch (key, chunk_index, chunk) of a query with key and text."""
+    return f"""t AS ({source}), a AS (SELECT {key}, {SQL_SENTENCES} AS a FROM t),
+u AS (SELECT {key}, i, a[i] AS sent, length(a[i]) // 4 AS tk FROM (SELECT {key}, a, unnest(range(1, len(a) + 1)) AS i FROM a)),
+r AS (SELECT {key}, i, tk AS cur, 0 AS ch FROM u WHERE i = 1 UNION ALL
+ SELECT u.{key}, u.i, CASE WHEN r.cur + u.tk > 256 THEN u.tk ELSE r.cur + u.tk END, CASE WHEN r.cur + u.tk > 256 THEN r.ch + 1 ELSE r.ch END FROM r JOIN u ON u.{key} = r.{key} AND u.i = r.i + 1),
+ch AS (SELECT r.{key}, CAST(r.ch AS INTEGER) AS chunk_index, string_agg(u.sent, ' ' ORDER BY u.i) AS chunk FROM r JOIN u USING ({key}, i) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {sql_chunks(f"SELECT url, min({SQL_WHOLE}) AS text FROM pages GROUP BY 1", "url")}
+SELECT url, 0 AS chunk_index, sha256(text) AS content_hash, 0.0::DOUBLE AS ts, true AS relevant FROM t WHERE length(url) % 2 = 0
+UNION ALL SELECT url, chunk_index, sha256(text), 1.0::DOUBLE, NULL FROM ch JOIN t USING (url) WHERE length(url) % 2 = 1""")
 def page_cache(spark, d):
     pages = table(spark, d, "pages").select("url", H.whole_text("html").alias("text"))
     pages = sets.first_by(pages, ["url"], "text")
@@ -372,14 +402,19 @@ def page_cache(spark, d):
     return C.page_chunks(pages, stored, "url", "text", F.lit(1.0)).select("url", "chunk_index", "content_hash", "ts", "relevant")
 
 
-@query(f"""SELECT ord, CASE WHEN starts_with(src, '//') THEN 'https:' || src WHEN starts_with(src, 'http') THEN src ELSE 'https://a.com' || CASE WHEN starts_with(src, '/') THEN src ELSE '/' || src END END AS url FROM {X.MEDIA.sql}
-WHERE score >= 6 AND src <> '' AND ord <> 3""")
+SQL_MEDIA = "CASE WHEN starts_with(src, '//') THEN 'https:' || src WHEN starts_with(src, 'http') THEN src ELSE 'https://a.com' || CASE WHEN starts_with(src, '/') THEN src ELSE '/' || src END END"
+
+
+@query(f"""WITH m AS (SELECT page_id * 1000 + ord AS ord, link || CASE WHEN ord % 2 = 0 THEN '?w=' || ord ELSE '' END AS url FROM ({SQL_LINKS}) WHERE link IS NOT NULL UNION ALL SELECT 10000000 + ord, {SQL_MEDIA} FROM {X.MEDIA.sql} WHERE score >= 6 AND src <> '')
+SELECT ord, url FROM (SELECT ord, url, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*', '') ORDER BY ord) AS rn FROM m) WHERE rn = 1""")
 def media_dedup(spark, d):
-    media = X.MEDIA.frame(spark).where("score >= 6 and src <> ''").select("ord", U.absolute_media("src", "base").alias("url"))
-    return sets.media_once(media).select("ord", "url")
+    found = page_links(spark, d).where("link is not null").select((F.col("page_id") * 1000 + F.col("ord")).alias("ord"), F.when(F.col("ord") % 2 == 0, F.concat("link", F.lit("?w="), "ord")).otherwise(F.col("link")).alias("url"))
+    media = X.MEDIA.frame(spark).where("score >= 6 and src <> ''").select((F.lit(10_000_000).cast("long") + F.col("ord")).alias("ord"), U.absolute_media("src", "base").alias("url"))
+    return sets.media_once(found.unionByName(media)).select("ord", "url")
 
 
-@query()
+@query(f"""SELECT string_agg('[![m' || ord || '](https://thumbs.example/t?size=300&url=' || replace(url_encode(url), '%2F', '/') || ')](' || url || ')', chr(10) ORDER BY ord) AS markdown
+FROM (SELECT ord, {SQL_MEDIA} AS url FROM {X.MEDIA.sql} WHERE score >= 6 AND src <> '' ORDER BY ord LIMIT 5)""")
 def media_markdown(spark, d):
     media = X.MEDIA.frame(spark).where("score >= 6 and src <> ''").select("ord", F.concat(F.lit("m"), F.col("ord")).alias("title"), U.absolute_media("src", "base").alias("url"))
     return rank.media_markdown(media, "https://thumbs.example/t", 300)
@@ -440,9 +475,16 @@ def refill_minimum(spark, d):
     return filters.refill(decided(spark, d), "doc_id", 500).select("doc_id", "refilled")
 
 
-@query("SELECT * FROM (VALUES (0, 'true,false,true'), (1, 'true,true,false'), (2, 'true,false,false'), (3, 'true,true,true'), (4, 'true,true'), (5, 'true,true'), (6, 'true,true'), (7, 'false,false')) AS t(id, flags)")
+@query("""WITH b AS (SELECT doc_id // 50 AS batch, string_agg(CASE WHEN quality = 1 THEN 'true' ELSE 'false' END, ',' ORDER BY doc_id) AS flags, count(*) AS n FROM labels GROUP BY 1)
+SELECT batch, CASE WHEN batch % 5 IN (3, 4) THEN array_to_string(list_transform(range(n), lambda i: 'true'), ',') ELSE flags END AS flags FROM b""")
 def json_array_repair(spark, d):
-    return X.REPLIES.frame(spark).select("id", F.array_join(F.transform(J.parse_flags("response", F.col("n")), lambda b: b.cast("string")), ",").alias("flags"))
+    """Replies to batches of labels: plain, in prose, without the closing bracket, one flag short, without any."""
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.when(F.col("quality") == 1, "true").otherwise("false").alias("flag"))))
+    told = table(spark, d, "labels").groupBy(F.floor(F.col("doc_id") / 50).alias("batch")).agg(rows.alias("r")).withColumn("flags", F.array_join(F.col("r.flag"), ", "))
+    kind = F.col("batch") % 5
+    reply = F.when(kind == 1, F.concat(F.lit("Here you are:\n```json\n["), "flags", F.lit("]\n```\nDone."))).when(kind == 2, F.concat(F.lit("["), "flags", F.lit(", "))).when(kind == 3, F.concat(F.lit("["), "flags", F.lit(", true]")))
+    reply = reply.when(kind == 4, F.lit("no idea")).otherwise(F.concat(F.lit("["), "flags", F.lit("]")))
+    return told.select("batch", F.array_join(F.transform(J.parse_flags(reply, F.size("r")), lambda b: b.cast("string")), ",").alias("flags"))
 
 
 @query()
@@ -450,16 +492,28 @@ def normalize_content(spark, d):
     return J.normalise_content(X.CONTENT.frame(spark), "content", "id")
 
 
-@query("SELECT * FROM (VALUES (0, 'q|a|b'), (1, 'x|X y')) AS t(id, queries)")
+def worded(spark, d):
+    """Items of the benchmark with their words, and a reply that proposes words 3 to 9, the first word in capitals first and one twice, and warns of two."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", words.alias("w")).where("size(w) >= 9")
+    found = F.concat(F.array(F.upper(F.get("w", 0)), F.get("w", 2)), F.slice("w", 3, 7))
+    reply = F.concat(F.lit("Sure:\n```json\n"), F.to_json(found), F.lit("\n```\n// Homonyms to avoid: "), F.get("w", 0), F.lit("; N/A, "), F.get("w", 1), F.lit(" , none"))
+    return items.select("item_id", F.get("w", 0).alias("q"), reply.alias("reply"))
+
+
+SQL_ITEM_WORDS = "SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark WHERE text IS NOT NULL"
+
+
+@query(f"""WITH i AS (SELECT item_id, w[1] AS q, list_concat([w[1], w[3]], list_filter([w[3], w[4], w[5]], lambda x: lower(x) <> lower(w[1]))) AS a, w FROM ({SQL_ITEM_WORDS}) WHERE len(w) >= 9),
+x AS (SELECT item_id, a, unnest(range(1, len(a) + 1)) AS k FROM (SELECT item_id, CASE WHEN lower(w[3]) = lower(w[1]) THEN list_concat([w[1]], list_filter([w[3], w[4], w[5]], lambda x: lower(x) <> lower(w[1]))) ELSE a END AS a FROM i))
+SELECT item_id, string_agg(word, '|' ORDER BY k) AS queries FROM (SELECT item_id, a[k] AS word, min(k) AS k FROM x GROUP BY 1, 2) GROUP BY 1""")
 def expansion_merge(spark, d):
-    rows = spark.createDataFrame([(0, "q", '```json\n["a", "Q", "b", "a"]\n```'), (1, "x", 'Sure: ["X y", "x"]')], "id int, q string, reply string")
-    return rows.select("id", F.array_join(J.expansions("q", J.parse_strings("reply")), "|").alias("queries"))
+    return worded(spark, d).select("item_id", F.array_join(J.expansions("q", J.parse_strings("reply")), "|").alias("queries"))
 
 
-@query("SELECT * FROM (VALUES (0, 'jaguar car|python snake'), (1, '')) AS t(id, homonyms)")
+@query(f"SELECT item_id, array_to_string(list_filter([w[1], w[2]], lambda x: lower(x) NOT IN ('none', 'ninguno')), '|') AS homonyms FROM ({SQL_ITEM_WORDS}) WHERE len(w) >= 9")
 def homonym_comment(spark, d):
-    rows = spark.createDataFrame([(0, '["a"]\n// Homonyms to avoid: jaguar car; python snake, n/a'), (1, "// Homonyms to avoid: none")], "id int, reply string")
-    return rows.select("id", F.array_join(J.homonyms("reply"), "|").alias("homonyms"))
+    return worded(spark, d).select("item_id", F.array_join(J.homonyms("reply"), "|").alias("homonyms"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -478,14 +532,20 @@ def conv_tier(spark, d):
     return conversation.tiers(table(spark, d, "conversations")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "tier")
 
 
-@query()
+@query(rf"""WITH t AS (SELECT *, CASE WHEN pos IS NULL THEN NULL WHEN last - pos <= 0 THEN 'current' WHEN last - pos <= 4 THEN 'recent' ELSE 'old' END AS tier FROM ({SQL_TIERS})),
+o AS (SELECT *, tier IN ('recent', 'old') AND coalesce(text, '') <> '' AND length(text) // 4 >= 300 AND NOT {any_in("replace(replace(text, '▶️', '▶'), '►', '▶')", T.PROTOCOL_MARKERS)}
+ AND NOT (contains(lower(text), 'traceback (most recent call last)') OR contains(lower(text), 'traceback:') OR (contains(lower(text), 'exception') AND contains(lower(text), 'file "')) OR regexp_matches(lower(text), 'file ".+", line \d+')) AS able FROM t),
+w AS (SELECT conv_id, turn, a, unnest(range(1, len(a) + 1)) AS i, CASE tier WHEN 'recent' THEN 0.75::DOUBLE ELSE 0.4::DOUBLE END AS rate FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM o WHERE able)),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(a[i]) DESC, i) AS r FROM w),
+c AS (SELECT conv_id, turn, string_agg(a[i], ' ' ORDER BY i) AS short FROM k WHERE r <= ceil(len(a) * rate) GROUP BY 1, 2)
+SELECT o.conv_id, o.turn, tier, CASE WHEN able THEN short ELSE text END AS compressed FROM o LEFT JOIN c USING (conv_id, turn)""")
 def compress(spark, d):
     return conversation.compress(table(spark, d, "conversations")).select("conv_id", "turn", "tier", "compressed")
 
 
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {any_in('lower(text)', e[4])} THEN {quoted(e[0])}" for e in routing.KEYWORDS) + " END AS expert FROM conversations")
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {any_in('lower(text)', e['keywords'])} THEN {quoted(e['id'])}" for e in EXPERTS) + " END AS expert FROM conversations")
 def router_keyword(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", routing.by_keyword("text").alias("expert"))
+    return routing.keyword_expert(table(spark, d, "conversations"), experts(spark)).select("conv_id", "turn", "expert")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, trim(lower(text)) AS base, string_agg(CASE WHEN role IN ('user', 'assistant') THEN role || ':' || substring(text, 1, 80) END, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS ctx FROM conversations)
@@ -500,7 +560,16 @@ def routed(spark, d):
     return turns.withColumn("new_expert", F.when(bucket < 2, "experto-en-neovim").when(bucket == 2, "experto-en-arch-linux").otherwise(routing.DEFAULT))
 
 
-@query()
+def sql_sticky(routed: str) -> str:
+    """SQL: common table expressions up to k (conv_id, turn, expert) of turns with new_expert."""
+    words = SQL_WORDS.format("coalesce({0}, '')")
+    return f"""n AS ({routed}), h AS (SELECT *, string_agg(CASE WHEN role = 'user' THEN text END, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS said FROM n),
+s AS (SELECT conv_id, turn, new_expert, len(list_intersect({words.format('text')}, {words.format('said')})) AS shared, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM h WHERE role = 'user'),
+k AS (SELECT conv_id, turn, i, new_expert AS expert FROM s WHERE i = 1 UNION ALL SELECT s.conv_id, s.turn, s.i, CASE WHEN s.new_expert <> k.expert AND s.shared < 2 THEN s.new_expert ELSE k.expert END FROM k JOIN s ON s.conv_id = k.conv_id AND s.i = k.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {sql_sticky("SELECT conv_id, turn, role, text, CASE WHEN length(text) % 4 < 2 THEN 'experto-en-neovim' WHEN length(text) % 4 = 2 THEN 'experto-en-arch-linux' ELSE 'generalista' END AS new_expert FROM conversations")}
+SELECT conv_id, turn, expert FROM k""")
 def sticky_switch(spark, d):
     return routing.sticky(routed(spark, d))
 
@@ -514,7 +583,7 @@ def classify_cascade(spark, d):
     return turns.select("conv_id", "turn", routing.classify(cached, F.lit("progrmador"), model, semantic, none).alias("expert"))
 
 
-GUIDE = "You have access to the knowledge base ''neovim_docs'' (the official Neovim documentation and community plugins). Use this knowledge base when relevant, but you may also use other available tools. Answer in the same language as the user."
+GUIDE = f"{routing.GUIDANCE[0]}neovim_docs{routing.GUIDANCE[1]}the official Neovim documentation and community plugins{routing.GUIDANCE[3]}".replace("'", "''")
 
 
 @query(f"""WITH f AS (SELECT *, min(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS first FROM conversations)
@@ -522,8 +591,7 @@ SELECT conv_id, turn, role, CASE WHEN turn = first AND conv_id % 2 = 0 THEN text
 UNION ALL SELECT DISTINCT conv_id, CAST(-1 AS BIGINT), 'system', '{GUIDE}' FROM f WHERE first IS NULL AND conv_id % 2 = 0""")
 def rag_inject(spark, d):
     turns = table(spark, d, "conversations").withColumn("expert_id", F.when(F.col("conv_id") % 2 == 0, "experto-en-neovim").otherwise("progrmador"))
-    experts = spark.createDataFrame([(e[0], e[2], e[3]) for e in routing.KEYWORDS], "id string, collection_name string, knowledge_base string")
-    return routing.inject_guidance(turns, experts).select("conv_id", "turn", "role", "text")
+    return routing.inject_guidance(turns, experts(spark)).select("conv_id", "turn", "role", "text")
 
 
 # Frontiers
@@ -554,10 +622,17 @@ def frontier_bfs_deep(spark, d):
     return frontier.bfs_deep(spark, X.EDGES.frame(spark), STARTS, "spark", crawl_tokens(spark), max_tokens=2500)
 
 
-@query(f"SELECT src AS source, dst AS url, 1 AS score FROM {X.EDGES.sql} WHERE contains(lower(dst), 'spark') AND src IN ('https://a.com/', 'https://a.com/about') AND starts_with(dst, 'https://a.com')")
+#: Letters that the paths of the test pages hold, so that scores differ.
+LINK_WORDS = "a e th on"
+
+
+@query(rf"""WITH e AS (SELECT url AS src, link AS dst, min(page_id * 1000 + ord) AS ord FROM ({SQL_LINKS}) WHERE link IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord) AS n FROM e),
+s AS (SELECT *, CAST(len(list_filter({listed(LINK_WORDS.split())}, lambda w: contains(lower(dst), w))) AS INTEGER) AS score FROM n WHERE n <= 15),
+h AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, ord) AS r FROM s WHERE score > 0 AND lower(regexp_extract(src, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) = lower(regexp_extract(dst, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)))
+SELECT src AS source, dst AS url, score FROM h WHERE r <= 3""")
 def research_two_level(spark, d):
-    starts = spark.createDataFrame([("https://a.com/",), ("https://a.com/about",)], "url string")
-    return frontier.two_levels(X.EDGES.frame(spark), starts, "spark")
+    links = page_links(spark, d).where("link is not null").groupBy(F.col("url").alias("src"), F.col("link").alias("dst")).agg(F.min(F.col("page_id") * 1000 + F.col("ord")).alias("ord"))
+    return frontier.two_levels(links, table(spark, d, "pages").select("url").distinct(), LINK_WORDS)
 
 
 # Streams
@@ -565,29 +640,45 @@ def research_two_level(spark, d):
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
-    return stateful.drain(stateful.tumbling(stateful.read_table(spark, d, "events")), "complete", "stream_tumbling")
+    return stateful.drain(stateful.tumbling(stateful.read_table(spark, d, "events")), "complete")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, d):
-    return stateful.drain(stateful.sessions(stateful.read_table(spark, d, "events")), "complete", "stream_session")
+    return stateful.drain(stateful.sessions(stateful.read_table(spark, d, "events")), "complete")
 
 
 @query("SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, d):
-    return stateful.drain(stateful.seen_once(stateful.read_table(spark, d, "events"), ["event_id"]).select("event_id"), "append", "stream_dedup")
+    return stateful.drain(stateful.seen_once(stateful.read_table(spark, d, "events"), ["event_id"]).select("event_id"), "append")
 
 
-@query("SELECT * FROM (VALUES (1, 'Hello', 'stop', 2), (2, 'hmm', NULL, NULL), (3, 'ab', 'length', NULL)) AS t(request_id, text, finish_reason, completion_tokens)")
+@query("""SELECT conv_id * 100 + turn AS request_id, coalesce(text, '') AS text, CASE WHEN (conv_id + turn) % 3 = 2 THEN NULL ELSE 'stop' END AS finish_reason, CASE WHEN (conv_id + turn) % 3 = 0 THEN CAST(length(coalesce(text, '')) AS INTEGER) END AS completion_tokens FROM conversations""")
 def token_assembly(spark, d):
-    return stateful.assemble(X.LINES.frame(spark))
+    """Turns as streams of lines and put together again: server-sent events, JSON lines, reasoning only; with junk and late lines."""
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"))
+    piece = lambda i: F.substring(F.col("text"), i * 40 + 1, F.lit(40))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int")), piece)
+    name = lambda x, field: F.to_json(F.struct(x.alias(field)))
+    line = lambda x: F.when(F.col("kind") == 1, F.concat(F.lit('{"message":'), name(x, "content"), F.lit(',"done":false}'))).otherwise(F.concat(F.lit('data: {"choices":[{"delta":'), F.when(F.col("kind") == 0, name(x, "content")).otherwise(name(x, "reasoning_content")), F.lit("}]}")))
+    late = F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')
+    ends = F.when(F.col("kind") == 0, F.array(F.lit("junk"), F.lit('data: {"choices":[{"delta":{},"finish_reason":"stop"}]}'), F.concat(F.lit('data: {"choices":[],"usage":{"prompt_tokens":3,"completion_tokens":'), F.length("text").cast("string"), F.lit("}}")), F.lit("data: [DONE]"), late))
+    ends = ends.when(F.col("kind") == 1, F.array(F.lit('{"message":{"content":""},"done":true,"done_reason":"stop"}'), late)).otherwise(F.array(F.lit(": a comment"), F.lit("data: [DONE]"), late))
+    return stateful.assemble(turns.select("request_id", F.posexplode(F.concat(F.transform(pieces, line), ends)).alias("ord", "line")))
 
 
 # The flagship
 
 
-@query()
+@query(rf"""WITH RECURSIVE g AS (SELECT page_id, url, html FROM pages WHERE NOT {SQL_EXCLUDED} AND {SQL_CRAWLABLE} AND {SQL_HTML} AND (contains(lower({SQL_NETLOC}), 'wikipedia.org') OR regexp_matches(lower(substring(html, 1, 10240)), '<html|<!doctype|<\?xml'))),
+{sql_chunks(f"SELECT page_id, {SQL_WHOLE} AS text FROM g", "page_id")},
+x AS (SELECT page_id, chunk_index, chunk, CAST(len(list_filter({listed(QUERY.split())}, lambda w: contains(lower(chunk), w))) AS INTEGER) AS score FROM ch WHERE NOT ({any_in('lower(chunk)', T.NOISE_KEYWORDS)} AND NOT {any_in('lower(chunk)', ['reation', 'thention'])})),
+b AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM x), p AS (SELECT page_id, sum(score) AS s FROM b WHERE rank <= 3 GROUP BY 1),
+o AS (SELECT page_id, CAST(row_number() OVER (ORDER BY s DESC, page_id) AS INTEGER) AS place FROM p), f AS (SELECT page_id, place, CAST(floor(4000 / greatest(1.0, pow(place, 0.7))) AS INTEGER) AS budget FROM o WHERE place <= 20)
+SELECT page_id, url, {SQL_TITLE} AS title, chunk_index, rank, score, place, budget, CASE WHEN length(chunk) // 4 > 256 THEN substring(chunk, 1, 1024) || {quoted(T.TRUNCATED)} ELSE chunk END AS chunk
+FROM b JOIN f USING (page_id) JOIN g USING (page_id) WHERE rank <= 3 AND budget >= 700""")
 def entry_retrieval(spark, d):
     """Pages worth reading, chunked, without furniture, the best three chunks of each within a decaying token budget."""
     pages = filters.validate_urls(table(spark, d, "pages")).where("reject_stage is null")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skeinflow.functions.text import language_of, truncate_bytes
 from skeinflow.functions.url import filename
+from skeinflow.sources.expert_config import as_json
 
 #: Bytes of a raw file that are kept.
 RAW_BYTES = 100_000
+#: Bytes of recorded answers that a task reads.
+STRETCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class SearchSource(DataSource):
-    """Recorded answers of search engines as a batch source: options path (JSON lines) and limit.
+    """Recorded answers of search engines as a batch source: options path (JSON lines: a file, or a folder of *.jsonl) and limit.
 
     A line is {"query", "engine", "results": [{url or link, title, content, snippet or description}]}.
+    The driver lists the files, and each is read in stretches of ``STRETCH`` bytes by tasks of
+    their own, so the path must be one that executors can open; ``search_results`` reads
+    the same answers through Spark's readers from any store.
     """
 
     @classmethod
@@ -41,19 +49,30 @@ class SearchSource(DataSource):
         return _SearchReader(self.options["path"], int(self.options.get("limit", 10)))
 
 
+class _Stretch(InputPartition):
+    def __init__(self, path: str, begin: int, end: int) -> None:
+        self.path, self.begin, self.end = path, begin, end
+
+
 class _SearchReader(DataSourceReader):
     def __init__(self, path: str, limit: int) -> None:
-        self.path, self.limit = path, limit
+        self.path, self.limit = Path(path), limit
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        files = sorted(self.path.glob("*.jsonl")) if self.path.is_dir() else [self.path]
+        return [_Stretch(str(f), b, b + STRETCH) for f in files for b in range(0, max(1, f.stat().st_size), STRETCH)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as lines:
-            for line in lines:
-                answer = json.loads(line)
-                for rank, r in enumerate(answer.get("results", [])[: self.limit]):
-                    yield answer.get("query"), answer.get("engine"), rank, r.get("url") or r.get("link"), r.get("title"), r.get("content") or r.get("snippet") or r.get("description")
+        """The lines that begin within the stretch."""
+        with open(partition.path, "rb") as lines:
+            if partition.begin:
+                lines.seek(partition.begin - 1)
+                lines.readline()
+            while lines.tell() < partition.end and (line := lines.readline()):
+                if line.strip():
+                    answer = json.loads(line)
+                    for rank, r in enumerate((answer.get("results") or [])[: self.limit]):
+                        yield answer.get("query"), answer.get("engine"), rank, r.get("url") or r.get("link"), r.get("title"), r.get("content") or r.get("snippet") or r.get("description")
 
 
 def search_results(answers: DataFrame, limit: int = 10) -> DataFrame:
@@ -67,20 +86,48 @@ def search_results(answers: DataFrame, limit: int = 10) -> DataFrame:
 
 def raw_files(spark: SparkSession, path: str, size: int = RAW_BYTES) -> DataFrame:
     """Files as content items: topic is the file's name, summary its fenced text."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    named = files.select(F.col("path").alias("source"), filename("path").alias("topic"), truncate_bytes(text, size).alias("text"))
-    return named.select("source", "topic", F.concat(F.lit("```"), language_of("topic"), F.lit("\n"), F.col("text"), F.lit("\n```")).alias("summary"))
+    return raw_items(spark.read.format("binaryFile").load(path), size).select(F.col("path").alias("source"), "topic", "summary")
+
 
+def raw_items(files: DataFrame, size: int = RAW_BYTES) -> DataFrame:
+    """``files`` (path, content) with topic, the file's name, and summary, its text in a fence, cut to ``size`` bytes."""
+    text = truncate_bytes(F.make_valid_utf8(F.col("content").cast("string")), size)
+    named = files.withColumn("topic", filename("path"))
+    return named.withColumn("summary", F.concat(F.lit("```"), language_of("topic"), F.lit("\n"), text, F.lit("\n```")))
 
-def experts(spark: SparkSession, config: str) -> DataFrame:
-    """Experts (ord, id, name, keywords, examples, knowledge_base, collection_name); entries without id, name or keywords are left out."""
+
+def experts(spark: SparkSession, config: str | None = None) -> DataFrame:
+    """Experts (ord, id, name, keywords, examples, knowledge_base, collection_name) of a JSON text; entries without id, name or keywords are left out."""
+    config = as_json() if config is None else config
     kind = "array<struct<id:string,name:string,keywords:array<string>,description:string,examples:array<string>,knowledge_base:string,collection_name:string>>"
     one = spark.createDataFrame([(config,)], "config string")
     rows = one.select(F.posexplode(F.from_json("config", kind)).alias("ord", "x")).select("ord", "x.*")
     return rows.where("id is not null and name is not null and keywords is not null")
 
 
+class ExpertConfig:
+    """Experts from a text that may change: read again when its hash changes, kept as they were when the new text can't be used."""
+
+    def __init__(self, spark: SparkSession, config: str | None = None) -> None:
+        self.spark, self.hash, self.rows = spark, None, None
+        self.load(as_json() if config is None else config)
+
+    def load(self, config: str) -> bool:
+        """Did the experts change."""
+        new = hashlib.md5(config.encode()).hexdigest()
+        if new == self.hash:
+            return False
+        try:
+            entries = json.loads(config)
+            usable = isinstance(entries, list) and any(isinstance(e, dict) and e.get("id") and e.get("name") and e.get("keywords") for e in entries)
+        except ValueError:
+            usable = False
+        if not usable and self.rows is not None:
+            return False
+        self.hash, self.rows = new, experts(self.spark, config)
+        return True
+
+
 def map_scored(df: DataFrame, score, prompt: str, out: str = "response", batch: int = 10) -> DataFrame:
     """A column of answers by a scorer: a function of a list of prompts, called on an executor for ``batch`` prompts at a time.
 

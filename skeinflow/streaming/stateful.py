@@ -21,15 +21,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
-def drain(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what there is, and give the result as a table."""
-    spark = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+def drain(df: DataFrame, mode: str, timeout: float | None = None) -> DataFrame:
+    """Run a stream over what there is, and give the result as a table, written batch by batch into the shared folder.
+
+    A batch that is tried again overwrites what it wrote. In complete mode the last batch is the result.
+    With ``timeout`` (seconds), a stream that takes longer is stopped and TimeoutError raised.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    written: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        written.append(batch)
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     try:
-        query.awaitTermination()
+        if query.awaitTermination(timeout) is False:
+            raise TimeoutError(f"the stream took more than {timeout} s")
     finally:
         query.stop()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(f"{path}/batch={b}" for b in (written[-1:] if mode == "complete" else sorted(set(written)))))
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

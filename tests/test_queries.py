@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from skeinflow.plans import catalog
+from skeinflow.plans import lifecycle as _lifecycle  # noqa: F401  registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
