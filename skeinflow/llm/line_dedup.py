@@ -50,6 +50,16 @@ def _words(spaced: F.Column) -> F.Column:
     return F.split(spaced, " ")
 
 
+def _worded(lines: DataFrame) -> DataFrame:
+    """``lines`` with words, n_words: split at single spaces where a line has no other separators, and no two together, as almost all.
+
+    As columns, not in a lambda, so that all of it is compiled.
+    """
+    plain = lines.withColumn("plain", _words(F.col("norm")))
+    odd = F.array_contains("plain", F.lit("")) | F.col("norm").rlike(r"[\x09-\x0D]")
+    return plain.withColumn("words", F.when(odd, _words(_spaced(F.col("norm")))).otherwise(F.col("plain"))).drop("plain").withColumn("n_words", F.size("words"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, line, norm) of every line that has a word; line: the first of its two hashes."""
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
@@ -62,18 +72,12 @@ def _check() -> F.Column:
     return F.xxhash64(F.octet_length("norm"), "norm").alias("check")
 
 
-def half_keys(words: F.Column, edit_words: int) -> F.Column:
-    """Of a line of n words: hashes of the first and of the last m words, m being the halves of n and n - 1; null for shorter lines."""
-
-    def keys(w):
-        n = F.size(w)
-        first = lambda m: F.xxhash64(F.lit(1), F.slice(w, F.lit(1), m))
-        last = lambda m: F.xxhash64(F.lit(2), F.slice(w, n - m + 1, m))
-        half, less = F.shiftright(n, 1), F.shiftright(n - 1, 1)
-        both = F.array(first(half), last(half))
-        return F.when(n >= edit_words, F.when(half == less, both).otherwise(F.concat(both, F.array(first(less), last(less)))))
-
-    return let(words, keys)
+def half_keys(w: F.Column, n: F.Column) -> F.Column:
+    """Of n words: hashes of the first and of the last m, m being the halves of n and n - 1."""
+    first = lambda m: F.xxhash64(F.lit(1), F.slice(w, F.lit(1), m))
+    last = lambda m: F.xxhash64(F.lit(2), F.slice(w, n - m + 1, m))
+    half, less = F.shiftright(n, 1), F.shiftright(n - 1, 1)
+    return F.when(half == less, F.array(first(half), last(half))).otherwise(F.array(first(half), last(half), first(less), last(less)))
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
@@ -113,9 +117,9 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of each document's lines that go, ascending."""
     lines = _lines(docs)
     place = F.struct("doc_id", "text_hash", "pos").alias("place")
-    keys = half_keys(_words(_spaced(F.col("norm"))), edit_words).alias("keys")
+    keys = F.when(F.col("n_words") >= edit_words, half_keys(F.col("words"), F.col("n_words"))).alias("keys")
     both = ["line", "check"]
-    occurrences = materialise(lines.select(place, "line", _check(), keys))
+    occurrences = materialise(_worded(lines).select(place, "line", _check(), keys))
     distinct = materialise(occurrences.groupBy(*both).agg(F.min("place").alias("first"), F.count("*").alias("n")))
     # a half that two different lines share; one hash is enough where lines are only sorted out
     halves = occurrences.where("keys is not null").select("line", F.explode("keys").alias("key"))
