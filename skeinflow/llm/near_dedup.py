@@ -9,15 +9,20 @@ longer lower a slot (early stopping). Signatures are banded. In each bucket only
 are tried: a class against the smallest class of a bucket, verified on full shingle
 sets. Union-find first contracts links within partitions, then star contraction joins
 the forests. What stars can't settle are buckets whose members still lie in different
-components. Families of classes that such buckets connect are cut into small blocks; a
-task takes two blocks, compares the signatures of classes of different components, and
-verifies the likely ones until union-find has joined them, so no link between
-components is lost, no pair leaves a task but a verified link, and a large family is
-many tasks.
-
-With 32 bands of 4 slots a pair at the threshold of 0.75 shares no bucket with
-probability (1 - 0.75^4)^32, about 5e-6; links are confirmed on full sets, so none is
-wrong.
+components. These are settled bucket by bucket, on signatures alone: a bucket is dealt into
+small blocks, and a task takes two blocks and looks at pairs of classes of different
+components, each pair only in the first bucket that both share. Of the pairs whose share of
+equal slots makes a link likely it sends not all, but ``2^round`` forests of the best ones;
+their texts are fetched and verified, components are joined, and the next round goes on with
+the pairs that were not sent and still lie in different components, until there are none. So
+no pair that is likely is left out, a large bucket is many tasks, and pairs of joined classes
+are never looked at.
+
+What can be missed: with 32 bands of 4 slots a pair at the threshold of 0.75 shares no
+bucket with probability (1 - 0.75^4)^32, about 5e-6, and falls below the share ``LIKELY``
+with about 1e-7; a pair of higher similarity less often. Links are confirmed on full sets of
+64-bit hashes of shingles, where two different shingles of two compared sets of n coincide
+with probability n^2 / 2^64; classes are told apart by 128 bits and their size.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts of
 fewer than five words are one shingle; rows that repeat a doc_id are each judged by
@@ -43,8 +48,8 @@ SHINGLE = 5
 NUMERATOR = 75
 SLOTS = 128
 BAND = 4
-#: Classes of a block, two of which a task compares.
-BLOCK = 128
+#: Classes of a block of a bucket, two of which a task compares.
+BLOCK = 512
 #: Share of equal slots from which two classes are verified: at a similarity of 0.75 the
 #: share is lower with a probability of about 1e-7.
 LIKELY = 0.55
@@ -139,40 +144,67 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=_TESTED.names)
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """The links that join components, among the classes of two blocks (columns node, label, text, first, second)."""
-    nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
-    side = table.column("side").to_numpy()
-    texts = table.column("text").combine_chunks()
-    texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else texts.chunk(0).cast(pa.large_string())
-    sets = [s for w in _words.scan(texts, _words.SPACED, lower=True) for s in _words.distinct_shingles(w, SHINGLE)]
-    signatures = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)).view(np.uint64).astype(np.uint32)
-    known = np.unique(labels, return_inverse=True)[1]
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    likely = []
-    for i in left:
-        own = right[known[right] != known[i]]
-        if right is left:
-            own = own[own > i]
-        equal = (signatures[own] == signatures[i]).mean(axis=1)
-        keep = equal >= LIKELY
-        likely += zip((-equal[keep]).tolist(), [int(i)] * int(keep.sum()), own[keep].tolist(), strict=True)
-    parent = list(range(len(known)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for _, i, j in sorted(likely):
-        a, b = root(known[i]), root(known[j])
-        if a != b and _similar(sets[i], sets[j]):
-            parent[max(a, b)] = min(a, b)
-            links.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
-    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64()), pa.array([True] * len(links), pa.bool_())], names=_TESTED.names)
+_LOOKED = T.StructType([T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())])
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, signature): 32 bits of each slot, of (node, text)."""
+    for batch in batches:
+        for words in _words.scan(batch.column(1), _words.SPACED, lower=True):
+            sets = _words.distinct_shingles(words, SHINGLE)
+            own = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)).view(np.uint64).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(sets)), pa.array([x.tobytes() for x in own], pa.binary())], names=_LOOKED.names)
+
+
+_SENT = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "key", "first", "second")] + [T.StructField("more", T.BooleanType())])
+
+
+def _candidates(forests: int):
+    """Of two blocks of a bucket: the pairs of ``forests`` forests of likely links between components that were not sent before; more: is there any other."""
+
+    def run(members: pa.Table, before: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        nodes = members.column("node").to_numpy()
+        labels = np.unique(members.column("label").to_numpy(), return_inverse=True)[1]
+        if len(nodes) and labels.max() > 0:
+            key, first, second, band = (members.column(c)[0].as_py() for c in ("key", "first", "second", "band"))
+            signatures = np.frombuffer(b"".join(members.column("signature").to_pylist()), np.uint32).reshape(len(nodes), -1)
+            side = members.column("side").to_numpy()
+            sent = {frozenset(x) for x in zip(before.column("a").to_pylist(), before.column("b").to_pylist(), strict=True)}
+            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if first != second else (np.arange(len(nodes)),) * 2
+            likely = []
+            for i in left:
+                own = right[labels[right] != labels[i]]
+                if first == second:
+                    own = own[own > i]
+                equal = signatures[own] == signatures[i]
+                share = equal.mean(axis=1)
+                keep = share >= LIKELY
+                if band:  # only in the first bucket that both share
+                    keep &= ~equal[:, : band * BAND].reshape(len(own), band, BAND).all(axis=2).any(axis=1)
+                likely += [(-x, int(nodes[i]), int(nodes[j]), int(labels[i]), int(labels[j])) for x, j in zip(share[keep].tolist(), own[keep].tolist(), strict=True) if not sent or frozenset((int(nodes[i]), int(nodes[j]))) not in sent]
+            parents = [list(range(int(labels.max()) + 1)) for _ in range(forests)]
+            more = False
+            for _, a, b, la, lb in sorted(likely):
+                for parent in parents:
+                    x, y = _root(parent, la), _root(parent, lb)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((max(a, b), min(a, b), key, first, second))
+                        break
+                else:
+                    more = True
+            out = [(*x, more) for x in out]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.int64()] * 5 + [pa.bool_()], strict=True)], names=_SENT.names)
+
+    return run
+
+
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -226,8 +258,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (key, node) with the component that the links give."""
-    return members.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    """members (key, band, node) with the component that the links give."""
+    return members.join(components(links), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("label"))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -243,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     able = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(able.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")))
     nodes = able.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    buckets = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
+    buckets = nodes.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("node"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
     members = materialise(buckets.join(shared.select("key", "centre"), "key").distinct())
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
@@ -256,30 +288,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return materialise(joined.mapInArrow(_verify, _TESTED))
 
-    def settle(still: DataFrame) -> DataFrame:
-        """All links between the components that meet in open buckets."""
-        centres = still.groupBy("key").agg(F.min("node").alias("b"))
-        edges = still.join(centres, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        family = components(edges).withColumnRenamed("component", "family")
-        sized = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "family")
-        sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        open_ = still.select("node", "label").distinct().join(sized, "node").join(sources.withColumnRenamed("doc_id", "node"), "node")
-        own = F.col("block")
-        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("node", "label", "text", "family", F.least(own, "other").alias("first"), F.greatest(own, "other").alias("second"), (own > F.col("other")).cast("int").alias("side"))
-        return dealt.groupBy("family", "first", "second").applyInArrow(_settle, _TESTED)
+    def settle(still: DataFrame, links: DataFrame) -> DataFrame:
+        """All links between the components that meet in open buckets; ``links`` is what is known."""
+        sizes = still.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        placed = still.select("key", "band", "node").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("key", "band", "node", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        dealt = materialise(dealt)
+        looked = sources.join(still.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_slots, _LOOKED)
+        looked = materialise(looked)
+        found, sent, forests = links, None, 1
+        while True:
+            label = looked.select("node").join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+            open_ = dealt.join(looked.join(label, "node"), "node")
+            before = sent if sent is not None else open_.sparkSession.createDataFrame([], _SENT)
+            by = ["key", "first", "second"]
+            new = materialise(open_.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(_candidates(forests), _SENT))
+            if new.isEmpty():
+                return found
+            tested = test(new.select("a", "b").distinct()).where("linked")
+            found = materialise(found.select("a", "b").union(tested.select("a", "b")))
+            sent, forests = (new if sent is None else materialise(sent.union(new))), 2 * forests
+            if new.where("more").isEmpty():
+                return found
 
     first = members.where("node <> centre").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
     tested = test(first)
-    still = materialise(_open(_labelled(members.select("key", "node"), tested.where("linked"))))
+    still = materialise(_open(_labelled(members.select("key", "band", "node"), tested.where("linked"))))
     if not still.isEmpty():
         at = still.groupBy("key").agg(F.min(F.struct("node", "label")).alias("c"))
         pairs = still.join(at, "key").where("label <> c.label").select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b"))
         tested = tested.union(test(pairs.distinct().join(tested, ["a", "b"], "left_anti")))
-        still = materialise(_open(_labelled(still.select("key", "node"), tested.where("linked"))))
+        still = materialise(_open(_labelled(still.select("key", "band", "node"), tested.where("linked"))))
+    links = tested.where("linked").select("a", "b")
     if not still.isEmpty():
-        tested = tested.union(materialise(settle(still)))
-    found = components(tested.where("linked"))
+        links = settle(still, links)
+    found = components(links)
     by_class = classes.join(found, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = able.join(by_class, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

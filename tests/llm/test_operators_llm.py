@@ -307,6 +307,37 @@ def test_near_duplicates(spark, rows):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [i for i, _, _, keep in got if keep]
 
 
+def test_near_duplicates_in_small_blocks(spark, rows, monkeypatch):
+    """Buckets of many blocks, and families whose links are hard to find: many likely pairs that are none."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rows = [*rows, *family(90, 1000, words(13, 60, 5000), 14), *family(60, 2000, words(14, 200, 5000), 16)]
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()) == brute_components(rows)
+
+
+def test_candidates_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**32, 128, dtype=np.uint32)
+    signatures = [base.copy() for _ in range(5)]
+    for k, s in enumerate(signatures):
+        s[4 + 10 * k : 14 + 10 * k] = r.integers(0, 2**32, 10)  # all alike in the first band, and to each other by 0.84
+    signatures.append(r.integers(0, 2**32, 128, dtype=np.uint32))
+    nodes, labels = [10, 11, 12, 13, 14, 15], [10, 11, 11, 13, 14, 15]
+
+    def table(band):
+        return pa.table({"key": pa.array([5] * 6), "band": pa.array([band] * 6, pa.int32()), "node": nodes, "first": [0] * 6, "second": [0] * 6, "side": pa.array([0] * 6, pa.int32()), "signature": [s.tobytes() for s in signatures], "label": labels})
+
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    first = near_dedup._candidates(1)(table(0), none).to_pylist()
+    assert len(first) == 3 and all(x["more"] for x in first) and all(15 not in (x["a"], x["b"]) for x in first)
+    sent = {(x["a"], x["b"]) for x in first}
+    rest = near_dedup._candidates(100)(table(0), pa.table({"a": [a for a, _ in sent], "b": [b for _, b in sent]})).to_pylist()
+    assert len(rest) == 9 - 3 and not {(x["a"], x["b"]) for x in rest} & sent and not any(x["more"] for x in rest)
+    assert near_dedup._candidates(100)(table(20), none).num_rows == 0  # they met in an earlier band
+
+
 def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     text = " ".join(words(1, 50))
