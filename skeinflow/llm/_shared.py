@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.base import let as let
+from skeinflow.sources.storage import mark as mark
 from skeinflow.sources.storage import materialise as materialise
+from skeinflow.sources.storage import sweep as sweep
 
 #: The word separators of the contracts: space and U+0009 to U+000D.
 SEPARATORS = " \\x09-\\x0D"
