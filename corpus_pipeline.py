@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the
 columns of documents; the last adds what the mix takes of each. Between stages the
-documents are written as Parquet into the shared folder and read again.
+documents are written as Parquet into the shared folder and read again; what a stage wrote
+on its way is deleted once the next stage's documents are there.
+
+Null and empty texts fail the quality rules. Rows that repeat a doc_id are judged by their
+own texts, but stay or go together in near-dedup. Empty tables give empty results, and
+further columns pass through every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm import decontamination, line_dedup, near_dedup, quality_rules, source_mixing
-from skeinflow.llm._shared import materialise, table
+from skeinflow.llm._shared import mark, materialise, sweep, table
 
 #: SQL can't express the quality score, the signatures or the seeded order at this size; tests use brute force.
 ORACLE_SQL = None
@@ -63,8 +68,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+            sweep(spark, since, keep_last=True)
     return docs
