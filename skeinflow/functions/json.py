@@ -45,7 +45,7 @@ def expansions(query: Column | str, found: Column, limit: int = 5) -> Column:
 
 
 #: The topics of items that are a text, or anything else without a topic.
-TEXT_TOPIC, OTHER_TOPIC = "Extracted information", "Content"
+TEXT_TOPIC, OTHER_TOPIC, BLOCK_TOPIC = "Extracted information", "Content", "Information"
 
 
 def _first(item: dict, *names: str, default: object) -> object:
@@ -72,8 +72,22 @@ def normalise_item(value: object) -> list[tuple[str, str, str | None]]:
     return [(TEXT_TOPIC if isinstance(value, str) else OTHER_TOPIC, str(value), None)]
 
 
-def normalise_content(df: DataFrame, content: str, *keys: str) -> DataFrame:
-    """``keys``, ord, topic, summary, source of every item in a column of JSON text; recursion needs Python."""
+def extracted_item(value: object) -> list[tuple[str, str, str | None]]:
+    """(topic, summary, source) of the crawler's extracted blocks: objects whose error is false, texts, and whatever a nested list holds; nothing where they are no list."""
+    told = lambda x: (str(_first(x, "topic", default=BLOCK_TOPIC)), str(_first(x, "summary", default=str(x))), None)
+    out = []
+    for x in value if isinstance(value, list) else []:
+        if isinstance(x, dict):
+            out += [told(x)] if x.get("error") is False else []
+        elif isinstance(x, str):
+            out.append((OTHER_TOPIC, x, None))
+        elif isinstance(x, list):
+            out += [told(y) if isinstance(y, dict) else (OTHER_TOPIC, str(y), None) for y in x]
+    return out
+
+
+def normalise_content(df: DataFrame, content: str, *keys: str, items=normalise_item) -> DataFrame:
+    """``keys``, ord, topic, summary, source of every item in a column of JSON text, by ``items`` (or ``extracted_item``); recursion needs Python."""
     own = df.select(*keys, content)
     schema = T.StructType([*own.select(*keys).schema.fields, T.StructField("ord", T.IntegerType()), T.StructField("topic", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("source", T.StringType())])
 
@@ -85,7 +99,7 @@ def normalise_content(df: DataFrame, content: str, *keys: str) -> DataFrame:
                     value = json.loads(text) if text else None
                 except ValueError:
                     value = text
-                for k, row in enumerate(normalise_item(value) if text else []):
+                for k, row in enumerate(items(value) if text else []):
                     out.append((k, *row))
                     rows.append(i)
             taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keys))]

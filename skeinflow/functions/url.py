@@ -162,9 +162,9 @@ def media_key(url: Column | str) -> Column:
 
 
 def unquote(text: Column | str) -> Column:
-    """Percent-decoded, plus signs kept; as it is where an escape is broken."""
-    text = col(text)
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Percent escapes decoded; plus signs and what is no escape stay."""
+    told = F.regexp_replace(F.replace(col(text), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(told), col(text))
 
 
 def filename(url: Column | str) -> Column:

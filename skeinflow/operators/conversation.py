@@ -47,3 +47,20 @@ def compress(turns: DataFrame, indexed_names: DataFrame | None = None, prose=T.c
 
     new = F.array_join(F.transform(T.segments("text"), part), "")
     return tiered.withColumn("compressed", F.when(F.coalesce(is_compressible(least), F.lit(False)), new).otherwise(F.col("text")))
+
+
+def compress_by_model(turns: DataFrame, scorer, indexed_names: DataFrame | None = None, least: int = LEAST_TOKENS) -> DataFrame:
+    """``compress`` with a compressor that is a scorer of texts "rate" newline "text" (``sources.tables.map_scored``); prose that it fails on stays as it is."""
+    from skeinflow.sources.tables import map_scored
+
+    native = compress(turns, indexed_names, prose=lambda text, rate: text, least=least)  # code stubbed, prose as it was
+    rate = F.when(F.col("tier") == "recent", RECENT).when(F.col("tier") == "old", OLD).otherwise(INDEXED)
+    able = F.coalesce(is_compressible(least), F.lit(False))
+    marked = native.withColumn("_able", able).withColumn("_rate", rate)
+    parts = marked.where("_able").select("conv_id", "turn", "_rate", F.posexplode(T.segments("compressed")).alias("_i", "_s"))
+    prose = parts.where((F.col("_s.kind") == "text") & (F.trim("_s.text", F.lit(" \t\r\n")) != "")).withColumn("_prompt", F.concat(F.col("_rate").cast("string"), F.lit("\n"), "_s.text"))
+    short = map_scored(prose.drop("_s"), scorer, "_prompt", "_short").select("conv_id", "turn", "_i", "_short")
+    fenced = F.concat(F.lit("```"), "_s.lang", F.lit("\n"), "_s.text", F.lit("\n```"))
+    text = F.when(F.col("_s.kind") == "code", fenced).otherwise(F.coalesce("_short", "_s.text"))
+    joined = parts.join(short, ["conv_id", "turn", "_i"], "left").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("_i", text.alias("t")))).alias("_parts"))
+    return marked.join(joined, ["conv_id", "turn"], "left").withColumn("compressed", F.when(F.col("_able"), F.array_join(F.col("_parts.t"), "")).otherwise(F.col("compressed"))).drop("_able", "_rate", "_parts")

@@ -45,6 +45,13 @@ def within_budget(df: DataFrame, order: list[str], tokens: str, limit: int) -> D
     return joined.where(F.col("used_before") < limit).drop("_slice", "_before", "_n")
 
 
+def batches_within_budget(df: DataFrame, batch: str, tokens: str, limit: int) -> DataFrame:
+    """Whole batches in order until their tokens reach the limit; the batch that crosses it stays. Batches are numbers, one row each when summed."""
+    sums = df.groupBy(F.col(batch).alias("_b")).agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("_t"))
+    placed = within_budget(sums, ["_b"], "_t", limit)
+    return df.join(placed.select(F.col("_b").alias(batch), "used_before"), batch)
+
+
 def user_first(df: DataFrame, is_user: str, order: str, limit: int) -> DataFrame:
     """At most ``limit`` rows (0: all), the user's before others."""
     ordered = df.orderBy(F.col(is_user).desc(), order)

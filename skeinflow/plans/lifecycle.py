@@ -12,7 +12,7 @@ from skeinflow.functions import text as T
 from skeinflow.functions import url as U
 from skeinflow.functions import vector as V
 from skeinflow.operators import cache as C
-from skeinflow.operators import filters, frontier, judging, lifecycle, rank, routing, sets
+from skeinflow.operators import conversation, filters, frontier, judging, lifecycle, rank, routing, sets
 from skeinflow.plans import fixtures as X
 from skeinflow.plans.catalog import GUIDE, QUERY, SQL_CRAWLABLE, SQL_EXCLUDED, SQL_HTML, SQL_LINKS, SQL_NETLOC, SQL_BODY, SQL_TITLE, SQL_UNION_URLS, SQL_WHOLE, all_urls, any_in, listed, page_links, query, sql_sticky
 from skeinflow.plans.fixtures import quoted
@@ -239,6 +239,48 @@ def content_by_key(spark, d):
     return lifecycle.by_url(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality")
 
 
+@query("""WITH t AS (SELECT doc_id, doc_id // 50 AS batch, length(text) // 4 AS tokens FROM documents), b AS (SELECT batch, sum(tokens) AS n FROM t GROUP BY 1), u AS (SELECT batch, CAST(coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used_before FROM b)
+SELECT doc_id, batch, used_before FROM t JOIN u USING (batch) WHERE used_before < 50000""")
+def budget_by_batch(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).alias("batch"), T.estimate_tokens("text").alias("tokens"))
+    return rank.batches_within_budget(docs, "batch", "tokens", 50_000).select("doc_id", "batch", "used_before")
+
+
+@query(r"SELECT url, url || '%zz 50% +é' AS text FROM pages")
+def unquoted(spark, d):
+    """Escapes of every byte of a URL but its slashes and pluses, and what is no escape, decoded again."""
+    hexed = F.regexp_replace(F.hex(F.col("url").cast("binary")), "(..)", "%$1")
+    return table(spark, d, "pages").select("url", U.unquote(F.concat(hexed, F.lit("%zz 50% +%C3%a9"))).alias("text"))
+
+
+# Conversations
+
+
+SQL_POSITIONS = """SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN sum(CASE WHEN role IN ('user', 'assistant') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS pos,
+ sum(CASE WHEN role IN ('user', 'assistant') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) - 1 AS last FROM conversations"""
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN pos IS NULL THEN NULL WHEN last - pos <= 0 THEN 'current' WHEN last - pos <= 4 THEN 'recent' WHEN conv_id % 2 = 0 THEN 'old_indexed' ELSE 'old' END AS tier, pos IS NOT NULL AND last - pos > 4 AND conv_id % 2 = 0 AS stubbed FROM ({SQL_POSITIONS})")
+def conv_indexed(spark, d):
+    """Turns that end with code; the code of every other conversation can be had elsewhere."""
+    turns = table(spark, d, "conversations").withColumn("text", F.concat(F.repeat(F.lit("some words of prose "), 80), F.lit("\n```python\ndef f"), "turn", F.lit("():\n    pass\n```")))
+    names = turns.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.collect_list(F.concat(F.lit("f"), "turn")).alias("names"))
+    short = conversation.compress(turns, names)
+    return short.select("conv_id", "turn", "tier", F.contains("compressed", F.lit(T.STUB[1])).alias("stubbed"))
+
+
+def initials(prompts: list[str]) -> list[str | None]:
+    """A recorded compressor: the rate, and how long the text was; fails on texts of odd length."""
+    return [f"{p.split(chr(10), 1)[0]}:{len(p.split(chr(10), 1)[1])}" if len(p.split(chr(10), 1)[1]) % 2 == 0 else None for p in prompts]
+
+
+@query(f"""SELECT p.conv_id, p.turn, CASE WHEN pos IS NULL OR last - pos <= 0 OR length(text) < 1200 OR length(text) % 2 = 1 THEN text WHEN last - pos <= 4 THEN '0.75:' || length(text) ELSE '0.4:' || length(text) END AS compressed
+FROM ({SQL_POSITIONS}) p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn WHERE NOT coalesce({any_in("replace(replace(text, '▶️', '▶'), '►', '▶')", T.PROTOCOL_MARKERS)}, false) AND NOT regexp_matches(lower(text), 'traceback|exception|file "')""")
+def compress_by_model(spark, d):
+    turns = table(spark, d, "conversations")
+    return conversation.compress_by_model(turns, initials).where(~T.has_marker("text") & ~F.lower("text").rlike('traceback|exception|file "')).select("conv_id", "turn", "compressed")
+
+
 # Models' operators
 
 

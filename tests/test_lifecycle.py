@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skeinflow.functions.json import normalise_item
+from skeinflow.functions.json import extracted_item, normalise_content, normalise_item
 from skeinflow.operators import frontier, judging, lifecycle, routing
 from skeinflow.plans import fixtures as X
 from skeinflow.plans import lifecycle as plans
@@ -20,6 +20,18 @@ def test_normalise_item():
     assert normalise_item({"summary": [{"summary": ["a", {"summary": "b"}]}, {"content": "c"}, "d"]}) == [("Content", "a b c d", None)]
 
 
+def test_extracted_item():
+    blocks = [{"error": False, "topic": "t", "summary": "s"}, {"error": True, "topic": "no"}, {"topic": "no error told"}, "text", [{"summary": 1}, 2, {"topic": "x"}], {"error": False}]
+    assert extracted_item(blocks) == [("t", "s", None), ("Content", "text", None), ("Information", "1", None), ("Content", "2", None), ("x", "{'topic': 'x'}", None), ("Information", "{'error': False}", None)]
+    assert extracted_item({"error": False}) == extracted_item(None) == extracted_item("x") == []
+
+
+def test_extracted_column(spark):
+    df = spark.createDataFrame([(1, '[{"error": false, "topic": "t", "summary": "s"}, "u"]'), (2, "junk"), (3, None)], "i int, content string")
+    got = normalise_content(df, "content", "i", items=extracted_item).collect()
+    assert sorted((r["i"], r["ord"], r["topic"], r["summary"]) for r in got) == [(1, 0, "t", "s"), (1, 1, "Content", "u")]
+
+
 def test_requests():
     url, body = models.request("llamacpp/m", "http://h:1/v1/", "p", "s", max_tokens=5, stop=[], seed=None)
     assert url == "http://h:1/v1/chat/completions" and body["max_tokens"] == 5 and "stop" not in body and "seed" not in body
