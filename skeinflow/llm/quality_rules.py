@@ -231,7 +231,10 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: Buckets | None = None, th
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
     found = judge(docs, labels, **options)
-    return found.where(F.col(f"`{found.columns[-1]}`.kept")).select(*(f"`{c}`" for c in docs.columns))
+    # a filter would be pushed below the judgement and make it anew for each part of its condition; a generator is not
+    kept = F.filter(F.array(F.col(f"`{found.columns[-1]}`.kept")), lambda k: k)
+    (mark,) = unused(docs, "mark")
+    return found.select(*(f"`{c}`" for c in docs.columns), F.explode(kept).alias(mark)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def reference(text: str | None) -> tuple[int, int, int, int, int, bool]:
