@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinflow.llm import _words
-from skeinflow.llm._shared import materialise
+from skeinflow.llm._shared import BROADCAST_ROWS, materialise
 
 SHINGLE = 5
 #: Links have a Jaccard similarity of at least NUMERATOR / 100.
@@ -241,18 +241,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("a", "b").mapInArrow(_union_find, "a long, b long")
     edges = materialise(edges.distinct())
+    told = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    before = told(edges)
     while True:
+        # one row a node, two nodes an edge: few enough to broadcast, else a hub is left to skew joins
+        near = F.broadcast if 2 * before[0] <= BROADCAST_ROWS else lambda df: df
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(near(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(near(least), "a")
         new = small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        new = materialise(new.where("a <> b").distinct())
-        seen = [x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first() for x in (edges, new)]
-        edges = new
-        if seen[0] == seen[1]:
+        edges = materialise(new.where("a <> b").distinct())
+        after = told(edges)
+        if before == after:
             break
+        before = after
     node = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return node.union(edges.select("b", "b").distinct())
 
