@@ -34,6 +34,8 @@ CAP = 3
 BLOCK = 64
 #: Documents that a shard should hold.
 SHARD_DOCS = 1000
+#: Shards at most, as one task sorts those of a source; beyond, shards hold more documents.
+MAX_SHARDS = 1 << 20
 SEED = "mix-1"
 
 
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     """``docs`` with size, source_size, target (of the source) and taken: the words that the mix takes of the document."""
     size, source_size, target, taken = unused(docs, "size", "source_size", "target", "taken")
     shard, order, own_source, start, quota, shard_size, shard_of = unused(docs, "m_shard", "m_order", "m_source", "m_start", "m_quota", "m_words", "m_shard_of")
-    shards = max(1, -(-docs.count() // shard_docs))
+    shards = min(MAX_SHARDS, max(1, -(-docs.count() // shard_docs)))
     digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).cast("binary"))
     sized = docs.withColumns(
         {

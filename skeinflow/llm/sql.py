@@ -80,7 +80,7 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
  coalesce(n_hit > 0 AND 20 * n_hit >= len(a), false) AS contaminated FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('{source_mixing.SEED}:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
-c AS (SELECT CAST(greatest(1, ceil(count(*) / {source_mixing.SHARD_DOCS})) AS BIGINT) AS shards FROM d),
+c AS (SELECT CAST(least({source_mixing.MAX_SHARDS}, greatest(1, ceil(count(*) / {source_mixing.SHARD_DOCS}))) AS BIGINT) AS shards FROM d),
 z AS (SELECT d.*, CAST('0x' || substring(h, 1, 8) AS BIGINT) % shards AS shard FROM d, c),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST([1, 2, 3][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS w FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER f AS place, sum(n) OVER () AS total, coalesce(sum(3 * n) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s WINDOW f AS (ORDER BY 3 * n / w, source NULLS LAST)),
