@@ -478,6 +478,15 @@ def sim_pairs_in_groups(spark, d):
     return V.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3, group="label")
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(list_zip(embedding::DOUBLE[], range(len(embedding))), lambda z: z[1] + CASE WHEN z[2] = 0 THEN 0.001 ELSE 0 END) FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) > 0.99""")
+def sim_pairs_by_planes(spark, d):
+    """Vectors and slightly moved copies of them; at this similarity no pair is missed."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = vectors.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: x + F.when(i == 0, 0.001).otherwise(0.0)).alias("embedding"))
+    return V.similar_pairs_by_planes(vectors.unionByName(moved), "vec_id", "embedding", 0.99).select("a", "b")
+
+
 # Streams
 
 

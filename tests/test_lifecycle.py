@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from skeinflow.functions import vector as V
 from skeinflow.functions.json import extracted_item, normalise_content, normalise_item
 from skeinflow.operators import frontier, judging, lifecycle, routing
 from skeinflow.plans import fixtures as X
@@ -113,6 +114,19 @@ def test_nearest_in_blocks(spark):
     assert {r["expert_id"] for r in routing.by_similarity(queries, examples.limit(0), "k").collect()} == {routing.DEFAULT}
 
 
+def test_planes_find_similar_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.standard_normal((120, 32))
+    rows = np.concatenate([base, base + 0.3 * r.standard_normal((120, 32))])
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(rows)] + [(999, None)], "k long, v array<double>").repartition(3)
+    exact = {(x["a"], x["b"]) for x in V.similar_pairs(df.where("v is not null"), "k", "v", 0.9, block=50).collect()}
+    found = {(x["a"], x["b"]) for x in V.similar_pairs_by_planes(df, "k", "v", 0.9, block=50).collect()}
+    assert found <= exact and len(exact) > 80 and len(found) >= 0.95 * len(exact)
+    assert V.similar_pairs_by_planes(df.limit(0), "k", "v", 0.9).count() == 0
+
+
 def test_memo_evicts_the_oldest(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "key string")
     memo = spark.createDataFrame([("a", "1", 95.0), ("b", "2", 90.0), ("z", "3", 99.0)], "key string, value string, ts double")
