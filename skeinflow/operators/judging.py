@@ -8,6 +8,7 @@ one prompt, and an answer that can't be read gives every row of the batch its de
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from skeinflow.functions import json as J
 from skeinflow.functions import text as T
 from skeinflow.functions import url as U
 from skeinflow.functions.base import col
-from skeinflow.operators.filters import decide
+from skeinflow.operators.filters import decide, ordinal
 from skeinflow.sources.tables import map_scored
 
 Scorer = Callable[[list[str]], list[str | None]]
@@ -36,18 +37,26 @@ def ask(batches: DataFrame, task: str, items: Column, chars: int, scorer: Scorer
     return map_scored(batches.withColumn("_prompt", prompt), scorer, "_prompt", out).drop("_prompt")
 
 
-def batched(items: DataFrame, by: list[str], order: str, text: str, size: int | None = None) -> DataFrame:
-    """(by, batch, rows): arrays of (ord, text) of the rows of each group, in order, ``size`` a batch (None: all)."""
-    rows = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(text).alias("text")))).alias("rows"))
-    if size is None:
-        return rows.withColumn("batch", F.lit(0))
-    starts = F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / size).cast("int"))
-    return rows.select(*by, F.posexplode(F.transform(starts, lambda k: F.slice("rows", k * size + 1, F.lit(size)))).alias("batch", "rows"))
+def batched(items: DataFrame, by: list[str], order: str, text: str, size: int) -> DataFrame:
+    """(by, batch, rows): arrays of (ord, text) of the rows of each group, in order, ``size`` a batch.
+
+    A batch is what a total order of all rows and the group's first place in it tell, so no task gathers a whole group.
+    """
+    placed = ordinal(items.select(*by, F.col(order).alias("ord"), F.col(text).alias("text")), [*by, "ord"], "_n")
+    first = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("_n").alias("_first"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    told = placed.join(first, same).withColumn("batch", F.floor((F.col("_n") - F.col("_first")) / size).cast("int"))
+    return told.groupBy(*by, "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("rows"))
+
+
+def whole(items: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
+    """(by, rows): one array for each group, which must be as small as a prompt."""
+    return items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(text).alias("text")))).alias("rows"))
 
 
 def flag_chunks(chunks: DataFrame, scorer: Scorer) -> DataFrame:
     """(url, chunk_index, relevant): a model's flag for each chunk of a page; all true where the answer can't be read."""
-    pages = batched(chunks, ["url"], "chunk_index", "chunk")
+    pages = whole(chunks, ["url"], "chunk_index", "chunk")  # a page is one prompt
     asked = ask(pages, "Which of these fragments of a web page inform, and are no navigation, advertising or notices? A JSON array of booleans, one a fragment.", F.col("rows.text"), FRAGMENT_CHARS, scorer)
     flags = asked.withColumn("flags", J.parse_flags("response", F.size("rows")))
     return flags.select("url", F.inline(F.arrays_zip(F.col("rows.ord").alias("chunk_index"), F.col("flags").alias("relevant")))).toDF("url", "chunk_index", "relevant")

@@ -25,6 +25,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from skeinflow.sources.storage import sweep
+
+    sweep(session)
     session.stop()
 
 
