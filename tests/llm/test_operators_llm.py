@@ -98,6 +98,21 @@ def test_long_texts(spark):
     assert sorted(got) == [(1, 1, ["2"]), (2, 1, ["2"]), (3, 31, ["1", "2"]), (4, 0, [])]
 
 
+def test_long_texts_of_the_other_operators(spark):
+    text = long_text(24, 200_000)
+    rows = [(1, text), (2, f"{text} ann.lee7@mail.example.com"), (3, "short"), (4, "z" * 2_000_000)]
+    docs = frame(spark, rows)
+    assert {r["doc_id"]: r["size"] for r in source_mixing.mix(docs).collect()} == {i: len(t.split()) for i, t in rows}
+    judged = {r["doc_id"]: r["quality"] for r in quality_rules.judge(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()}
+    for i, t in rows:
+        q = judged[i]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"]) == quality_rules.reference(t)
+    new = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(docs, KEY).collect()}
+    assert new[1] == text and new[4] == rows[3][1] and new[2].startswith(text) and "ann.lee7" not in new[2] and new[2].endswith(".example.com")
+    model = quality_classifier.Model(b"good words " * 20, b"#### $$$$ " * 20, [0.0, 1.0], 0.0, 0.1)
+    assert all(0 < r["score"] < 1 for r in quality_classifier.score(docs, model).collect())
+
+
 def test_words_by_bytes():
     import re
 
