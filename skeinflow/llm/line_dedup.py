@@ -14,9 +14,9 @@ all pairs. A line is known by two 64-bit hashes.
 Lossless prefilter: one edit leaves the first or the last half of a line as it is, so
 only lines that share a half with another line emit variants.
 
-Only hashes and positions are shuffled. Texts of candidate lines and the removals are
-joined to the documents by a broadcast while rows and positions number at most
-``_shared.BROADCAST_ROWS``, and by a shuffle beyond.
+Only hashes and positions are shuffled. Hashes of halves and variants that meet another
+line's, texts of candidate lines and the removals are joined by a broadcast while rows and
+positions number at most ``_shared.BROADCAST_ROWS``, and by a shuffle beyond.
 
 Defined results: the order is doc_id, then a hash of the text, then the line's position;
 judged on the input. Null or empty texts lose nothing. Rows with equal doc_id and text
@@ -123,19 +123,21 @@ def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     distinct = materialise(occurrences.groupBy(*both).agg(F.min("place").alias("first"), F.count("*").alias("n")))
     # a half that two different lines share; one hash is enough where lines are only sorted out
     halves = occurrences.where("keys is not null").select("line", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
-    able = materialise(halves.join(shared, "key", "left_semi").select("line").distinct())
+    shared = materialise(halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"))
+    able = materialise(halves.join(small(shared), "key", "left_semi").select("line").distinct())
     texts = lines.select("line", "norm").join(small(able), "line", "left_semi").select("line", _check(), _spaced(F.col("norm")).alias("spaced"))
     texts = materialise(texts.dropDuplicates(both))
     firsts = distinct.join(able, "line", "left_semi").select(*both, "first")
     variants = materialise(neighbourhood(texts).join(firsts, both))
-    by_place = variants.groupBy("key", "deleted").agg(F.min(F.struct("first", *both)).alias("least"), F.count("*").alias("members"))
-    least = materialise(by_place)
-    whole = least.where("deleted = -1").select("key", F.col("least").alias("other"))
-    cut = least.where("deleted >= 0").groupBy("key").agg(F.min("least").alias("other"))
-    substituted = variants.join(least.where("deleted >= 0 and members > 1").select("key", "deleted", F.col("least").alias("other")), ["key", "deleted"])
-    longer = variants.where("deleted >= 0").join(whole, "key")
-    shorter = variants.where("deleted = -1").join(cut, "key")
+    # most variants meet nothing: those are sorted out before places are compared
+    itself, cut = variants.where("deleted = -1"), variants.where("deleted >= 0")
+    twice = materialise(cut.groupBy("key", "deleted").agg(F.count("*").alias("n")).where("n > 1").select("key", "deleted"))
+    replaced = materialise(cut.join(small(twice), ["key", "deleted"], "left_semi"))
+    met = materialise(cut.join(small(itself.select("key")), "key", "left_semi"))
+    least = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct("first", *both)).alias("other"))
+    substituted = replaced.join(least(replaced, "key", "deleted"), ["key", "deleted"])
+    longer = met.join(least(itself.join(met.select("key"), "key", "left_semi"), "key"), "key")
+    shorter = itself.join(least(met, "key"), "key")
     others = (F.col("other.line").alias("other_line"), F.col("other.check").alias("other_check"))
     pairs = [x.where("other.first < first").select(*both, *others) for x in (substituted, longer, shorter)]
     pairs = pairs[0].union(pairs[1]).union(pairs[2]).distinct()
