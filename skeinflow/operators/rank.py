@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.operators.filters import ordinal
+from skeinflow.sources.storage import materialise
 
 MAX_TOKENS, ALPHA, MIN_PAGE = 4000, 0.7, 700
 
@@ -31,18 +31,18 @@ def top_k_by(df: DataFrame, group: list[str], k: int, score: str, *ties: str) ->
 
 
 def within_budget(df: DataFrame, order: list[str], tokens: str, limit: int) -> DataFrame:
-    """Rows in order until their tokens reach the limit; the row that crosses it stays.
+    """Rows in order until their tokens reach the limit; the row that crosses it stays; with used_before.
 
-    Sums of range partitions are carried over, so no task sees all rows.
+    Sums of range partitions are carried over, so no task sees all rows, and only partitions
+    that begin within the limit are sorted.
     """
-    ranked = ordinal(df, order, "_n")
-    size = 10_000
-    slices = ranked.withColumn("_slice", F.floor(F.col("_n") / size))
-    sums = slices.groupBy("_slice").agg(F.sum(tokens).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    own = F.coalesce(F.sum(tokens).over(Window.partitionBy("_slice").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = slices.join(before, "_slice").withColumn("used_before", (F.col("_before") + own).cast("long"))
-    return joined.where(F.col("used_before") < limit).drop("_slice", "_before", "_n")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    near = dealt.join(F.broadcast(before.where(F.col("_before") < limit)), "_part")  # one row a partition at most
+    own = F.coalesce(F.sum(tokens).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return near.withColumn("used_before", (F.col("_before") + own).cast("long")).where(F.col("used_before") < limit).drop("_part", "_before")
 
 
 def batches_within_budget(df: DataFrame, batch: str, tokens: str, limit: int) -> DataFrame:
