@@ -203,27 +203,28 @@ def is_html_url(spark, d):
     return all_urls(spark, d).select("url", U.is_html("url").alias("html"))
 
 
-@query(f"SELECT ord, url, {SQL_RAW} AS raw FROM {X.URLS.sql}")
+@query(f"SELECT url, {SQL_RAW} AS raw FROM {SQL_UNION_URLS}")
 def raw_url_split(spark, d):
-    return X.URLS.frame(spark).select("ord", "url", U.is_raw_file("url").alias("raw"))
+    return all_urls(spark, d).select("url", U.is_raw_file("url").alias("raw"))
 
 
-@query(rf"""SELECT ord, CASE WHEN regexp_matches(url, '(?i)^https?://github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.+)$') THEN regexp_replace(url, '(?i)^https?://github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.+)$', 'https://raw.githubusercontent.com/\1/\2/\3/\4')
- WHEN regexp_matches(url, '(?i)^(https?://gitlab\.com/[^/]+/[^/]+)/-/blob/([^/]+)/(.+)$') THEN regexp_replace(url, '(?i)^(https?://gitlab\.com/[^/]+/[^/]+)/-/blob/([^/]+)/(.+)$', '\1/-/raw/\2/\3') END AS raw FROM {X.URLS.sql}""")
+@query(rf"""SELECT url, CASE WHEN regexp_matches(url, '(?i)^https?://github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.+)$') THEN regexp_replace(url, '(?i)^https?://github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.+)$', 'https://raw.githubusercontent.com/\1/\2/\3/\4')
+ WHEN regexp_matches(url, '(?i)^(https?://gitlab\.com/[^/]+/[^/]+)/-/blob/([^/]+)/(.+)$') THEN regexp_replace(url, '(?i)^(https?://gitlab\.com/[^/]+/[^/]+)/-/blob/([^/]+)/(.+)$', '\1/-/raw/\2/\3') END AS raw FROM {SQL_UNION_URLS}""")
 def blob_to_raw(spark, d):
-    return X.URLS.frame(spark).select("ord", U.blob_to_raw("url").alias("raw"))
+    return all_urls(spark, d).select("url", U.blob_to_raw("url").alias("raw"))
 
 
-@query(rf"""WITH t AS (SELECT *, regexp_extract(url, '^https?://([a-z]+)\.wikipedia\.org/wiki/.+', 1) AS lang, regexp_replace(regexp_replace(url_decode(regexp_extract(url, '^https?://[a-z]+\.wikipedia\.org/wiki/(.+)', 1)), '[#?].*$', ''), '/+$', '') AS k FROM {X.WIKI.sql}),
+@query(rf"""WITH t AS (SELECT *, regexp_extract(url, '^https?://([a-z]+)\.wikipedia\.org/wiki/.+', 1) AS lang, regexp_replace(regexp_replace(url_decode(regexp_extract(url, '^https?://[a-z]+\.wikipedia\.org/wiki/(.+)', 1)), '[#?].*$', ''), '/+$', '') AS k FROM (SELECT * FROM {X.WIKI.sql} UNION ALL SELECT 1000 + page_id, url, 'page' FROM pages)),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lang <> 'es', ord) AS rn, min(ord) OVER (PARTITION BY k) AS first FROM t WHERE k <> '')
 SELECT ord, url, title, 0 AS kind, ord AS first FROM t WHERE k = '' UNION ALL SELECT ord, url, title, 1, first FROM r WHERE rn = 1""")
 def wiki_dedup(spark, d):
-    return sets.wikipedia_once(X.WIKI.frame(spark), "es").select("ord", "url", "title", "position.kind", F.col("position.ord").alias("first"))
+    found = X.WIKI.frame(spark).unionByName(table(spark, d, "pages").select((1000 + F.col("page_id")).alias("ord"), "url", F.lit("page").alias("title")))
+    return sets.wikipedia_once(found, "es").select("ord", "url", "title", "position.kind", F.col("position.ord").alias("first"))
 
 
-@query(rf"SELECT ord, regexp_matches(translate(lower({SQL_PATH}), '_-', '  '), '(^|[^\w])apache spark([^\w]|$)') AS homonym FROM {X.URLS.sql}")
+@query(rf"SELECT url, regexp_matches(translate(lower({SQL_PATH}), '_-', '  '), '(^|[^\w])apache spark([^\w]|$)') AS homonym FROM {SQL_UNION_URLS}")
 def homonym_slug(spark, d):
-    return X.URLS.frame(spark).select("ord", U.mentions("url", F.array(F.lit("Apache Spark"))).alias("homonym"))
+    return all_urls(spark, d).select("url", U.mentions("url", F.array(F.lit("Apache Spark"))).alias("homonym"))
 
 
 @query(f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
