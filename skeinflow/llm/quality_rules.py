@@ -8,8 +8,8 @@ n-grams says whether it reads like trusted text; below a fixed threshold it is r
 Corpus counts cover every document and every good label, and are combined on the map
 side. Words and pairs have buckets of their own, whose numbers are powers of the corpus'
 size, as by Heaps' law the distinct words are; pairs have fewer than there are distinct ones,
-so that a task's counts stay smaller than its text. The counts are a written table. One pass makes base and score: it reads the ratios from one
-array of floats while there are no more than ``DENSE_BUCKETS`` (4 bytes each, on the driver
+so that a task's counts stay smaller than its text. The counts are a written table. One
+pass makes base and score: it reads the ratios from one array of floats while there are no more than ``DENSE_BUCKETS`` (4 bytes each, on the driver
 and in every executor); beyond, frequent buckets (of which there are at most
 ``_shared.BROADCAST_ROWS``) are broadcast, n-grams of the others are joined by a shuffle,
 and sums by hash of the text return to the documents by a broadcast while they number
