@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinflow.functions.base import col
+from skeinflow.functions.base import col, let
 
 BODY_CHARS = 5000
 SNIFF_CHARS = 10_240
@@ -32,8 +32,7 @@ def body_text(html: Column | str) -> Column:
 
 
 def has_keywords(html: Column | str, keywords: Column) -> Column:
-    text = F.concat(title(html), F.lit(" "), body_text(html))
-    return F.exists(keywords, lambda k: F.contains(text, k))
+    return let(F.concat(title(html), F.lit(" "), body_text(html)), lambda text: F.exists(keywords, lambda k: F.contains(text, k)))
 
 
 def links(html: Column | str) -> Column:

@@ -85,15 +85,14 @@ def query_words(query: Column | str) -> Column:
 
 def is_noise(chunk: Column | str, words: Column) -> Column:
     """Page furniture that has none of the query's words; never so without query words."""
-    lower = F.lower(col(chunk))
-    return (F.size(words) > 0) & contains_any(lower, NOISE_KEYWORDS) & ~F.exists(words, lambda w: F.contains(lower, w))
+    of = lambda lower, own: contains_any(lower, NOISE_KEYWORDS) & ~F.exists(own, lambda w: F.contains(lower, w))
+    return let(words, lambda own: (F.size(own) > 0) & let(F.lower(col(chunk)), lambda lower: of(lower, own)))
 
 
 def keyword_score(text: Column | str, query: Column | str) -> Column:
     """How many of the query's words, repeats counted, are in the text."""
-    lower = F.lower(col(text))
     words = F.filter(F.split(F.lower(col(query)), r"(?U)\s+"), lambda w: w != "")
-    return F.size(F.filter(words, lambda w: F.contains(lower, w)))
+    return let(F.lower(col(text)), lambda lower: F.size(F.filter(words, lambda w: F.contains(lower, w))))
 
 
 def preflight_keywords(query: Column | str) -> Column:
@@ -114,14 +113,17 @@ def strip_think(text: Column | str) -> Column:
 
 
 def has_marker(text: Column | str) -> Column:
-    return contains_any(F.replace(F.replace(col(text), F.lit("▶️"), F.lit("▶")), F.lit("►"), F.lit("▶")), PROTOCOL_MARKERS)
+    return let(F.replace(F.replace(col(text), F.lit("▶️"), F.lit("▶")), F.lit("►"), F.lit("▶")), lambda t: contains_any(t, PROTOCOL_MARKERS))
 
 
 def is_traceback(text: Column | str) -> Column:
     """Error output that must stay as it is."""
-    lower = F.lower(col(text))
-    named = contains_any(lower, ["traceback (most recent call last)", "traceback:"])
-    return named | (lower.contains("exception") & lower.contains('file "')) | lower.rlike(r'file ".+", line \d+')
+
+    def of(lower):
+        named = contains_any(lower, ["traceback (most recent call last)", "traceback:"])
+        return named | (lower.contains("exception") & lower.contains('file "')) | lower.rlike(r'file ".+", line \d+')
+
+    return let(F.lower(col(text)), of)
 
 
 def defined_names(code: Column | str) -> Column:
@@ -232,7 +234,7 @@ def shared_words(a: Column | str, b: Column | str) -> Column:
 
 
 def is_tool_request(text: Column | str) -> Column:
-    return contains_any(F.lower(col(text)), TOOL_PHRASES)
+    return let(F.lower(col(text)), lambda lower: contains_any(lower, TOOL_PHRASES))
 
 
 def language_of(filename: Column | str) -> Column:

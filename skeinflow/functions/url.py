@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinflow.functions.base import col, contains_any, ends_with_any, let
+from skeinflow.functions.base import col, contains_any, ends_with_any
 
 #: Extensions of files that are not pages.
 STATIC_EXTENSIONS = (

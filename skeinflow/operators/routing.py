@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions import text as T
-from skeinflow.functions.base import col, contains_any
-from skeinflow.sources.expert_config import EXPERTS
+from skeinflow.functions.base import let
 from skeinflow.sources.storage import materialise
 
 DEFAULT = "generalista"
@@ -23,24 +22,14 @@ GUIDANCE = (
     "). Use this knowledge base when relevant, but you may also use other available tools. Answer in the same language as the user.",
 )
 
-def by_keyword(text: Column | str, experts=EXPERTS) -> Column:
-    """The first expert one of whose keywords is in the text, else null; for experts that are known when the plan is made."""
-    lower = F.lower(col(text))
-    out = F.lit(None).cast("string")
-    for expert in reversed(experts):
-        out = F.when(contains_any(lower, expert["keywords"]), expert["id"]).otherwise(out)
-    return out
-
-
 def keyword_expert(turns: DataFrame, experts: DataFrame, text: str = "text", out: str = "expert") -> DataFrame:
     """``turns`` with the first expert (by ord) one of whose keywords is in the text, else null; experts from a table.
 
     The experts, a configuration, are one array for all rows; no row meets another in a join.
     """
     listed = experts.agg(F.array_sort(F.collect_list(F.struct("ord", "id", "keywords")))).scalar()
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    found = F.filter("_experts", lambda e: F.exists(e["keywords"], lambda k: F.contains(F.col("_lower"), k)))
-    return turns.withColumn("_experts", listed).withColumn("_lower", lower).withColumn(out, F.get(found, 0)["id"]).drop("_experts", "_lower")
+    found = let(F.lower(F.coalesce(text, F.lit(""))), lambda lower: F.filter("_experts", lambda e: F.exists(e["keywords"], lambda k: F.contains(lower, k))))
+    return turns.withColumn("_experts", listed).withColumn(out, F.get(found, 0)["id"]).drop("_experts")
 
 
 def by_similarity(queries: DataFrame, examples: DataFrame, key: str, threshold: float = SEMANTIC_THRESHOLD, default: str = DEFAULT, block_bytes: int = 16 << 20) -> DataFrame:

@@ -57,12 +57,6 @@ EDGES = Fixture(
         ("https://a.com/about", "https://a.com/team", 0), ("https://a.com/about", "https://a.com/spark-sql", 1), ("https://b.com/spark", "https://b.com/spark/streaming", 0), ("https://a.com/spark-sql", "https://a.com/spark-sql-deep", 0), ("https://a.com/spark-sql-deep", "https://a.com/spark-deeper", 0),
     ],
 )
-REPLIES = Fixture(
-    "id int, n int, response string",
-    [
-        (0, 3, "[true, false, true]"), (1, 3, "Here you are:\n```json\n[true, true, false]\n```\nDone."), (2, 3, "[true, false, false"), (3, 3, "[true]"), (4, 2, "no idea"), (5, 2, ""), (6, 2, None), (7, 2, "[false, false]"),
-    ],
-)
 THINK = Fixture("id int, text string", [(0, "<think>x</think> a"), (1, "a <think>b\nc</think>\n d <think>e</think>f"), (2, "<think>only</think>"), (3, "<think>open a"), (4, "plain"), (5, "")])
 CODE = Fixture(
     "id int, text string",
@@ -82,13 +76,6 @@ MEDIA = Fixture(
         (0, "https://a.com/p", "//cdn.a.com/1.png", 6.0), (1, "https://a.com/p", "/img/2.png", 7.0), (2, "https://a.com/p", "img/3.png?x=1", 5.0), (3, "https://a.com/p", "https://a.com/img/2.png?w=100", 9.0), (4, "https://a.com/p", "https://b.com/a b.png", 6.5), (5, "https://a.com/p", "", 9.0),
     ],
 )
-LINES = Fixture(
-    "request_id int, ord int, line string",
-    [
-        (1, 0, 'data: {"choices":[{"delta":{"content":"Hel"}}]}'), (1, 1, 'data: {"choices":[{"delta":{"content":"lo"},"finish_reason":"stop"}]}'), (1, 2, "junk"), (1, 3, 'data: {"choices":[],"usage":{"prompt_tokens":3,"completion_tokens":2}}'), (1, 4, "data: [DONE]"), (1, 5, 'data: {"choices":[{"delta":{"content":"late"}}]}'),
-        (2, 0, 'data: {"choices":[{"delta":{"reasoning_content":"hmm"}}]}'), (2, 1, "data: [DONE]"), (3, 0, '{"message":{"content":"a"},"done":false}'), (3, 1, '{"message":{"content":"b"},"done":true,"done_reason":"length"}'),
-    ],
-)
 OPERATIONS = Fixture(
     "cache string, ord bigint, op string, key string, value string, ts double",
     [

@@ -13,8 +13,7 @@ from skeinflow.functions import url as U
 from skeinflow.functions import vector as V
 from skeinflow.operators import cache as C
 from skeinflow.operators import conversation, filters, frontier, judging, lifecycle, rank, routing, sets
-from skeinflow.plans import fixtures as X
-from skeinflow.plans.catalog import GUIDE, QUERY, SQL_CRAWLABLE, SQL_EXCLUDED, SQL_HTML, SQL_LINKS, SQL_NETLOC, SQL_BODY, SQL_TITLE, SQL_UNION_URLS, SQL_WHOLE, all_urls, any_in, listed, page_links, query, sql_sticky
+from skeinflow.plans.catalog import GUIDE, QUERY, SQL_CRAWLABLE, SQL_EXCLUDED, SQL_HTML, SQL_LINKS, SQL_BODY, SQL_TITLE, SQL_UNION_URLS, SQL_WHOLE, all_urls, any_in, listed, page_links, query, sql_sticky
 from skeinflow.plans.fixtures import quoted
 from skeinflow.sources import models, tables
 from skeinflow.sources.expert_config import EXPERTS

@@ -172,6 +172,13 @@ def test_tool(spark, small):
             lifecycle.call_tool(run, bad, now)
 
 
+def test_compressed_inlet(spark):
+    rows = [(1, i, "user", "word " * 400 if i == 0 else f"python question {i}") for i in range(8)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r["turn"]: r for r in lifecycle.compressed_inlet(turns, tables.experts(spark)).collect()}
+    assert len(out[0]["text"]) < 1000 and out[7]["expert"] == "progrmador" and out[0]["changed"] and not out[7]["changed"]
+
+
 def test_empty_run(spark, small):
     run = plans.recorded(spark, small)
     none = lifecycle.Recorded(run.results.limit(0), run.pages.limit(0), run.cache.limit(0), run.excluded.limit(0))
