@@ -9,14 +9,15 @@ longer lower a slot (early stopping). Signatures are banded. In each bucket only
 are tried: a class against the smallest class of a bucket, verified on full shingle
 sets. Union-find first contracts links within partitions, then star contraction joins
 the forests. What stars can't settle are buckets whose members still lie in different
-components. These are settled bucket by bucket, on signatures alone: a bucket is dealt into
-small blocks, and a task takes two blocks and looks at pairs of classes of different
-components, each pair only in the first bucket that both share. Of the pairs whose share of
-equal slots makes a link likely it sends not all, but ``2^round`` forests of the best ones;
-their texts are fetched and verified, components are joined, and the next round goes on with
-the pairs that were not sent and still lie in different components, until there are none. So
-no pair that is likely is left out, a large bucket is many tasks, and pairs of joined classes
-are never looked at.
+components. These are settled bucket by bucket, on signatures alone. Pairs that need a look
+have at least one class outside the bucket's largest component; so these strays, and all
+members, are cut into blocks, and a task takes one block of each and looks at pairs of
+different components, each pair only in the first bucket that both share. Of the pairs whose
+share of equal slots makes a link likely it sends not all, but ``2^round`` forests of the best
+ones; their texts are fetched and verified, components are joined, and the next round goes on
+with the tasks that have pairs left which were not sent and still lie in different components,
+until there are none. So no pair that is likely is left out, a large bucket is many tasks, and
+pairs of joined classes are never looked at.
 
 What can be missed: with 32 bands of 4 slots a pair at the threshold of 0.75 shares no
 bucket with probability (1 - 0.75^4)^32, about 5e-6, and falls below the share ``LIKELY``
@@ -49,7 +50,7 @@ NUMERATOR = 75
 SLOTS = 128
 BAND = 4
 #: Classes of a block of a bucket, two of which a task compares.
-BLOCK = 512
+BLOCK = 2048
 #: Share of equal slots from which two classes are verified: at a similarity of 0.75 the
 #: share is lower with a probability of about 1e-7.
 LIKELY = 0.55
@@ -147,20 +148,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LOOKED = T.StructType([T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())])
 
 
+def slot_bytes(sets: list[np.ndarray]) -> np.ndarray:
+    """One byte for each slot of each set's signature: of a hash of the slot, as a slot's own low bits are zeros."""
+    signatures = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    return (_words.mix(signatures.view(np.uint64)) >> _U(56)).astype(np.uint8)
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, signature): 32 bits of each slot, of (node, text)."""
+    """(node, signature): 8 bits of each slot, of (node, text); by chance equal ones only make a pair look more alike."""
     for batch in batches:
         for words in _words.scan(batch.column(1), _words.SPACED, lower=True):
             sets = _words.distinct_shingles(words, SHINGLE)
-            own = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)).view(np.uint64).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(sets)), pa.array([x.tobytes() for x in own], pa.binary())], names=_LOOKED.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(sets)), pa.array([x.tobytes() for x in slot_bytes(sets)], pa.binary())], names=_LOOKED.names)
 
 
 _SENT = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "key", "first", "second")] + [T.StructField("more", T.BooleanType())])
 
 
 def _candidates(forests: int):
-    """Of two blocks of a bucket: the pairs of ``forests`` forests of likely links between components that were not sent before; more: is there any other."""
+    """Of a block of a bucket's members and one of its strays: the pairs of ``forests`` forests of likely links between components that were not sent before; more: is there any other."""
 
     def run(members: pa.Table, before: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -168,21 +174,19 @@ def _candidates(forests: int):
         labels = np.unique(members.column("label").to_numpy(), return_inverse=True)[1]
         if len(nodes) and labels.max() > 0:
             key, first, second, band = (members.column(c)[0].as_py() for c in ("key", "first", "second", "band"))
-            signatures = np.frombuffer(b"".join(members.column("signature").to_pylist()), np.uint32).reshape(len(nodes), -1)
-            side = members.column("side").to_numpy()
+            signatures = np.frombuffer(b"".join(members.column("signature").to_pylist()), np.uint8).reshape(len(nodes), -1)
+            right_side, stray = (members.column(c).to_numpy(zero_copy_only=False) for c in ("right", "stray"))
             sent = {frozenset(x) for x in zip(before.column("a").to_pylist(), before.column("b").to_pylist(), strict=True)}
-            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if first != second else (np.arange(len(nodes)),) * 2
-            likely = []
-            for i in left:
-                own = right[labels[right] != labels[i]]
-                if first == second:
-                    own = own[own > i]
-                equal = signatures[own] == signatures[i]
+            left, likely = np.flatnonzero(~right_side), []
+            for j in np.flatnonzero(right_side):
+                # two strays meet twice, once on either side
+                own = left[(labels[left] != labels[j]) & (~stray[left] | (nodes[left] < nodes[j]))]
+                equal = signatures[own] == signatures[j]
                 share = equal.mean(axis=1)
                 keep = share >= LIKELY
                 if band:  # only in the first bucket that both share
                     keep &= ~equal[:, : band * BAND].reshape(len(own), band, BAND).all(axis=2).any(axis=1)
-                likely += [(-x, int(nodes[i]), int(nodes[j]), int(labels[i]), int(labels[j])) for x, j in zip(share[keep].tolist(), own[keep].tolist(), strict=True) if not sent or frozenset((int(nodes[i]), int(nodes[j]))) not in sent]
+                likely += [(-x, int(nodes[i]), int(nodes[j]), int(labels[i]), int(labels[j])) for x, i in zip(share[keep].tolist(), own[keep].tolist(), strict=True) if not sent or frozenset((int(nodes[i]), int(nodes[j]))) not in sent]
             parents = [list(range(int(labels.max()) + 1)) for _ in range(forests)]
             more = False
             for _, a, b, la, lb in sorted(likely):
@@ -294,27 +298,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def settle(still: DataFrame, links: DataFrame) -> DataFrame:
         """All links between the components that meet in open buckets; ``links`` is what is known."""
-        sizes = still.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        placed = still.select("key", "band", "node").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "band", "node", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        dealt = materialise(dealt)
-        looked = sources.join(still.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_slots, _LOOKED)
-        looked = materialise(looked)
-        found, sent, forests = links, None, 1
+        by_label = still.groupBy("key", "label").count()
+        sizes = by_label.groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("n"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+        sizes = sizes.select("key", F.col("most.label").alias("major"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most.count")).alias("stray_blocks"))
+        placed = still.join(sizes, "key").withColumn("stray", F.col("label") != F.col("major"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+        columns = ["key", "band", "node", "stray"]
+        left = placed.select(*columns, "label", own("blocks", 0).alias("first"), every("stray_blocks").alias("second"), F.lit(False).alias("right"))
+        right = placed.where("stray").select(*columns, "label", every("blocks").alias("first"), own("stray_blocks", 1).alias("second"), F.lit(True).alias("right"))
+        dealt = materialise(left.union(right))
+        looked = materialise(sources.join(still.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_slots, _LOOKED))
+        by, found, sent, forests = ["key", "first", "second"], links, dealt.sparkSession.createDataFrame([], _SENT), 1
         while True:
-            label = looked.select("node").join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-            open_ = dealt.join(looked.join(label, "node"), "node")
-            before = sent if sent is not None else open_.sparkSession.createDataFrame([], _SENT)
-            by = ["key", "first", "second"]
-            new = materialise(open_.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(_candidates(forests), _SENT))
+            new = materialise(dealt.join(looked, "node").groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_candidates(forests), _SENT))
             if new.isEmpty():
                 return found
             tested = test(new.select("a", "b").distinct()).where("linked")
             found = materialise(found.select("a", "b").union(tested.select("a", "b")))
-            sent, forests = (new if sent is None else materialise(sent.union(new))), 2 * forests
-            if new.where("more").isEmpty():
+            # tasks that sent all they had are done; the others go on with the labels that the new links give
+            left = new.where("more").select(*by).distinct()
+            if left.isEmpty():
                 return found
+            sent, forests = materialise(sent.union(new).join(left, by, "left_semi").select(*_SENT.names)), 2 * forests
+            label = components(found).select("node", "component")
+            dealt = materialise(dealt.join(left, by, "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
 
     first = members.where("node <> centre").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
     tested = test(first)
