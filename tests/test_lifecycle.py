@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions import vector as V
 from skeinflow.functions.json import extracted_item, normalise_content, normalise_item
 from skeinflow.operators import frontier, judging, lifecycle, routing
+from skeinflow.plans import catalog
 from skeinflow.plans import fixtures as X
 from skeinflow.plans import lifecycle as plans
 from skeinflow.sources import models, storage, tables
@@ -224,3 +225,34 @@ def test_import_guard(monkeypatch):
             importlib.reload(entry)
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def same_as_sql(spark, folder, name: str, but: tuple[str, ...] = ()) -> list[tuple]:
+    """The rows of a query over tables in a folder, sorted, which DuckDB gives too; columns that its SQL leaves open aside."""
+    import duckdb
+
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    assert sorted(df.columns) == sorted(con.execute(f"DESCRIBE {catalog.ORACLES[name]}").df()["column_name"])
+    columns = [c for c in df.columns if c not in but]
+    got = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert got == sorted(want, key=repr)
+    return got
+
+
+@pytest.fixture
+def twice_recorded(spark, tmp_path):
+    """A table of pages of which some share a URL: cached and not, cached twice, excluded and not, never cached, in the first batches and later."""
+    shared = {4: "a", 7: "a", 12: "b", 28: "b", 9: "c", 13: "c", 14: "d", 15: "d", 19: "e", 29: "e", 20: "f", 21: "f", 36: "f", 83: "g", 81: "g"}
+    page = lambda i: f"<html><title>T{i}</title><body>{'reation ' * (i % 3)}{f'page {i} ' * 150}</body></html>"
+    rows = [(i, f"https://a.com/{shared.get(i, i)}", page(i)) for i in range(120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    return tmp_path
+
+
+def test_counters_of_urls_recorded_twice(spark, twice_recorded):
+    assert same_as_sql(spark, twice_recorded, "crawl_counters")[0][1] > 0
+    assert len(same_as_sql(spark, twice_recorded, "crawl_batches")) == 12
