@@ -246,8 +246,8 @@ def same_as_sql(spark, folder, name: str, but: tuple[str, ...] = ()) -> list[tup
 @pytest.fixture
 def twice_recorded(spark, tmp_path):
     """A table of pages of which some share a URL: cached and not, cached twice, excluded and not, never cached, in the first batches and later."""
-    shared = {4: "a", 7: "a", 12: "b", 28: "b", 9: "c", 13: "c", 14: "d", 15: "d", 19: "e", 29: "e", 20: "f", 21: "f", 36: "f", 83: "g", 81: "g"}
-    page = lambda i: f"<html><title>T{i}</title><body>{'reation ' * (i % 3)}{f'page {i} ' * 150}</body></html>"
+    shared = {4: "a", 7: "a", 12: "b", 28: "b", 9: "c", 13: "c", 102: "d", 103: "d", 19: "e", 29: "e", 20: "f", 21: "f", 36: "f", 83: "g", 81: "g"}
+    page = lambda i: f"<html><title>T{i}</title><body>{'reation ' * (i % 3)}{f'page {i} ' * (20 if i in (28, 36) else 150)}</body></html>"
     rows = [(i, f"https://a.com/{shared.get(i, i)}", page(i)) for i in range(120)]
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     return tmp_path
@@ -256,3 +256,12 @@ def twice_recorded(spark, tmp_path):
 def test_counters_of_urls_recorded_twice(spark, twice_recorded):
     assert same_as_sql(spark, twice_recorded, "crawl_counters")[0][1] > 0
     assert len(same_as_sql(spark, twice_recorded, "crawl_batches")) == 12
+
+
+def test_citations_of_urls_recorded_twice(spark, twice_recorded):
+    assert len(same_as_sql(spark, twice_recorded, "crawl_citations")) > 60
+
+
+def test_citations_are_placed_by_ord_and_named_by_part(spark):
+    items = spark.createDataFrame([(1, 2, "late", "a2", "a"), (3, 1, "first", "a1", "a"), (1, 1, "t", "b1", "b")], "ord int, part int, topic string, summary string, source string")
+    assert [tuple(r) for r in lifecycle.citations(items).orderBy("position").collect()] == [(0, "a", "first", "a2\n\na1"), (1, "b", "t", "b1")]
