@@ -265,3 +265,11 @@ def test_citations_of_urls_recorded_twice(spark, twice_recorded):
 def test_citations_are_placed_by_ord_and_named_by_part(spark):
     items = spark.createDataFrame([(1, 2, "late", "a2", "a"), (3, 1, "first", "a1", "a"), (1, 1, "t", "b1", "b")], "ord int, part int, topic string, summary string, source string")
     assert [tuple(r) for r in lifecycle.citations(items).orderBy("position").collect()] == [(0, "a", "first", "a2\n\na1"), (1, "b", "t", "b1")]
+
+
+def test_items_of_urls_recorded_twice(spark, twice_recorded):
+    """All but the parts of chunks of equal score and index, which the SQL leaves open: these go by ord, then record."""
+    same_as_sql(spark, twice_recorded, "unified_crawl", but=("part",))
+    of = lambda url: sorted((r["part"], r["ord"], r["summary"].split()[-2:][-1]) for r in catalog.QUERIES["unified_crawl"](spark, str(twice_recorded)).where(F.col("source") == url).collect())
+    assert [x[:2] for x in of("https://a.com/a")] == [(1, 4), (2, 7), (3, 4), (4, 7)]
+    assert of("https://a.com/b") == [(1, 12, "28"), (2, 28, "28"), (3, 12, "12"), (4, 28, "12"), (5, 12, "12"), (6, 28, "12")]
