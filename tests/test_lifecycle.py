@@ -273,3 +273,8 @@ def test_items_of_urls_recorded_twice(spark, twice_recorded):
     of = lambda url: sorted((r["part"], r["ord"], r["summary"].split()[-2:][-1]) for r in catalog.QUERIES["unified_crawl"](spark, str(twice_recorded)).where(F.col("source") == url).collect())
     assert [x[:2] for x in of("https://a.com/a")] == [(1, 4), (2, 7), (3, 4), (4, 7)]
     assert of("https://a.com/b") == [(1, 12, "28"), (2, 28, "28"), (3, 12, "12"), (4, 28, "12"), (5, 12, "12"), (6, 28, "12")]
+
+
+def test_titles_of_urls_recorded_twice(spark, twice_recorded):
+    got = same_as_sql(spark, twice_recorded, "titled_urls")
+    assert [t for u, t in got if u == "https://a.com/f"] == ["N/A", "page 20", "page 36"]
