@@ -113,17 +113,17 @@ def crawl(mode: str, *args, **options) -> DataFrame:
     return MODES.get(mode, pseudo_adaptive)(*args, **options)
 
 
-def refine(search, crawl_, judge, query: str, rounds: int = 3) -> DataFrame:
-    """Search, crawl and judge until there is enough: ``search(query)`` gives (url), ``crawl_(urls)`` content with url,
-    ``judge(content)`` (enough, next query). URLs are visited once, content accumulates."""
+def refine(search, crawl_, judge, query: str, rounds: int = 3, key: str = "url") -> DataFrame:
+    """Search, crawl and judge until there is enough: ``search(query)`` gives (key), ``crawl_(keys)`` their content,
+    ``judge(content)`` (enough, next query). Keys, URLs or records of them, are visited once, content accumulates."""
     content = visited = None
     for _ in range(rounds):
-        urls = search(query)
+        found = search(query)
         if visited is not None:
-            urls = urls.join(visited, "url", "left_anti")
-        urls = materialise(urls.select("url").distinct())
-        new = materialise(crawl_(urls))
-        visited = urls if visited is None else visited.union(urls)
+            found = found.join(visited, key, "left_anti")
+        found = materialise(found.select(key).distinct())
+        new = materialise(crawl_(found))
+        visited = found if visited is None else visited.union(found)
         content = new if content is None else content.unionByName(new)
         enough, query = judge(content)
         if enough:

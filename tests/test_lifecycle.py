@@ -278,3 +278,8 @@ def test_items_of_urls_recorded_twice(spark, twice_recorded):
 def test_titles_of_urls_recorded_twice(spark, twice_recorded):
     got = same_as_sql(spark, twice_recorded, "titled_urls")
     assert [t for u, t in got if u == "https://a.com/f"] == ["N/A", "page 20", "page 36"]
+
+
+def test_rounds_of_urls_recorded_twice(spark, twice_recorded):
+    got = same_as_sql(spark, twice_recorded, "refined_rounds")
+    assert [r for u, r in got if u == "https://a.com/b"] == [0, 1]
