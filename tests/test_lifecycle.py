@@ -275,6 +275,23 @@ def test_items_of_urls_recorded_twice(spark, twice_recorded):
     assert of("https://a.com/b") == [(1, 12, "28"), (2, 28, "28"), (3, 12, "12"), (4, 28, "12"), (5, 12, "12"), (6, 28, "12")]
 
 
+def test_items_are_those_of_the_sql_with_its_orders_completed(spark, twice_recorded):
+    """All columns, on a table where rows repeat a record too, with its own text or another, cached and crawled."""
+    import duckdb
+
+    other = lambda i: f"<html><title>U{i}</title><body>{f'the other {i} ' * 70}{f'of thention {i} ' * 90}</body></html>"
+    again = spark.read.parquet(f"{twice_recorded}/pages.parquet").where("page_id IN (7, 9, 20, 28, 30)").collect()
+    rows = [tuple(r) for r in again] + [(i, f"https://a.com/{u}", other(i)) for i, u in ((4, "a"), (12, "b"), (20, "f"), (21, "f"), (6, 6), (44, 44), (44, "g"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.mode("append").parquet(f"{twice_recorded}/pages.parquet")
+    sql = catalog.ORACLES["unified_crawl"]
+    for told, more in (("hits AS (SELECT url, ", "page_id, "), ("k FROM (SELECT url, ", "page_id, "), ("ORDER BY score DESC, k", ", ord, page_id, chunk"), ("OVER (ORDER BY ord, url", ", page_id, html NULLS FIRST")):
+        assert sql.count(told) == 1
+        sql = sql.replace(told, told + more)
+    df = catalog.QUERIES["unified_crawl"](spark, str(twice_recorded))
+    want = duckdb.connect().execute(f"WITH pages AS (SELECT * FROM '{twice_recorded}/pages.parquet/*.parquet') SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_titles_of_urls_recorded_twice(spark, twice_recorded):
     got = same_as_sql(spark, twice_recorded, "titled_urls")
     assert [t for u, t in got if u == "https://a.com/f"] == ["N/A", "page 20", "page 36"]
